@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import encode, leakage
+from tidemark.llm import encode, leakage, spam
 from tidemark.session import table
 
 
@@ -15,6 +15,10 @@ def p7_found(spark, sf_dir):
     return found.select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark, sf_dir):
+    return spam.spam_pages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 ORACLE: dict[str, str] = {}
