@@ -69,6 +69,7 @@ _TAG = re.compile(r"#\w+")
 _CODE = re.compile(r"\b[A-Za-z]{2,}\d{3,}\b|\b\d+[a-z]{2}\b")
 _SPACE = re.compile(r"\s+")
 _KANA = re.compile(r"[぀-ヿ]")
+_UNSEEN = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f\xad\u200b-\u200f\u2060\ufeff\ufffd]+")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 
 
@@ -78,7 +79,7 @@ def _solid(text: str) -> int:
 
 def page_features(text: str | None) -> list[float]:
     """Features of a page in the order of FEATURES; a blank page has none of anything."""
-    text = (text or "").strip()
+    text = _UNSEEN.sub(" ", text or "").strip()
     total = _solid(text)
     if not total:
         return [0.0] * len(FEATURES)
