@@ -167,8 +167,9 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     """Distinct (page_id, reason) of pages that a template or server left something on.
 
     Only the content area of ``visible_text`` and the title are read; a page without a content
-    area is no case but for its title. Null and blank fields are left out. A message counts only
-    where no sentence, list line or price stands beside it. In titles, messages don't count.
+    area is no case but for its title. Null and blank fields are left out. Messages count only
+    where no more sentences, list lines and prices stand beside them than messages (a message may
+    go on in a sentence of its own). In titles, messages don't count.
     """
     blocks = main_content.main_blocks(pages).filter("block_field = 'visible_text'")
     titles = pages.select("page_id", F.lit("title").alias("field"), F.col("title").alias("text"))
@@ -180,13 +181,13 @@ def residue_pages(pages: DataFrame) -> DataFrame:
         has(F.col("kind") == "slot").alias("slot"),
         has(F.col("kind") == "raw").alias("raw"),
         has(F.col("kind") == "filler").alias("filler"),
-        has(area & (F.col("kind") == "message")).alias("message"),
-        has(area & (F.col("kind") == "real")).alias("real"),
+        F.count_if(area & (F.col("kind") == "message")).alias("messages"),
+        F.count_if(area & (F.col("kind") == "real")).alias("reals"),
     )
     reason = (
         F.when(F.col("slot"), "slot")
         .when(F.col("raw"), "raw")
         .when(F.col("filler"), "filler")
-        .when(F.col("message") & ~F.col("real"), "message")
+        .when((F.col("messages") > 0) & (F.col("reals") <= F.col("messages")), "message")
     )
     return page.select("page_id", reason.alias("reason")).filter("reason IS NOT NULL")
