@@ -32,14 +32,14 @@ ORACLE = {
     "p5_found": """
         WITH p AS (
             SELECT payload_row, nullif(lower(regexp_replace(delivery_id, '^\\s+|\\s+$', '', 'g')), '') AS ident,
-                   try_cast(generated_at AS TIMESTAMPTZ) AS at
+                   try_cast(generated_at AS TIMESTAMPTZ) AS instant
             FROM webhook_payloads),
         c AS (
-            SELECT d.change_row, nullif(lower(regexp_replace(d.change_id, '^\\s+|\\s+$', '', 'g')), '') AS ident, p.at
+            SELECT d.change_row, nullif(lower(regexp_replace(d.change_id, '^\\s+|\\s+$', '', 'g')), '') AS ident, p.instant
             FROM digest_changes d LEFT JOIN p ON p.payload_row = d.payload_row)
         SELECT 'payload' AS rec_kind, payload_row AS row_no FROM p WHERE ident IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY ident ORDER BY at NULLS LAST, payload_row) > 1
+        QUALIFY row_number() OVER (PARTITION BY ident ORDER BY instant NULLS LAST, payload_row) > 1
         UNION ALL
         SELECT 'change', change_row FROM c WHERE ident IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY ident ORDER BY at NULLS LAST, change_row) > 1""",
+        QUALIFY row_number() OVER (PARTITION BY ident ORDER BY instant NULLS LAST, change_row) > 1""",
 }
