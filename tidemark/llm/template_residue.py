@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import main_content
+from tidemark.session import cut_lineage
 
 #: Words of a line that the tree looks at, besides their number.
 DEPTH = 5
@@ -38,7 +39,7 @@ SPEAKING = r"(?i)\bvariables?\b|\bplaceholders? (?:such|like)\b|\bstands for\b|\
 _SLOT, _SPEAKING = re.compile(SLOT), re.compile(SPEAKING)
 
 #: Raw keys and values that code left where a text or a number belongs.
-RAW = re.compile(
+RAW = main_content.Either(
     r"^[a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*){2,}$|^MISSING_TRANSLATION|\[object Object\]|\bInvalid Date\b"
     r"|(?:^|[\s:£$€₹¥])NaN(?=$|[\s%€])|^undefined\b(?! (?:limit|means|is|are|behaviou?r))|\bHello null\b|\bHello undefined\b"
     r"|^(?:undefined|null|None)$|^(?:undefined|null|NaN)\s[|–\-]|[|–\-]\s(?:undefined|null|NaN)$"
@@ -52,15 +53,15 @@ FILLER_VOCABULARY = frozenset(
     ).split()
 )
 #: Sample texts of templates and editors.
-SAMPLE = re.compile(
+SAMPLE = main_content.Either(
     r"^(?:x{3,}\s*)+$|^TODO\b|^TBD\b|\bYour text here\b|\bReplace this paragraph\b|^Sample (?:heading|text)\b"
     r"|^Text block:|\(placeholder\)|Hier steht Ihr Text|Votre texte ici|Su texto aquí|ここにテキスト|ここに本文"
     r"|^Your Company Name\b|\btitle goes here\b|\byour headline here\b|^New page \(copy\)|^Untitled(?: document| page)?$"
     r"|^Lorem ipsum\b"
 )
 #: Messages of servers, gates and scripts, as beginnings or telling parts of a line.
-MESSAGE = re.compile(
-    r"(?:^\d{3} (?:Not Found|Forbidden|Service|Internal|Bad|Gateway|Too|Unauthorized)|^Error \d+$|^Bad gateway$"
+MESSAGE = main_content.Either(
+    r"^\d{3} (?:Not Found|Forbidden|Service|Internal|Bad|Gateway|Too|Unauthorized)|^Error \d+$|^Bad gateway$"
     r"|^Access denied$|^Traceback \(most recent|^File \".*\", line \d|^[A-Z]\w*(?:Error|Exception): |^Fatal error: "
     r"|^Application error: |^Error establishing |cannot find that page|could not be located on this server"
     r"|^The upstream server sent|^The request timed out|^Request \d+ was refused|^Something went wrong on our side"
@@ -80,7 +81,7 @@ MESSAGE = re.compile(
     r"|está en mantenimiento|^Active JavaScript|^Comprobando su navegador|^Confirme que (?:es|usted es|no es)"
     r"|^Pruebe (?:la búsqueda|a buscar|con el buscador)|^Volver a la página (?:inicial|de inicio)|enlace esté roto|^Inicie sesión"
     r"|ページが見つかりません|アクセスが拒否|エラーが発生|セッションの有効期限|メンテナンス中|スクリプトが必要|JavaScript(?:を|が)"
-    r"|ブラウザ(?:ー)?を確認|ロボットではない|検索をお試し|トップページ(?:へ|に)戻る|ログインしてください|読み込み中)"
+    r"|ブラウザ(?:ー)?を確認|ロボットではない|検索をお試し|トップページ(?:へ|に)戻る|ログインしてください|読み込み中"
 )
 _PRICED = re.compile(r"^[A-Z][\w\-]+ (?:[£$€₹¥]\s?[\d.,]+|[\d.,]+ (?:USD|EUR|GBP|INR|JPY|€))$")
 _TOKEN = re.compile(r"\S+")
@@ -174,7 +175,8 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     blocks = main_content.main_blocks(pages).filter("block_field = 'visible_text'")
     titles = pages.select("page_id", F.lit("title").alias("field"), F.col("title").alias("text"))
     lines = blocks.select("page_id", F.lit("text").alias("field"), "text").unionByName(titles)
-    kinds = judged_lines(lines)
+    # The lines are read twice, for their templates and for their verdicts.
+    kinds = judged_lines(cut_lineage(lines))
     has = lambda cond: F.max(F.when(cond, 1).otherwise(0)) == 1
     area = F.col("field") == "text"
     page = kinds.groupBy("page_id").agg(
