@@ -125,13 +125,22 @@ def page_features(text: str | None) -> list[float]:
     ]
 
 
+def listed(x: np.ndarray) -> np.ndarray:
+    """Whether rows of features have anything to be listed: links, tags, codes or enough words.
+
+    Blank pages and pages of odd or repeated characters have none, so they are never spam.
+    """
+    f = dict(zip(FEATURES, x.T, strict=True))
+    many_words = (f["log_words"] >= np.log1p(15)) & (f["latin_share"] >= 0.6)
+    return (f["link_share"] >= 0.4) | (f["tag_share"] >= 0.4) | (f["code_share"] >= 0.15) | many_words
+
+
 def weak_labels(x: np.ndarray) -> np.ndarray:
     """1 spam, 0 not, -1 unsure, for rows of features."""
     f = dict(zip(FEATURES, x.T, strict=True))
-    many_words = (f["log_words"] >= np.log1p(15)) & (f["latin_share"] >= 0.6)
-    listed = (f["link_share"] >= 0.4) | (f["tag_share"] >= 0.4) | (f["code_share"] >= 0.15) | many_words
-    spam = (f["sentence_share"] < 0.33) & listed
-    fine = (f["sentence_share"] > 0.6) | ((f["sentence_share"] < 0.33) & ~listed)
+    any_listed = listed(x)
+    spam = (f["sentence_share"] < 0.33) & any_listed
+    fine = (f["sentence_share"] > 0.6) | ((f["sentence_share"] < 0.33) & ~any_listed)
     return np.where(spam, 1, np.where(fine, 0, -1))
 
 
@@ -245,7 +254,7 @@ def spam_scores(documents: DataFrame) -> DataFrame:
         if not len(xs):
             return pd.Series([], dtype="float64")
         x = np.stack(xs.to_list()).reshape(len(xs), size)
-        return pd.Series(predict_bagged(trees, x), index=xs.index)
+        return pd.Series(predict_bagged(trees, x) * listed(x), index=xs.index)
 
     score = F.pandas_udf(score_batch, T.DoubleType())
     scored = pages.select("doc_id", "source", score("x").alias("page_score"))
