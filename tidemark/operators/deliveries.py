@@ -45,10 +45,11 @@ def kept_copies(rows: DataFrame) -> DataFrame:
     """Of rows (ident, instant, row_no), the row number of the copy to keep per identifier.
 
     The copy with the earliest instant is kept, null instants last, then the smallest row
-    number. Rows whose identifier is null identify nothing and are left out.
+    number. Rows whose identifier is null identify nothing and are left out, as are rows whose
+    number is null, which can't be named.
     """
     return (
-        rows.filter(F.col("ident").isNotNull())
+        rows.filter(F.col("ident").isNotNull() & F.col("row_no").isNotNull())
         .groupBy("ident")
         .agg(F.min_by("row_no", delivery_order(F.col("instant"), F.col("row_no"))).alias("row_no"))
         .select("row_no")
@@ -61,7 +62,7 @@ def surplus_copies(rows: DataFrame) -> DataFrame:
     Null and blank identifiers are never surplus. An empty table gives no rows.
     """
     return (
-        rows.filter(F.col("ident").isNotNull())
+        rows.filter(F.col("ident").isNotNull() & F.col("row_no").isNotNull())
         .select("row_no")
         .join(kept_copies(rows), "row_no", "left_anti")
     )

@@ -333,7 +333,10 @@ def normalise(df: DataFrame, abbreviations: DataFrame) -> DataFrame:
 def instants(
     history: DataFrame, sections: DataFrame, targets: DataFrame, sites: DataFrame, abbreviations: DataFrame
 ) -> DataFrame:
-    """Instants of both tables as distinct rows (rec_kind, rec_id, utc_micros)."""
+    """Instants of both tables as distinct rows (rec_kind, rec_id, utc_micros).
+
+    Rows without an id, a text or a time in it have none. Repeated rows count once.
+    """
     places = sites.select("host", "tz_name", "date_order")
     of_target = (
         targets.filter(F.col("target_identity").isNotNull())
@@ -356,7 +359,7 @@ def instants(
     )
     return (
         normalise(checks.unionByName(named), abbreviations)
-        .filter(F.col("utc_micros").isNotNull())
+        .filter(F.col("utc_micros").isNotNull() & F.col("rec_id").isNotNull())
         .select("rec_kind", "rec_id", "utc_micros")
         .distinct()
     )

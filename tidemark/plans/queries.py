@@ -652,3 +652,77 @@ def page_sections(spark, d):
     s = table(spark, d, "text_sections").select("page_id", "section_id", F.col("text").alias("section_text"))
     joined = table(spark, d, "extracted_pages").select("page_id").join(s, "page_id", "left")
     return joined.groupBy("page_id").agg(F.count("section_id").alias("sections"), F.count("section_text").alias("with_text"))
+
+
+# ---------------------------------------------------------------- more of facts and reports
+
+
+@query(f"""
+    SELECT target_url, change_row, place FROM (
+        SELECT target_url, change_row, row_number() OVER (PARTITION BY target_url ORDER BY {_ORDER}) AS place FROM digest_changes)
+    WHERE place <= 100""")
+def top100_per_target(spark, d):
+    top = facts.top_per_group(table(spark, d, "digest_changes"), ["target_url"], reports.digest_order(), 100)
+    return top.select("target_url", "change_row", "place")
+
+
+@query("""
+    SELECT change_row, nullif(regexp_extract(current_excerpt, '\\b([0-9][0-9,.]*)\\s+([A-Za-z][A-Za-z0-9 -]{1,40})\\b', 1), '') AS amount,
+           coalesce(nullif(regexp_extract(current_excerpt, '(?i)\\b(?:pack\\s+of|qty|quantity)\\s*[:=]?\\s*([0-9]{1,5})\\b', 1), ''),
+                    nullif(regexp_extract(current_excerpt, '(?i)\\b([0-9]{1,5})\\s*(?:pack|pk|pcs?|pieces?|units?)\\b', 1), '')) AS pack
+    FROM digest_changes""")
+def limits_mined(spark, d):
+    from tidemark.operators.document_facts import LIMIT
+
+    c = F.col("current_excerpt")
+    return table(spark, d, "digest_changes").select(
+        "change_row", F.nullif(F.regexp_extract(c, LIMIT, 1), F.lit("")).alias("amount"), text.pack_quantity(c).alias("pack")
+    )
+
+
+@query("""
+    SELECT payload_row FROM webhook_payloads EXCEPT SELECT payload_row FROM (
+        SELECT payload_row, nullif(lower(regexp_replace(delivery_id, '^\\s+|\\s+$', '', 'g')), '') AS ident, try_cast(generated_at AS TIMESTAMPTZ) AS instant
+        FROM webhook_payloads) WHERE ident IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY ident ORDER BY instant NULLS LAST, payload_row) > 1""")
+def payloads_kept(spark, d):
+    p = table(spark, d, "webhook_payloads")
+    return deliveries.deduplicate(p, "delivery_id", deliveries.delivery_instant("generated_at"), "payload_row").select("payload_row")
+
+
+@query("""
+    SELECT target_identity, fact_id, generation, lag(fact_value) OVER (PARTITION BY target_identity, fact_id ORDER BY created_at, generation) AS previous, fact_value
+    FROM (SELECT target_identity, fact_id, generation, fact_value FROM facts WHERE category = 'availability'
+          QUALIFY row_number() OVER (PARTITION BY target_identity, generation, fact_id ORDER BY ord, fact_row) = 1) f
+    JOIN (SELECT target_identity, generation, min(created_at) AS created_at FROM manifests WHERE manifest_kind = 'trusted' GROUP BY 1, 2) m
+    USING (target_identity, generation)""")
+def fact_versions(spark, d):
+    from pyspark.sql import Window
+
+    keys = ["target_identity", "generation", "fact_id"]
+    one = facts.first_wins(
+        table(spark, d, "facts").filter("category = 'availability'"), keys, [F.col("ord"), F.col("fact_row")], ["fact_value"]
+    )
+    at = (
+        table(spark, d, "manifests")
+        .filter("manifest_kind = 'trusted'")
+        .groupBy("target_identity", "generation")
+        .agg(F.min("created_at").alias("created_at"))
+    )
+    over = Window.partitionBy("target_identity", "fact_id").orderBy("created_at", "generation")
+    return one.join(at, ["target_identity", "generation"]).select(
+        *keys, F.lag("fact_value").over(over).alias("previous"), "fact_value"
+    )
+
+
+@query("""
+    SELECT t.host, count(DISTINCT t.target_identity) AS targets, count(DISTINCT (m.target_identity, m.generation)) AS snapshots,
+           CAST(coalesce(sum(m.byte_length), 0) AS BIGINT) AS bytes FROM targets t LEFT JOIN manifests m ON m.target_identity = t.target_identity GROUP BY t.host""")
+def host_storage(spark, d):
+    m = table(spark, d, "manifests").select("target_identity", "generation", "byte_length")
+    joined = table(spark, d, "targets").select("host", "target_identity").join(m, "target_identity", "left")
+    return joined.groupBy("host").agg(
+        F.countDistinct("target_identity").alias("targets"),
+        F.count_distinct(F.when(F.col("generation").isNotNull(), F.struct("target_identity", "generation"))).alias("snapshots"),
+        F.coalesce(F.sum("byte_length"), F.lit(0)).alias("bytes"),
+    )
