@@ -27,8 +27,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REMEMBERED, REMEMBERED_LENGTH = 300_000, 48
 #: The vocabulary is sent to the executors; a larger file than this is refused.
 MAX_VOCABULARY_BYTES = 64_000_000
-#: Rows of a batch between the JVM and Python; whole texts go through, however long.
-BATCH_ROWS = 2_000
 
 
 class RankQueue:

@@ -208,11 +208,11 @@ def _block(documents: DataFrame, rows: list) -> DataFrame:
 def leaked_items(spark: SparkSession, documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """Distinct rows (doc_id, item_id, share, pieces, start_offset, last_word_offset).
 
-    Null and blank texts carry nothing, items with a null or empty passage are in no document,
+    Null and blank texts carry nothing, documents without an id are left out, items with a null or empty passage are in no document,
     items that share a passage are all reported. The test set is held in blocks of BLOCK items;
     each block scans all documents once, without a shuffle.
     """
-    texts = documents.select("doc_id", "text").filter(F.col("text").rlike(r"\S"))
+    texts = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
     items = eval_items.select("item_id", "passage", "question", "answer").filter(F.col("item_id").isNotNull())
     blocks = -(-items.count() // BLOCK) or 1
     found = None

@@ -276,4 +276,4 @@ def spam_scores(documents: DataFrame) -> DataFrame:
 
 def spam_pages(documents: DataFrame) -> DataFrame:
     """Distinct (doc_id) of pages made of search words, bare links or product tags."""
-    return spam_scores(documents).filter("score >= 0.5").select("doc_id").distinct()
+    return spam_scores(documents).filter("score >= 0.5 AND doc_id IS NOT NULL").select("doc_id").distinct()
