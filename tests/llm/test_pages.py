@@ -75,8 +75,8 @@ def test_residue_pages(spark):
         page(3, prose(3) + "\nHello {name},"), page(4, prose(4), "undefined | Brand"), page(5, "Loading…\n" + prose(5) + "\n" + prose(6)),
         page(6, ""), page(7, "Lorem ipsum dolor sit amet elit."), page(8, prose(8) + "\nIf you see this, scripts are switched off; some functions need JavaScript."),
         page(9, "How teams use a draft form\nChecking your browser before you proceed. This takes a few seconds."), (10, None, None, None, None),
-        page(11, prose(9), None),
+        page(11, prose(9), None), page(12, "Try again in a while, the desk is closed for now.", "Oops"), page(13, prose(1) + "\n" + prose(2), "Oops"), page(14, "", "Oops"),
     ]
     got = {(r.page_id, r.reason) for r in tr.residue_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {(2, "message"), (3, "slot"), (4, "raw"), (7, "filler"), (9, "message")}
+    assert got == {(2, "message"), (3, "slot"), (4, "raw"), (7, "filler"), (9, "message"), (12, "message")}
     assert tr.residue_pages(spark.createDataFrame([], SCHEMA)).count() == 0

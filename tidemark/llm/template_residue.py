@@ -79,10 +79,16 @@ MESSAGE = main_content.Either(
     r"|^Retour à la page d|^Le lien suivi est rompu|^Veuillez (?:activer|vous connecter)|^Une erreur est survenue"
     r"|^Página no encontrada|^Acceso denegado|^Se ha producido un error|^Error interno|^Su sesión ha (?:caducado|expirado)"
     r"|está en mantenimiento|^Active JavaScript|^Comprobando su navegador|^Confirme que (?:es|usted es|no es)"
-    r"|^Pruebe (?:la búsqueda|a buscar|con el buscador)|^Volver a la página (?:inicial|de inicio)|enlace esté roto|^Inicie sesión"
+    r"|^Pruebe (?:la búsqueda|a buscar|(?:con )?el buscador)|^Volver a la página (?:inicial|de inicio)|enlace esté roto|^Inicie sesión"
     r"|ページが見つかりません|アクセスが拒否|エラーが発生|セッションの有効期限|メンテナンス中|スクリプトが必要|JavaScript(?:を|が)"
     r"|ブラウザ(?:ー)?を確認|ロボットではない|検索をお試し|トップページ(?:へ|に)戻る|ログインしてください|読み込み中"
 )
+#: Titles of pages that hold a message instead of content.
+MESSAGE_TITLE = re.compile(
+    r"^(?:\d{3}|(?:Error|Erreur|Fehler)(?: \d{3})?|\d{3} [A-Z][a-z]+.*|Oops!?|Page not found|Service unavailable|Access denied"
+    r"|Just a moment…?|Are you a robot\?|Loading…|Seite nicht gefunden|Zugriff verweigert|Page introuvable|Accès refusé"
+    r"|Página no encontrada|Acceso denegado|ページが見つかりません|エラー)$"
+)
 _PRICED = re.compile(r"^[A-Z][\w\-]+ (?:[£$€₹¥]\s?[\d.,]+|[\d.,]+ (?:USD|EUR|GBP|INR|JPY|€))$")
 _TOKEN = re.compile(r"\S+")
 
@@ -170,10 +176,11 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     Only the content area of ``visible_text`` and the title are read; a page without a content
     area is no case but for its title. Null and blank fields are left out. Messages count only
     where no more sentences, list lines and prices stand beside them than messages (a message may
-    go on in a sentence of its own). In titles, messages don't count.
+    go on in a sentence of its own). A title that is a message itself makes one more sentence a
+    part of it, but never makes a case of a page without a content area.
     """
     blocks = main_content.main_blocks(pages).filter("block_field = 'visible_text'")
-    titles = pages.select("page_id", F.lit("title").alias("field"), F.col("title").alias("text"))
+    titles = pages.filter(F.col("page_id").isNotNull()).select("page_id", F.lit("title").alias("field"), F.col("title").alias("text"))
     lines = blocks.select("page_id", F.lit("text").alias("field"), "text").unionByName(titles)
     # The lines are read twice, for their templates and for their verdicts.
     kinds = judged_lines(cut_lineage(lines))
@@ -184,6 +191,8 @@ def residue_pages(pages: DataFrame) -> DataFrame:
         has(F.col("kind") == "raw").alias("raw"),
         has(F.col("kind") == "filler").alias("filler"),
         F.count_if(area & (F.col("kind") == "message")).alias("messages"),
+        F.count_if(area).alias("lines"),
+        has(~area & F.col("text").rlike(MESSAGE_TITLE.pattern)).alias("told"),
         F.count_if(area & (F.col("kind") == "real")).alias("reals"),
     )
     reason = (
@@ -191,5 +200,6 @@ def residue_pages(pages: DataFrame) -> DataFrame:
         .when(F.col("raw"), "raw")
         .when(F.col("filler"), "filler")
         .when((F.col("messages") > 0) & (F.col("reals") <= F.col("messages")), "message")
+        .when(F.col("told") & (F.col("lines") > 0) & (F.col("reals") <= F.col("messages") + 1), "message")
     )
     return page.select("page_id", reason.alias("reason")).filter("reason IS NOT NULL")
