@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.zones import ZoneTables, database_version, zone_names
+from tidemark.operators.skew import left_join_spread
 from tidemark.session import bounded_rows
 
 #: Month names, English and German, full and short.
@@ -345,10 +346,12 @@ def instants(
         .select("target_identity", "tz_name", "date_order")
     )
     digit = F.col("text").rlike("[0-9]")
+    dated = history.select(F.col("entry_id").alias("rec_id"), "target_identity", F.col("checked_at").alias("text")).filter(
+        digit & F.col("entry_id").isNotNull()
+    )
+    # The conversion runs where the join leaves the rows, so a hot target is split before it.
     checks = (
-        history.select(F.col("entry_id").alias("rec_id"), "target_identity", F.col("checked_at").alias("text"))
-        .filter(digit)
-        .join(of_target, "target_identity", "left")
+        left_join_spread(dated, of_target, "target_identity", "rec_id")
         .select(F.lit("history").alias("rec_kind"), "rec_id", "text", F.lit(True).alias("whole"), "tz_name", "date_order")
     )
     named = (
