@@ -110,3 +110,27 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: in
     """First ``limit`` rows per key; Spark limits each group before the shuffle."""
     over = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(over)).filter(F.col(name) <= limit)
+
+
+def explanation(category: Column, field: Column, kind: Column, difference: Column, percent: Column) -> Column:
+    """One sentence on a change: what was added, removed, raised, lowered or changed, and where."""
+    words = F.replace(category, F.lit("_"), F.lit(" "))
+    label = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1_000))
+    share = F.when(percent.isNull(), F.lit("")).otherwise(
+        F.concat(F.lit(" ("), numbers.number_text(F.abs(percent)), F.lit("%)"))
+    )
+    moved = F.concat(
+        label,
+        F.when(difference > 0, " increased by ").otherwise(" decreased by "),
+        numbers.number_text(F.abs(difference)),
+        share,
+        F.lit(" at "),
+        field,
+        F.lit("."),
+    )
+    return (
+        F.when(kind == "added", F.concat(label, F.lit(" was added at "), field, F.lit(".")))
+        .when(kind == "removed", F.concat(label, F.lit(" was removed from "), field, F.lit(".")))
+        .when(difference.isNotNull(), moved)
+        .otherwise(F.concat(label, F.lit(" changed at "), field, F.lit(".")))
+    )

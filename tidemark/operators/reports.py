@@ -109,3 +109,27 @@ def write_outputs(changes: DataFrame, folder: str, columns: list[str]) -> None:
 
 def safe_urls(changes: DataFrame) -> DataFrame:
     return changes.withColumn("target_url", urls.redact_url(F.col("target_url")))
+
+
+def payload_documents(changes: DataFrame, key: str, limit: int = PAYLOAD) -> DataFrame:
+    """One JSON document per payload: its id, how many changes it could hold, and the first of them.
+
+    The id is a hash of the payload's change ids in order, so sending it again can be noticed.
+    """
+    fields = ["change_id", "target_name", "target_url", "category", "field_path", "severity", "confidence_score"]
+    counts = changes.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    first = payloads(changes, key, limit).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("place", *fields))).alias("first_")
+    )
+    shown = F.transform("first_", lambda c: F.struct(*[c[f].alias(f) for f in fields]))
+    ids = F.array_join(F.transform("first_", lambda c: F.coalesce(c["change_id"], F.lit(""))), ",")
+    delivery = F.sha2(F.concat(F.col(key).cast("string"), F.lit(":"), ids), 256)
+    return counts.join(first, key).select(
+        key,
+        "total",
+        delivery.alias("delivery_hash"),
+        F.to_json(
+            F.struct(delivery.alias("deliveryId"), F.col("total").alias("totalEligibleChanges"), shown.alias("changes")),
+            {"ignoreNullFields": "false"},
+        ).alias("payload"),
+    )

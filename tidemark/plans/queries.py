@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, net, numbers, text, urls
 from tidemark.operators import deliveries, facts, history, reports
-from tidemark.session import table
+from tidemark.session import spread, table
 from tidemark.sources import documents as docs
 from tidemark.streaming import weekly
 
@@ -398,7 +398,7 @@ def redact_assignments(spark, d):
 
 @query()
 def redact_full(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.redact(F.col("text"), text.MAX_TEXT).alias("redacted"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.redact(F.col("text"), text.MAX_TEXT).alias("redacted"))
 
 
 @query("""
@@ -603,7 +603,7 @@ def json_flatten(spark, d):
 def _html(spark, d):
     """Pages as HTML, one paragraph per line, with the markup escaped."""
     esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    p = table(spark, d, "extracted_pages")
+    p = spread(table(spark, d, "extracted_pages").select("page_id", "url", "title", "visible_text"))
     body = F.replace(esc(F.col("visible_text")), F.lit("\n"), F.lit("</p>\n<p>"))
     html = F.concat(
         F.lit("<html><head><title>"), esc(F.col("title")), F.lit("</title><script>var x = '<p>';</script></head><body><p>"), body, F.lit("</p></body></html>")
@@ -726,3 +726,45 @@ def host_storage(spark, d):
         F.count_distinct(F.when(F.col("generation").isNotNull(), F.struct("target_identity", "generation"))).alias("snapshots"),
         F.coalesce(F.sum("byte_length"), F.lit(0)).alias("bytes"),
     )
+
+
+@query(_ENDS + """, n AS (
+        SELECT p.target_identity, p.fact_id, c.category, c.field_path, try_cast(p.fact_value AS DOUBLE) AS a, try_cast(c.fact_value AS DOUBLE) AS b
+        FROM p JOIN c ON p.target_identity = c.target_identity AND p.fact_id = c.fact_id WHERE p.fact_value IS DISTINCT FROM c.fact_value),
+    k AS (SELECT *, floor((b - a) * 10000 + 0.5) / 10000 AS delta FROM n),
+    l AS (SELECT *, CASE WHEN a <> 0 THEN floor(delta / a * 100 * 10000 + 0.5) / 10000 END AS pct,
+                 upper(left(replace(category, '_', ' '), 1)) || substr(replace(category, '_', ' '), 2) AS label FROM k)
+    SELECT target_identity, fact_id, label || CASE WHEN delta IS NULL THEN ' changed at ' ELSE CASE WHEN delta > 0 THEN ' increased' ELSE ' decreased' END || ' by ' ||
+           regexp_replace(regexp_replace(format('{:.4f}', abs(delta)), '0+$', ''), '\\.$', '') ||
+           CASE WHEN pct IS NULL THEN '' ELSE ' (' || regexp_replace(regexp_replace(format('{:.4f}', abs(pct)), '0+$', ''), '\\.$', '') || '%)' END || ' at ' END || field_path || '.' AS explanation
+    FROM l""")
+def change_explanations(spark, d):
+    old, new = _two_versions(spark, d)
+    keys = ["target_identity", "fact_id"]
+    changed = facts.with_deltas(facts.compare(old, new, keys, "fact_value").filter("change_kind = 'changed'"))
+    named = changed.join(new.select(*keys, "category", "field_path"), keys)
+    said = facts.explanation(*[F.col(c) for c in ("category", "field_path", "change_kind", "delta", "delta_percent")])
+    return named.select(*keys, said.alias("explanation"))
+
+
+@query(f"""
+    SELECT payload_row, count(*) AS total, sha256(payload_row || ':' || coalesce(string_agg(coalesce(change_id, ''), ',' ORDER BY place) FILTER (WHERE place <= 10), '')) AS delivery_hash
+    FROM (SELECT *, row_number() OVER (PARTITION BY payload_row ORDER BY {_ORDER}) AS place FROM digest_changes) GROUP BY payload_row""")
+def payload_documents(spark, d):
+    return reports.payload_documents(table(spark, d, "digest_changes"), "payload_row").select("payload_row", "total", "delivery_hash")
+
+
+@query("""
+    SELECT page_id, s.selector AS selector, s.text IS NOT NULL AS has_text
+    FROM (SELECT page_id, unnest(CASE WHEN selected_sections IS NULL OR len(selected_sections) = 0 THEN [NULL] ELSE selected_sections END) AS s FROM extracted_pages)""")
+def sections_outer(spark, d):
+    p = table(spark, d, "extracted_pages").select("page_id", F.explode_outer("selected_sections").alias("s"))
+    return p.select("page_id", "s.selector", F.col("s.text").isNotNull().alias("has_text"))
+
+
+@query()
+def canonical_values(spark, d):
+    from tidemark.functions import canon
+
+    made = table(spark, d, "facts").select("fact_row", canon.canonical_column(F.col("fact_value")).alias("c"))
+    return made.select("fact_row", "c.hash", "c.problem")
