@@ -53,6 +53,12 @@ def test_offsets_are_those_of_the_original(spark):
     assert text[row.last_word_offset :].lower() == passage(5).split()[-1]
 
 
+def test_questions_and_answers_are_told(spark):
+    rows = {r.item_id: r for r in found(spark, [(1, passage(7) + " Question 7 about W7?", ""), (2, passage(8), "")]).collect()}
+    assert rows[7].question_found and rows[7].answer_found
+    assert not rows[8].question_found
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     docs = [(k, passage(k), "") for k in range(40)]
     whole = {(r.doc_id, r.item_id) for r in found(spark, docs).collect()}

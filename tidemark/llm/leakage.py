@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from functools import lru_cache
+from typing import NamedTuple
 
 import ahocorasick
 import pandas as pd
@@ -28,12 +29,20 @@ SHARE = 0.5
 PIECE = 6
 #: Most words that may differ between two parts of one piece at the same place.
 REPLACED = 1
+#: Least part of a piece's words that lie in windows: every fourth word may be a replaced one.
+COVERED = SEED / (SEED + REPLACED)
 #: Items per automaton; a larger test set is scanned in blocks of this many items.
 BLOCK = 2_000
 
 _TAG = re.compile(r"<[^<>]{0,400}>")
 _WORD = re.compile(r"[^\W_]+")
-_INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+_INVISIBLE = frozenset("\xad\u200b\u200c\u200d\u2060\ufeff")
+_UNSEEN = re.compile(f"[{''.join(sorted(_INVISIBLE))}]")
+
+
+@lru_cache(maxsize=50_000)
+def _folded(word: str) -> str:
+    return unicodedata.normalize("NFKC", word).casefold()
 
 
 def words_with_offsets(text: str) -> tuple[list[str], list[int]]:
@@ -43,8 +52,8 @@ def words_with_offsets(text: str) -> tuple[list[str], list[int]]:
     """
     plain = _TAG.sub(lambda m: " " * len(m.group()), text)
     words, places = [], []
-    if any(ord(c) in _INVISIBLE for c in set(plain)):
-        kept = [(c, i) for i, c in enumerate(plain) if ord(c) not in _INVISIBLE]
+    if not plain.isascii() and _UNSEEN.search(plain):
+        kept = [(c, i) for i, c in enumerate(plain) if c not in _INVISIBLE]
         plain, at = "".join(c for c, _ in kept), [i for _, i in kept]
     else:
         at = None
@@ -52,7 +61,7 @@ def words_with_offsets(text: str) -> tuple[list[str], list[int]]:
         plain = re.sub(r"&#?\w{1,10};", lambda m: (html.unescape(m.group()) + " " * 12)[: len(m.group())], plain)
     for m in _WORD.finditer(plain):
         word = m.group()
-        word = word.lower() if word.isascii() else unicodedata.normalize("NFKC", word).casefold()
+        word = word.lower() if word.isascii() else _folded(word)
         words.append(word)
         places.append(at[m.start()] if at else m.start())
     return words, places
@@ -60,14 +69,25 @@ def words_with_offsets(text: str) -> tuple[list[str], list[int]]:
 
 def plain_words(text: str) -> list[str]:
     """The words of :func:`words_with_offsets` without their places, faster for plain text."""
-    if text.isascii() and "<" not in text and "&" not in text:
+    if "<" in text or "&" in text:
+        return words_with_offsets(text)[0]
+    if text.isascii():
         return _WORD.findall(text.lower())
-    return words_with_offsets(text)[0]
+    if _UNSEEN.search(text):
+        return words_with_offsets(text)[0]
+    return [w.lower() if w.isascii() else _folded(w) for w in _WORD.findall(text)]
+
+
+class Pattern(NamedTuple):
+    """Items whose passages hold a window, and all its places (item, word, kind)."""
+
+    items: tuple[int, ...]
+    places: tuple[tuple[int, int, str], ...]
 
 
 @lru_cache(maxsize=4)
 def _automaton(items: tuple[tuple[int, tuple[str, ...], tuple[str, ...], tuple[str, ...]], ...]):
-    """The automaton, the places (item, word, kind) of each pattern, and passage lengths."""
+    """The automaton, its patterns, and passage lengths."""
     places: dict[str, list[tuple[int, int, str]]] = defaultdict(list)
     lengths = {}
     for number, (_, passage, question, answer) in enumerate(items):
@@ -78,12 +98,13 @@ def _automaton(items: tuple[tuple[int, tuple[str, ...], tuple[str, ...], tuple[s
         for kind, words in (("q", question), ("a", answer)):
             if words:
                 places[" ".join(words)].append((number, 0, kind))
+    known = {p: Pattern(tuple({n for n, _, kind in at if kind == "p"}), tuple(at)) for p, at in places.items()}
     automaton = ahocorasick.Automaton()
     for pattern in places:
         automaton.add_word(f" {pattern} ", pattern)
     if places:
         automaton.make_automaton()
-    return automaton, places, lengths
+    return automaton, known, lengths
 
 
 def _pieces(cells: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -126,35 +147,57 @@ def _chain(pieces: list[tuple[int, int, int]], length: int) -> int:
     return top
 
 
-def scan(text: str, items: tuple) -> list[tuple[int, float, int, int, int]]:
-    """Items that a text carries: (item_id, share, pieces, start, end), offsets in the text."""
-    automaton, patterns, lengths = _automaton(items)
+def scan(text: str, items: tuple, scanner: tuple | None = None) -> list[tuple]:
+    """Items that a text carries: (item_id, share, pieces, start, end, question, answer).
+
+    Start and end are offsets in the text; the last two tell whether the item's question and
+    answer stand in the text as well, which alone makes no case.
+    """
+    automaton, patterns, lengths = scanner or _automaton(items)
     if not patterns:
         return []
     words = plain_words(text)
     line = f" {' '.join(words)} "
-    hits: dict[int, list[tuple[int, str]]] = defaultdict(list)
+    hits: list[tuple[int, str]] = []
     last_end, index = 0, 0
-    cells: dict[int, set[tuple[int, int]]] = defaultdict(set)
     for end, pattern in automaton.iter(line):
         # Hits come in the order of their ends, so words are counted once along the line.
         index += line.count(" ", last_end, end)
         last_end = end
-        for number, j, kind in patterns[pattern]:
+        hits.append((index, pattern))
+    if not hits:
+        return []
+    # Windows that many passages share hit many items: only items with enough windows go on.
+    seeds: dict[int, int] = defaultdict(int)
+    for _, pattern in hits:
+        for number in patterns[pattern].items:
+            seeds[number] += 1
+    likely = {n for n, count in seeds.items() if count * SEED >= COVERED * SHARE * lengths[n]}
+    if not likely:
+        return []
+    told: dict[int, set[str]] = defaultdict(set)
+    cells: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    for index, pattern in hits:
+        for number, j, kind in patterns[pattern].places:
+            if number not in likely:
+                continue
             if kind == "p":
                 width = min(SEED, lengths[number])
                 cells[number].update((index - width + k, j + k) for k in range(width))
             else:
-                hits[number].append((index, kind))
+                told[number].add(kind)
     found = []
     for number, held in cells.items():
         length = lengths[number]
         need = SHARE * length
-        if len({j for _, j in held}) < need - length * 0.34:
+        if len({j for _, j in held}) < COVERED * need:
             continue
         pieces = [p for p in _pieces(held) if p[2] >= min(PIECE, length)]
-        if pieces and _chain(pieces, length) >= need:
-            found.append((number, _chain(pieces, length) / length, pieces))
+        if not pieces or sum(p[2] for p in pieces) < need:
+            continue
+        held_words = _chain(pieces, length)
+        if held_words >= need:
+            found.append((number, held_words / length, pieces))
     if not found:
         return []
     places = words_with_offsets(text)[1]
@@ -165,6 +208,8 @@ def scan(text: str, items: tuple) -> list[tuple[int, float, int, int, int]]:
             len(pieces),
             places[min(i for i, _, _ in pieces)],
             places[max(i + n - 1 for i, _, n in pieces)],
+            "q" in told[number],
+            "a" in told[number],
         )
         for number, share, pieces in found
     ]
@@ -178,6 +223,8 @@ _SCHEMA = T.StructType(
         T.StructField("pieces", T.IntegerType()),
         T.StructField("start_offset", T.LongType()),
         T.StructField("last_word_offset", T.LongType()),
+        T.StructField("question_found", T.BooleanType()),
+        T.StructField("answer_found", T.BooleanType()),
     ]
 )
 
@@ -194,11 +241,12 @@ def _block(documents: DataFrame, rows: list) -> DataFrame:
     )
 
     def batches(frames):
+        scanner = _automaton(items)  # once per task: looking it up hashes all items
         for frame in frames:
             out = [
                 (doc, *hit)
                 for doc, text in zip(frame["doc_id"].tolist(), frame["text"].tolist(), strict=True)
-                for hit in scan(text, items)
+                for hit in scan(text, items, scanner)
             ]
             yield pd.DataFrame(out, columns=_SCHEMA.fieldNames())
 
@@ -206,7 +254,7 @@ def _block(documents: DataFrame, rows: list) -> DataFrame:
 
 
 def leaked_items(spark: SparkSession, documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """Distinct rows (doc_id, item_id, share, pieces, start_offset, last_word_offset).
+    """Distinct rows (doc_id, item_id, share, pieces, start_offset, last_word_offset, question_found, answer_found).
 
     Null and blank texts carry nothing, documents without an id are left out, items with a null or empty passage are in no document,
     items that share a passage are all reported. The test set is held in blocks of BLOCK items;
