@@ -8,6 +8,7 @@ of the page's host. Features, predictions and host rates cover all pages.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -66,15 +67,16 @@ _BREAK = re.compile(r"[.!?;]+(?=\s|$)|[。！？]+|\n")
 _SHORT_LINE = re.compile(r"(?:^|(?<=\n))([^\n]*)\n(?=[^\n])")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 _TAG = re.compile(r"#\w+")
-_CODE = re.compile(r"\b[A-Za-z]{2,}\d{3,}\b|\b\d+[a-z]{2}\b")
-_SPACE = re.compile(r"\s+")
+_CODE = re.compile(r"[a-z]{2,}\d{3,}|\d+[a-z]{2}")
 _KANA = re.compile(r"[぀-ヿ]")
 _UNSEEN = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f\xad\u200b-\u200f\u2060\ufeff\ufffd]+")
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
+_NOT_LATIN = re.compile(r"[^A-Za-zÀ-ɏ]+")
+_NOT_DIGIT = re.compile(r"\D+")
 
 
 def _solid(text: str) -> int:
-    return len(_SPACE.sub("", text))
+    """Characters of a text but for white space."""
+    return sum(map(len, text.split()))
 
 
 def page_features(text: str | None) -> list[float]:
@@ -83,33 +85,44 @@ def page_features(text: str | None) -> list[float]:
     total = _solid(text)
     if not total:
         return [0.0] * len(FEATURES)
-    links = sum(len(m) for m in _LINK.findall(text))
+    linked = "](" in text or "http" in text or "www." in text
+    links = sum(len(m) for m in _LINK.findall(text)) if linked else 0
     rest = _LINK.sub(" \x00 ", text) if links else text
     tags = sum(map(len, _TAG.findall(rest))) if "#" in rest else 0
-    codes = sum(map(len, _CODE.findall(rest)))
     # Lines of one or two words are no list by themselves: a sentence may be broken at every word.
     joined = _SHORT_LINE.sub(lambda m: m.group(1) + (" " if m.group(1).count(" ") < 2 else "\n"), rest)
     in_sentences = 0
-    for part in _BREAK.split(joined):
-        if "\x00" in part or not part or part.isspace():
+    words: list[str] = []
+    for part in _BREAK.split(joined.lower()):
+        found = _WORD.findall(part)
+        words += found
+        if "\x00" in part or not found:
             continue
-        if _KANA.search(part):
+        if not part.isascii() and _KANA.search(part):
             in_sentences += _solid(part) if len(part) >= 8 else 0
-            continue
-        words = [w.lower() for w in _WORD.findall(part)]
-        if (
-            len(words) >= 5
-            and len(set(words)) >= 0.6 * len(words)
+        elif (
+            len(found) >= 5
+            and len(set(found)) >= 0.6 * len(found)
             and part.count("#") < 2
-            and not FUNCTION_WORDS.isdisjoint(words)
+            and not FUNCTION_WORDS.isdisjoint(found)
         ):
             in_sentences += _solid(part)
-    words = [w.lower() for w in _WORD.findall(rest)]
     n = len(words)
     windows = [words[i : i + WINDOW] for i in range(0, n, WINDOW)]
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
+    counts = Counter(words)
+    latin = digits = codes = function = search = 0
+    for word, times in counts.items():
+        if word.isascii() and word.isalpha():
+            latin += times * len(word)
+        else:
+            latin += times * len(_NOT_LATIN.sub("", word))
+            digits += times * len(_NOT_DIGIT.sub("", word))
+            if _CODE.fullmatch(word):
+                codes += times * len(word)
+        if word in FUNCTION_WORDS:
+            function += times
+        if word in SEARCH_WORDS:
+            search += times
     return [
         links / total,
         tags / total,
@@ -117,10 +130,10 @@ def page_features(text: str | None) -> list[float]:
         in_sentences / total,
         sum(len(set(w)) / len(w) for w in windows) / len(windows) if windows else 1.0,
         float(np.log1p(n)),
-        len(_LATIN.findall(text)) / total,
-        sum(c for w, c in counts.items() if w in FUNCTION_WORDS) / n if n else 0.0,
-        sum(c for w, c in counts.items() if w in SEARCH_WORDS) / n if n else 0.0,
-        sum(ch.isdigit() for ch in text) / total,
+        latin / total,
+        function / n if n else 0.0,
+        search / n if n else 0.0,
+        digits / total,
         max(counts.values()) / n if n else 0.0,
     ]
 
