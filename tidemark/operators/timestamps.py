@@ -125,7 +125,7 @@ def shape_mask(text: str, abbreviations: frozenset[str]) -> str:
     return _TOKEN.sub(one, text)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=30_000)
 def plans_of(mask: str, whole: bool) -> tuple[Plan, ...]:
     """Parsers of a mask: of all of it, or in a text all places where one begins, in order."""
     found: list[Plan] = []
