@@ -41,6 +41,7 @@ def test_cases(spark):
         (12, "word " * 200_000 + " ".join(c), ""),
         (13, "​".join(" ".join(a)), ""),
         (1, "intro " + " ".join(a) + " end", ""),
+        (None, " ".join(a), ""),
     ]
     got = sorted({(r.doc_id, r.item_id) for r in found(spark, docs).collect()})
     assert got == [(1, 0), (1, 100), (2, 1), (3, 2), (5, 1), (6, 1), (12, 2), (13, 0), (13, 100)]
@@ -64,4 +65,7 @@ def test_blocks_give_the_same(spark, monkeypatch):
     whole = {(r.doc_id, r.item_id) for r in found(spark, docs).collect()}
     monkeypatch.setattr(leakage, "BLOCK", 7)
     assert {(r.doc_id, r.item_id) for r in found(spark, docs).collect()} == whole
+    monkeypatch.setattr(leakage, "BLOCK", 2_000)
+    monkeypatch.setattr(leakage, "BLOCK_CHARACTERS", 3_000)
+    assert {(r.doc_id, r.item_id) for r in found(spark, docs).collect()} == whole
     assert found(spark, docs).filter("false").count() == 0

@@ -15,7 +15,7 @@ def site(n=40):
         promo = "\nEvery plan includes one private feed for schools." if k % 4 == 0 else ""
         text = f"{MENU}\nHome > Plans\n\nRelated pages\nHow schools use a weekly form (3 min)\nPro plan: old seats\nHow teams use a draft form\n{prose(k)}{promo}\n{k} seats\nUpdated on 2025-03-04\n{FOOT}"
         out.append((k, "h", "t", text, [("main", prose(k)), ("nav", f"{MENU} Home > Plans"), ("x", None), ("y", " ")]))
-    return [*out, (900, "h", None, None, None), (901, None, "x", "", []), (900, "h", None, None, None)]
+    return [*out, (900, "h", None, None, None), (901, None, "x", "", []), (900, "h", None, None, None), (None, "h", "{{x}}", prose(1), None)]
 
 
 SCHEMA = "page_id long, host string, title string, visible_text string, selected_sections array<struct<selector string, text string>>"
@@ -28,7 +28,7 @@ def test_main_blocks(spark):
     assert got == {("visible_text", 6), ("visible_text", 7), ("visible_text", 8), ("visible_text", 9), ("selected_sections", 0)}
     promos = {(r.page_id, r.block_no) for r in rows if "private feed" in (r.text or "")}
     assert not promos
-    assert not [r for r in rows if r.page_id >= 900]
+    assert not [r for r in rows if r.page_id is None or r.page_id >= 900]
     joined = {(r.page_id, r.block_field, r.block_no) for r in mc.main_blocks(df, max_sent=1).collect()}
     assert joined == {(r.page_id, r.block_field, r.block_no) for r in rows}
     assert mc.main_blocks(df.limit(0)).count() == 0
@@ -74,7 +74,7 @@ def test_residue_pages(spark):
         page(1, prose(1)), page(2, "Access denied\nYou do not have permission to view this resource. Reference 3."),
         page(3, prose(3) + "\nHello {name},"), page(4, prose(4), "undefined | Brand"), page(5, "Loading…\n" + prose(5) + "\n" + prose(6)),
         page(6, ""), page(7, "Lorem ipsum dolor sit amet elit."), page(8, prose(8) + "\nIf you see this, scripts are switched off; some functions need JavaScript."),
-        page(9, "How teams use a draft form\nChecking your browser before you proceed. This takes a few seconds."), (10, None, None, None, None),
+        page(9, "How teams use a draft form\nChecking your browser before you proceed. This takes a few seconds."), (10, None, None, None, None), (None, "h", "{{x}}", "404 Not Found", None),
         page(11, prose(9), None), page(12, "Try again in a while, the desk is closed for now.", "Oops"), page(13, prose(1) + "\n" + prose(2), "Oops"), page(14, "", "Oops"),
     ]
     got = {(r.page_id, r.reason) for r in tr.residue_pages(spark.createDataFrame(rows, SCHEMA)).collect()}

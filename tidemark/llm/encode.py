@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 
 #: Fixed value: pre-token pattern of the vocabulary byte_bpe_50k.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens that a worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 48
+#: Pre-tokens that a worker remembers, the longest of them in characters, and remembered pairs:
+#: some 100 MB a worker at most.
+REMEMBERED, REMEMBERED_LENGTH, PAIRS = 200_000, 48, 400_000
 #: The vocabulary is sent to the executors; a larger file than this is refused.
 MAX_VOCABULARY_BYTES = 64_000_000
 
@@ -86,7 +87,7 @@ class Encoder:
         rank = self.pairs.get(pair)
         if rank is None:
             rank = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-            if len(self.pairs) < 2_000_000:
+            if len(self.pairs) < PAIRS:
                 self.pairs[pair] = rank
         return rank
 

@@ -31,8 +31,8 @@ PIECE = 6
 REPLACED = 1
 #: Least part of a piece's words that lie in windows: every fourth word may be a replaced one.
 COVERED = SEED / (SEED + REPLACED)
-#: Items per automaton; a larger test set is scanned in blocks of this many items.
-BLOCK = 2_000
+#: Items per automaton, and characters of their texts; a larger test set is scanned in blocks.
+BLOCK, BLOCK_CHARACTERS = 2_000, 20_000_000
 
 _TAG = re.compile(r"<[^<>]{0,400}>")
 _WORD = re.compile(r"[^\W_]+")
@@ -262,7 +262,9 @@ def leaked_items(spark: SparkSession, documents: DataFrame, eval_items: DataFram
     """
     texts = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
     items = eval_items.select("item_id", "passage", "question", "answer").filter(F.col("item_id").isNotNull())
-    blocks = -(-items.count() // BLOCK) or 1
+    length = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("passage", "question", "answer")), F.lit(0))
+    n, characters = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
+    blocks = max(-(-n // BLOCK), -(-characters // BLOCK_CHARACTERS), 1)
     found = None
     for b in range(blocks):
         mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
