@@ -119,19 +119,33 @@ def classify(text: str) -> str:
     return "frame"
 
 
+#: Characters without which no slot can stand in a line; cheaper to look for than all forms.
+SIGN = r"[{$<@%«#\[]|__|:[A-Za-z]"
+
+
 def leaf(text):
     """Leaf of the prefix tree that a line goes to (a column): its words' number and first words."""
-    masked = F.regexp_replace(F.regexp_replace(F.trim(text), SLOT, "<*>"), "[0-9]+(?:[.,][0-9]+)*", "<*>")
+    slots = F.when(text.rlike(SIGN), F.lit(SLOT)).otherwise(F.lit("(?!)"))
+    masked = F.regexp_replace(F.trim(text), slots, F.lit("<*>"))
+    masked = F.regexp_replace(masked, "[0-9]+(?:[.,][0-9]+)*", "<*>")
     words = F.split(masked, r"\s+")
     return F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH))
 
 
+def with_leaf(lines: DataFrame) -> DataFrame:
+    """Non-blank ``lines`` with their leaf, and their text again as ``slotted`` if it may have a slot."""
+    text = F.col("text")
+    return lines.filter(text.rlike(r"\S")).select(
+        "*", leaf(text).alias("leaf"), F.when(text.rlike(SIGN) & text.rlike(SLOT), text).alias("slotted")
+    )
+
+
 def templates(lines: DataFrame) -> DataFrame:
-    """Templates (leaf, lines, verdict) of rows with a column ``text``; each is classified once.
+    """Templates (leaf, lines, verdict) of rows (leaf, text); each is classified once.
 
     The verdict is null where the smallest and the largest line of a leaf are of two classes.
     """
-    leaves = lines.groupBy(leaf(F.col("text")).alias("leaf")).agg(
+    leaves = lines.groupBy("leaf").agg(
         F.count(F.lit(1)).alias("lines"), F.min("text").alias("low"), F.max("text").alias("high")
     )
 
@@ -144,9 +158,13 @@ def templates(lines: DataFrame) -> DataFrame:
 
 
 def judged_lines(lines: DataFrame) -> DataFrame:
-    """``lines`` (page_id, field, text) with the column ``kind``, one of the classes of a line."""
-    lines = lines.filter(F.col("text").rlike(r"\S")).withColumn("leaf", leaf(F.col("text")))
-    known = templates(lines.select("text")).select("leaf", "verdict")
+    """``lines`` (page_id, field, text) with the column ``kind``, one of the classes of a line.
+
+    The lines are read twice, for their templates and for their verdicts, so they are stored
+    with their leaves in the checkpoint folder.
+    """
+    lines = cut_lineage(with_leaf(lines))
+    known = templates(lines.select("leaf", "text")).select("leaf", "verdict")
 
     def slots(texts: pd.Series) -> pd.Series:
         return pd.Series([bool(t) and open_slot(t) for t in texts], dtype=bool)
@@ -157,10 +175,7 @@ def judged_lines(lines: DataFrame) -> DataFrame:
     slot = F.pandas_udf(slots, T.BooleanType())
     alone = F.pandas_udf(single, T.StringType())
     # Python only sees lines with the form of a slot, and lines whose template has no one verdict.
-    joined = lines.join(known, "leaf", "left").withColumn(
-        "slotted", F.when(F.col("text").rlike(SLOT), F.col("text"))
-    )
-    return joined.select(
+    return lines.join(known, "leaf", "left").select(
         "page_id",
         "field",
         "text",
@@ -182,8 +197,7 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     blocks = main_content.main_blocks(pages).filter("block_field = 'visible_text'")
     titles = pages.filter(F.col("page_id").isNotNull()).select("page_id", F.lit("title").alias("field"), F.col("title").alias("text"))
     lines = blocks.select("page_id", F.lit("text").alias("field"), "text").unionByName(titles)
-    # The lines are read twice, for their templates and for their verdicts.
-    kinds = judged_lines(cut_lineage(lines))
+    kinds = judged_lines(lines)
     has = lambda cond: F.max(F.when(cond, 1).otherwise(0)) == 1
     area = F.col("field") == "text"
     page = kinds.groupBy("page_id").agg(
