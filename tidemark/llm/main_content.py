@@ -1,11 +1,11 @@
 """Main body of web pages without the furniture of their site.
 
-Parser events of the standard library's HTML parser, fed piece by piece, give text and tags per
-line. The text-to-tag ratio of the lines is smoothed with a Gaussian and clustered by a threshold
-into content and furniture regions. Text that has already lost its tags gets them back from the
-site: a line that recurs on a share of the host's pages, joins menu entries or has the form of a
-notice counts as made of links. An exact check per line follows, in which the region decides
-where the line alone doesn't, such as the heading between a list of teasers and a body.
+Tables hold text without tags, so rules decide line by line: fixed phrase lists, and the share of
+the host's pages on which a line recurs. The text-to-tag ratio, smoothed with a Gaussian and cut by
+a threshold into regions, can't choose the lines without losing true ones (figures in the README);
+a line that the rules call furniture counts as made of links, and the region is asked only about
+the heading between a list of teasers and a body. For HTML in pieces, html_content() works on
+parser events and regions alone; no query calls it.
 
 Line frequencies are counted over all pages. Only lines above a share of a host's pages are kept
 (at most lines per page divided by the share, for each host); they are sent to the executors
