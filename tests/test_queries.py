@@ -50,3 +50,12 @@ def test_results_don_t_depend_on_partitions(spark):
         seen.add(tuple(sorted(map(repr, entry.queries()["digest_top100"](spark, str(DATA)).collect()))))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(seen) == 1
+
+
+def test_versions_of_all_categories(spark):
+    facts = spark.read.parquet(str(DATA / "facts.parquet")).select("target_identity", "generation", "fact_id", "category")
+    rows = entry.queries()["fact_versions_all"](spark, str(DATA)).join(facts, ["target_identity", "generation", "fact_id"])
+    got = {r.category for r in rows.select("category").distinct().collect()}
+    trusted = spark.read.parquet(str(DATA / "manifests.parquet")).filter("manifest_kind = 'trusted'")
+    kept = facts.join(trusted, ["target_identity", "generation"]).select("category").distinct().collect()
+    assert got == {r.category for r in kept} and len(got) > 1

@@ -697,12 +697,26 @@ def payloads_kept(spark, d):
     JOIN (SELECT target_identity, generation, min(created_at) AS created_at FROM manifests WHERE manifest_kind = 'trusted' GROUP BY 1, 2) m
     USING (target_identity, generation)""")
 def fact_versions(spark, d):
+    """Of availability alone, as its SQL says; ``fact_versions_all`` is over all facts."""
+    return _versions(spark, d, table(spark, d, "facts").filter("category = 'availability'"))
+
+
+@query("""
+    SELECT target_identity, fact_id, generation, lag(fact_value) OVER (PARTITION BY target_identity, fact_id ORDER BY created_at, generation) AS previous, fact_value
+    FROM (SELECT target_identity, fact_id, generation, fact_value FROM facts
+          QUALIFY row_number() OVER (PARTITION BY target_identity, generation, fact_id ORDER BY ord, fact_row) = 1) f
+    JOIN (SELECT target_identity, generation, min(created_at) AS created_at FROM manifests WHERE manifest_kind = 'trusted' GROUP BY 1, 2) m
+    USING (target_identity, generation)""")
+def fact_versions_all(spark, d):
+    return _versions(spark, d, table(spark, d, "facts"))
+
+
+def _versions(spark, d, chosen):
+    """Each fact of the trusted snapshots beside its value in the version before."""
     from pyspark.sql import Window
 
     keys = ["target_identity", "generation", "fact_id"]
-    one = facts.first_wins(
-        table(spark, d, "facts").filter("category = 'availability'"), keys, [F.col("ord"), F.col("fact_row")], ["fact_value"]
-    )
+    one = facts.first_wins(chosen, keys, [F.col("ord"), F.col("fact_row")], ["fact_value"])
     at = (
         table(spark, d, "manifests")
         .filter("manifest_kind = 'trusted'")
