@@ -87,3 +87,17 @@ def test_chunks_round_trip(spark):
     assert set(whole) == {1, 2, 4} and whole[2].text == ""
     broken = parts.filter("NOT (k = 1 AND idx = 3)")
     assert not {r.k: r for r in history.reassemble(broken, "k").collect()}[1].intact
+
+
+def test_glob_ignore_reads_whole_texts(spark, tmp_path):
+    from tidemark.plans import queries
+
+    spark.createDataFrame([("t", ["build ????"]), ("u", None)], "target_identity string, ignore_text_patterns array<string>").write.parquet(str(tmp_path / "targets.parquet"))
+    pages = [(1, "t", "build 1111 A", "Text\nbuild 2222 B"), (2, "u", None, "build 3333")]
+    spark.createDataFrame(pages, "page_id long, target_identity string, title string, visible_text string").write.parquet(str(tmp_path / "extracted_pages.parquet"))
+    spark.createDataFrame([(7, 1, "build 4444 C"), (8, 2, None)], "section_id long, page_id long, text string").write.parquet(str(tmp_path / "text_sections.parquet"))
+    got = {tuple(r) for r in queries.glob_ignore(spark, str(tmp_path)).collect()}
+    assert got == {
+        (1, None, "title", "A"), (1, None, "visible_text", "Text B"), (1, 7, "section", "C"),
+        (2, None, "title", None), (2, None, "visible_text", "build 3333"), (2, 8, "section", None),
+    }

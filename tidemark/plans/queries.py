@@ -410,10 +410,23 @@ def noise_masked(spark, d):
 
 @query()
 def glob_ignore(spark, d):
-    pages, targets = table(spark, d, "extracted_pages"), table(spark, d, "targets")
-    wants = targets.select("target_identity", "ignore_text_patterns")
-    kept = text.drop_globs(F.col("title"), F.col("ignore_text_patterns"))
-    return pages.select("page_id", "target_identity", "title").join(wants, "target_identity", "left").select("page_id", kept.alias("title"))
+    """Titles, whole texts and sections without what their target ignores."""
+    wants = table(spark, d, "targets").select("target_identity", "ignore_text_patterns")
+    pages = table(spark, d, "extracted_pages").select("page_id", "target_identity", "title", "visible_text")
+    none = F.lit(None).cast("bigint").alias("section_id")
+    sections = table(spark, d, "text_sections").select("page_id", "section_id", "text")
+    rows = (
+        pages.select("page_id", none, F.lit("title").alias("field"), "target_identity", F.col("title").alias("text"))
+        .unionByName(pages.select("page_id", none, F.lit("visible_text").alias("field"), "target_identity", F.col("visible_text").alias("text")))
+        .unionByName(
+            sections.join(pages.select("page_id", "target_identity"), "page_id", "left").select(
+                "page_id", "section_id", F.lit("section").alias("field"), "target_identity", "text"
+            )
+        )
+    )
+    rows = spread(rows.join(wants, "target_identity", "left"))
+    kept = text.collapse(text.drop_globs(text.collapse(F.col("text")), F.col("ignore_text_patterns")))
+    return rows.select("page_id", "section_id", "field", kept.alias("text"))
 
 
 @query("""
