@@ -21,6 +21,9 @@ def one(text, zone="Europe/Berlin", order="DMY", whole=True):
     [
         ("2025-11-14T14:26:57.097Z", "2025-11-14T14:26:57.097000+00:00"),
         ("2024-08-18T04:39:19.533145106Z", "2024-08-18T04:39:19.533145+00:00"),
+        ("2024-08-18T04:39:19." + "5" * 200 + "Z", "2024-08-18T04:39:19.555555+00:00"),
+        ("1730194456." + "2" * 300, "2024-10-29T09:34:16.222222+00:00"),
+        ("2024-08-18T04:39:19Z" + "x" * 5000, None),
         ("20260405T022751", "2026-04-05T00:27:51+00:00"),
         ("20260405T022751Z", "2026-04-05T02:27:51+00:00"),
         ("2026-06-14t03:31z", "2026-06-14T03:31:00+00:00"),

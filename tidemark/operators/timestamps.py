@@ -48,6 +48,8 @@ WEEKDAYS = (
 COUNT_YEARS = (2024, 2027)
 #: Zone abbreviations are a small dimension; more rows than this are refused.
 MAX_ABBREVIATIONS = 10_000
+#: Characters of a mask up to which its parsers are remembered (memory of a worker, not a bound of texts).
+_REMEMBERED = 200
 
 _MONTH_NO = {name: i + 1 for i, names in enumerate(MONTHS) for name in names}
 _WORDS = {
@@ -125,9 +127,20 @@ def shape_mask(text: str, abbreviations: frozenset[str]) -> str:
     return _TOKEN.sub(one, text)
 
 
-@lru_cache(maxsize=30_000)
 def plans_of(mask: str, whole: bool) -> tuple[Plan, ...]:
-    """Parsers of a mask: of all of it, or in a text all places where one begins, in order."""
+    """Parsers of a mask: of all of it, or in a text all places where one begins, in order.
+
+    Masks of any length have parsers; only those of usual length are remembered.
+    """
+    return _known_plans(mask, whole) if len(mask) <= _REMEMBERED else _plans(mask, whole)
+
+
+@lru_cache(maxsize=30_000)
+def _known_plans(mask: str, whole: bool) -> tuple[Plan, ...]:
+    return _plans(mask, whole)
+
+
+def _plans(mask: str, whole: bool) -> tuple[Plan, ...]:
     found: list[Plan] = []
     if whole:
         for layout in (*_LAYOUTS, _COUNT):
@@ -275,7 +288,7 @@ class Converter:
                 continue
             if all_of_it:
                 text = text.strip()
-                if text and len(text) <= 200:
+                if text:
                     groups[shape_mask(text, known), True].append((i, text))
                 continue
             mask = shape_mask(text, known)
