@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import stored
+
 _HEX = "^(?:[0-9a-f]{2})+$"
 
 
@@ -175,8 +177,13 @@ def snapshot_changes(manifests: DataFrame, facts: DataFrame) -> DataFrame:
     The first snapshot of a target yields nothing; a snapshot without facts is empty, so all
     facts before it are removed. Null keys name no fact and are left out; a null value is JSON
     null. Empty tables give no rows.
+
+    The snapshots are indexed once and written to the checkpoint folder: facts and events are
+    joined with a table of known size, by broadcast while it is small, by a shuffle beyond.
+    The names of generations are fetched for the events only, since to carry two of them with
+    every fact through both shuffles costs more than to join the few facts that changed.
     """
-    snapshots = trusted_snapshots(manifests)
+    snapshots = stored(trusted_snapshots(manifests))
     over = Window.partitionBy("t", "fact_id").orderBy("idx")
     seen = snapshot_facts(facts, snapshots).select(
         "t",

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
+from atexit import register
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +30,9 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     if not root.is_dir():  # already running from an archive
         return
-    archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark_package.zip"
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "tidemark_package.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for file in sorted(root.rglob("*.py")):
             z.write(file, str(file.relative_to(root.parent)))
@@ -65,7 +70,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
     spark.sparkContext.setCheckpointDir(named)
-    return named
+    made = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    # Spark makes a folder of its own under the named one; it goes when the driver ends.
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return made
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -74,6 +83,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Unlike a checkpoint, the table has a known size, so Spark may broadcast it below
+    ``spark.sql.autoBroadcastJoinThreshold`` and joins it by a shuffle beyond that.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect a small dimension; raise if it has more than ``limit`` rows."""
     rows = df.limit(limit + 1).collect()
