@@ -42,3 +42,17 @@ def left_join_spread(
         .withColumnRenamed(key, "key_")
     )
     return left.join(right, ["key_", "part_"], "left").drop("key_", "part_")
+
+
+def hot_split(big: DataFrame, small: DataFrame, keys: list[str], by: str, share: float = SHARE, parts: int = PARTS):
+    """Inner join of ``big`` with ``small`` (unique per ``keys``) with hot keys split by a hash of ``by``.
+
+    Returns the join with its column ``part_``; it is partitioned by ``keys`` and ``part_``, so an
+    aggregation by these and more columns needs no further shuffle.
+    """
+    hot = hot_keys(big.select(F.xxhash64(*keys).alias("key_")), "key_", share)
+    part = F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")
+    is_hot = F.xxhash64(*keys).isin(hot) if hot else F.lit(False)
+    left = big.withColumn("part_", F.when(is_hot, part).otherwise(F.lit(0)))
+    each = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(small.withColumn("part_", F.explode(each)), [*keys, "part_"])

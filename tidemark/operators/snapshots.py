@@ -4,8 +4,8 @@ Every key is windowed by the index of its snapshot: the lag of the value's hash
 change, a gap in the indexes shows a removal and a later addition. Snapshots with the hash of
 the one before them are left out first, since their facts are equal.
 
-Positions of a target's snapshots are found in two levels (per day, then over days), so that a
-target with a third of all snapshots is spread over its days instead of filling one task.
+Positions of a target's snapshots are found in two levels (per month, then over months), so that
+a target with a third of all snapshots is spread over its months instead of filling one task.
 """
 
 from __future__ import annotations
@@ -18,8 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.skew import hot_split
 from tidemark.session import stored
 
+#: Days of a bucket in which the snapshots of a target are ordered by one task.
+BUCKET_DAYS = 32
+
 _HEX = "^(?:[0-9a-f]{2})+$"
 
 
@@ -73,7 +77,8 @@ def trusted_snapshots(manifests: DataFrame) -> DataFrame:
     """Snapshots as (t, g, idx, next_g) without those whose hash is that of the one before.
 
     Distinct generations of manifests of kind 'trusted', ordered by created_at, then generation.
-    A manifest that was delivered again counts once. ``idx`` is dense from 1 per target.
+    A manifest that was delivered again counts once. ``idx`` is dense from 1 per target. Snapshot
+    hashes are carried as 64 bits, since only neighbours are compared; a null hash equals none.
     """
     once = (
         manifests.filter(
@@ -81,14 +86,19 @@ def trusted_snapshots(manifests: DataFrame) -> DataFrame:
             & F.col("target_identity").isNotNull()
             & F.col("generation").isNotNull()
         )
-        .select(packed_key("target_identity").alias("t"), F.col("generation").alias("g"), "created_at", "snapshot_hash")
+        .select(
+            packed_key("target_identity").alias("t"),
+            F.col("generation").alias("g"),
+            "created_at",
+            F.when(F.col("snapshot_hash").isNotNull(), F.xxhash64("snapshot_hash")).alias("h"),
+        )
         .groupBy("t", "g")
-        .agg(F.min("created_at").alias("c"), F.min("snapshot_hash").alias("h"))
+        .agg(F.min("created_at").alias("c"), F.min("h").alias("h"))
     )
-    day = F.coalesce(F.unix_date(F.to_date("c")), F.lit(-1_000_000))
-    seen = positioned(once, ["t"], ["c", "g"], day, ["h"])
+    span = F.coalesce(F.floor(F.unix_date(F.to_date("c")) / BUCKET_DAYS), F.lit(-1_000_000))
+    seen = positioned(once, ["t"], ["c", "g"], span, ["h"])
     starts = seen.filter(F.col("prev").isNull() | ~F.col("h").eqNullSafe(F.col("prev.h")) | F.col("h").isNull())
-    placed = positioned(starts.select("t", "g", "c"), ["t"], ["c", "g"], day, ["g"])
+    placed = positioned(starts.select("t", "g", "c"), ["t"], ["c", "g"], span, ["g"])
     return placed.select("t", "g", F.col("position").cast("int").alias("idx"), F.col("next.g").alias("next_g"))
 
 
@@ -149,7 +159,13 @@ def value_hash(col: str) -> Column:
 
 
 def snapshot_facts(facts: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """One row (t, fact_id, idx, h, last) per fact of a snapshot; the lowest ord counts."""
+    """One row (t, fact_id, idx, h, last) per fact of a snapshot; the lowest ord counts.
+
+    Two shuffles: by snapshot for the join, where copies of a fact meet and are aggregated in
+    place, and by (t, fact_id) for what is left, whose partitioning the window over snapshots
+    shares. Snapshots that hold a share of all facts are split by a hash of the row, so copies
+    of their facts meet after the second shuffle only, aggregated in parts before it.
+    """
     raw = facts.filter(
         F.col("target_identity").isNotNull() & F.col("generation").isNotNull() & F.col("fact_id").isNotNull()
     ).select(
@@ -164,8 +180,14 @@ def snapshot_facts(facts: DataFrame, snapshots: DataFrame) -> DataFrame:
         value_hash("fact_value").alias("h"),
     )
     known = snapshots.select("t", "g", "idx", F.col("next_g").isNull().alias("last"))
+    parts = (
+        hot_split(raw, known, ["t", "g"], "rank")
+        .groupBy("t", "g", "part_", "fact_id", "idx", "last")
+        .agg(F.min_by("h", "rank").alias("h"), F.min("rank").alias("rank"))
+    )
     return (
-        raw.join(known, ["t", "g"])
+        parts.select("t", "fact_id", "idx", "last", "h", "rank")
+        .repartition("t", "fact_id")
         .groupBy("t", "fact_id", "idx", "last")
         .agg(F.min_by("h", "rank").alias("h"))
     )
