@@ -1,152 +1,66 @@
 """Main body of web pages without the furniture of their site.
 
-Tables hold text without tags, so rules decide line by line: fixed phrase lists, and the share of
-the host's pages on which a line recurs. The text-to-tag ratio, smoothed with a Gaussian and cut by
-a threshold into regions, can't choose the lines without losing true ones (figures in the README);
-a line that the rules call furniture counts as made of links, and the region is asked only about
-the heading between a list of teasers and a body. For HTML in pieces, html_content() works on
-parser events and regions alone; no query calls it.
-
-Line frequencies are counted over all pages. Only lines above a share of a host's pages are kept
-(at most lines per page divided by the share, for each host); they are sent to the executors
-while they are few, else joined.
+Each page is a stream of parser events that give lines with their text and tags. Texts of tables
+have lost their tags, so the tags of a line are made from what the site does with it: a line that
+many pages of its host repeat, an entry of a menu, an item of a list of links counts as tagged
+text. The text-to-tag ratios of a page's lines, on a log scale, are smoothed with a Gaussian and
+cut at a threshold; the lines above it form the content regions. No phrases are listed: which
+lines are furniture, open a list of links or belong to a menu is counted over all pages.
+
+Counts are made with map-side aggregation. What is known of a host's lines goes to the tasks that
+hold its pages as rows of the same shuffle, so nothing is broadcast or collected; hosts with
+many pages are split.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
+from functools import lru_cache
 from html.parser import HTMLParser
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: Share of a host's pages from which a sentence is furniture, and pages that must have it.
-SENTENCE_SHARE, SENTENCE_PAGES = 0.073, 3
-#: Share from which another line is furniture, with its digits masked.
-LINE_SHARE = 0.12
-#: Mean place, of 0 to 1, below which a recurring short line belongs to the menu at the top.
-MENU_PLACE = 0.45
-#: Width of the Gaussian in lines, and threshold in standard deviations above zero.
-SIGMA, THRESHOLD = 1.0, 0.5
-#: Frequent lines that are sent to the executors; more are joined by (host, line).
-MAX_SENT = 300_000
-#: Items of a list of teasers: fewest and most.
-TEASERS = (2, 5)
-
-#: Titles above lists of teasers.
-TEASER_TITLES = frozenset(
-    (
-        "You may also like;Related pages;Latest posts;Popular tags;Most read;On this site;Verwandte Seiten;"
-        "Meistgelesen;Das könnte Sie interessieren;Les plus lus;Pages liées;Páginas relacionadas;Lo más leído;"
-        "人気の記事;関連ページ"
-    ).split(";")
-)
-#: Notices, offers, forms and footer lines of sites in five languages.
-NOTICE_PATTERN = (
-    r"This site uses cookies\.|^We and \d+ partners store small files|^Your choices about tracking:"
-    r"|^To measure visits and show fitting offers|values your privacy\. Accept all|^Cookie settings saved\."
-    r"|^Accept all Reject all$|^Diese Website verwendet Cookies\.|^Wir und \d+ Partner speichern"
-    r"|achtet auf Ihre Daten: alle annehmen|^Alle annehmen Ablehnen$|^Nous utilisons des cookies avec"
-    r"|^En poursuivant votre visite, vous acceptez|^Tout accepter Refuser$|^Usamos cookies propias"
-    r"|^Al seguir navegando acepta|^Aceptar todo Rechazar$|^当サイトではクッキー|クッキーを利用します。$|^同意する 拒否する$"
-    r"|Try .{1,60} free for \d+ days, no card needed\.$|jetzt \d+ Tage kostenlos testen\.$"
-    r"|Essayez .{1,60} pendant \d+ jours\.$|Pruebe .{1,60} gratis \d+ días\.$|日間無料でお試しください。$"
-    r"|^\d+ people are looking at this page right now$|^Chat with us, we usually reply in \d+ minutes$"
-    r"|^Enter your e-mail to get \d+% off|^You have \d+ items in your basket$|^Signed in as guest-\d+$"
-    r"|^\d+ Artikel im Warenkorb$|^Angemeldet als Gast-\d+$|^Rate this page: 1 2 3 4 5$"
-    r"|^Was this page helpful\? Yes No$|^War diese Seite hilfreich\? Ja Nein$"
-    r"|^Cette page vous a-t-elle aidé \? Oui Non$|^¿Le ha sido útil esta página\? Sí No$"
-    r"|^‹ \S+ 1 2 3 … \d+ \S+ ›$|^English \| Deutsch|^If you see this, scripts are switched off;"
-    r"|^Subscribe to our newsletter and|^Jetzt den Newsletter abonnieren|^Abonnez-vous à notre lettre"
-    r"|^Suscríbase a nuestro boletín|^メールマガジンに登録"
-    r"|^© \d{4} |^Registered under number \d+$|^Do not sell my data$|^Prices exclude VAT where applicable\.$"
-    r"|^Alle Preise zzgl\. MwSt\.$|^Accessibility statement$|^Cookie settings$|^Made with care by the "
-    r"|^Privacy notice$|^Terms of service$|^Imprint$|^Sitemap$|, \d+ Harbour Row, Unit \d+$|, Hafenzeile \d+$"
-    r"|, \d+ quai des Tilleuls$|, Muelle Viejo \d+$|^Datenschutz$|^Cookie-Einstellungen$|^Impressum$"
-    r"|^Barrierefreiheit$|^AGB$|^Plan du site$|^Mentions légales$|^Confidentialité$|^Conditions générales$"
-    r"|^Mapa del sitio$|^Aviso legal$|^Condiciones$|^Privacidad$|^サイトマップ$|^利用規約$|^プライバシー$"
-    r"|^特定商取引法に基づく表記$|^Follow us on social media$|^Share this page$|^Get the app$|^Advertisement$"
-    r"|^Back to top$|^Skip to main content$|^Print$|^Search$|^Menu$|^Folgen Sie uns$|^Anzeige$|^Drucken$"
-    r"|^Seite teilen$|^Suche$|^Menü$|^Zum Inhalt springen$|^Nach oben$|^Suivez-nous$|^Partager$|^Recherche$"
-    r"|^Publicité$|^Haut de page$|^Aller au contenu$|^Imprimer$|^Ir al contenido$|^Imprimir$|^Síganos$"
-    r"|^Publicidad$|^Buscar$|^Compartir$|^Volver arriba$|^共有$|^ページの先頭へ$|^本文へ移動$|^広告$|^印刷$"
-    r"|^フォローする$|^検索$"
-)
-#: First entries of a trail of pages.
-TRAIL = re.compile(r"^(?:Home|Startseite|Accueil|Inicio|ホーム)\s*[/>»]\s*\S.*$")
-#: Endings of teasers.
-TEASER_END = re.compile(r"\s(?:\(\d+ min\)|– read more|→)$")
-_DATED = re.compile(r"^(?:[^\W\d]+ ){0,4}[^\W\d]*[\s:]*(?:\d{4}-\d\d?-\d\d?|\d{1,2}\.? [^\W\d]+ \d{4}|[^\W\d]+ \d{1,2}, \d{4})$")
-_LISTED = re.compile(r"^\d+ [^\W\d]+(?: [^\W\d]+)?$")
-_MENU = re.compile(r"\s(?:[|·/•])\s|\s{2,}")
-_END = re.compile(r"[.!?。！？…:;]['”\")]*$")
-_DIGITS = re.compile(r"\d+")
-_SENTENCE_WORDS = 5
-
-
-def alternatives(pattern: str) -> list[str]:
-    """The alternatives of a pattern at its top level."""
-    parts, depth, at, inside = [], 0, 0, False
-    k = 0
-    while k < len(pattern):
-        c = pattern[k]
-        if c == "\\":
-            k += 2
-            continue
-        if inside:
-            inside = c != "]"
-        elif c == "[":
-            inside = True
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "|" and not depth:
-            parts.append(pattern[at:k])
-            at = k + 1
-        k += 1
-    return [*parts, pattern[at:]]
-
-
-class Either:
-    """Searches a pattern of many alternatives: the anchored ones are tried at the start only.
-
-    Texts recur on pages of a site, so what was found for short ones is remembered.
-    """
-
-    def __init__(self, pattern: str) -> None:
-        parts = alternatives(pattern)
-        starts = [p for p in parts if p.startswith("^")]
-        rest = [p for p in parts if not p.startswith("^")]
-        self._start = re.compile("|".join(starts) or "(?!)")
-        self._rest = re.compile("|".join(rest) or "(?!)")
-        self._known: dict[str, bool] = {}
-
-    def search(self, text: str) -> bool:
-        found = self._known.get(text)
-        if found is None:
-            found = bool(self._start.match(text) or self._rest.search(text))
-            if len(text) <= 120:
-                if len(self._known) >= 100_000:
-                    self._known.clear()
-                self._known[text] = found
-        return found
-
-
-class Line(NamedTuple):
-    """A line of a page: its text, the tags on it, and what the site says of it."""
-
-    text: str
-    tags: float = 0.0
-    share: float = 0.0
-    pages: int = 0
-    masked_share: float = 0.0
-    place: float = 1.0
 
+from tidemark.operators.skew import hot_keys
+
+#: Shares of a host's pages from which a sentence, or another line, counts as fully tagged.
+SENTENCE_SHARE, LINE_SHARE = 0.05, 0.09
+#: The same for a line with figures and site names masked, on the host that repeats it most.
+TEMPLATE_SHARE = 0.3
+#: Share of its occurrences in which a line is followed by two short lines, to open a list of links,
+#: and its share on the host that repeats it most.
+OPENS, OPENER_SHARE = 0.75, 0.06
+#: Share of its occurrences in which a label stands in a menu at the top of a page.
+MENU = 0.5
+#: Tags of a line: a base, and as many per word; entries of a menu count as more.
+TAGS, TAGS_WORD, TAGS_ENTRY = 4, 3, 4
+#: Text-to-tag ratio at the threshold, and most characters of a line that count.
+THRESHOLD, CHARACTERS = 4.0, 400
+#: Width of the Gaussian in lines, and bound of a log ratio.
+SIGMA, BOUND = 0.5, 3.0
+#: Log ratio of lines that may be a link or a heading: just below the threshold, so that the
+#: lines beside them decide.
+UNSURE = 0.02
+#: Log ratio from which a line surely begins the body.
+BODY = 0.5
+#: Parts into which the pages of a host are split that holds a fiftieth of all pages.
+PARTS = 8
 
-NOTICES = Either(NOTICE_PATTERN)
+_DIGITS = re.compile(r"\d+")
+_END = re.compile(r"[.!?。！？…:;]['”\")]*$")
+_LINKED = re.compile(r"\s(?:\(\d+[^()]{0,20}\)|[–—]\s\S+(?:\s\S+)?|[→»›])$")
+_SEPARATOR = re.compile(r"\s(?:[|·/•»>›])\s|\s{2,}")
+_DATE = re.compile(r"\d{4}-\d\d?-\d\d?|\d{1,2}\.? [^\W\d]+ \d{4}|[^\W\d]+ \d{1,2}, \d{4}|\d{4}年")
+_PRICE = re.compile(r"\d[\d.,]*\s?(?:[A-Z]{3}|[€$£¥₹円])$|[€$£¥₹]\s?\d[\d.,]*$")
+_WIDE = re.compile(r"[⺀-鿿가-힣豈-﫿＀-￯]")
+_NAMES = re.compile(r"[^a-z0-9]+")
+_SENTENCE_WORDS, _ENTRY, _SHORT = 5, 24, 80
 
 
 class LineEvents(HTMLParser):
@@ -195,156 +109,222 @@ class LineEvents(HTMLParser):
         self._flush()
 
 
-def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
-    """Gaussian smoothing with the kernel renormalised at both ends."""
-    reach = max(1, math.ceil(3 * sigma))
-    kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
-    out = []
-    for i in range(len(values)):
-        total = weight = 0.0
-        for k, w in enumerate(kernel):
-            j = i + k - reach
-            if 0 <= j < len(values):
-                total += w * values[j]
-                weight += w
-        out.append(total / weight)
-    return out
+class Line(NamedTuple):
+    """A line: text, text with figures and site names masked, words, weight in characters, and forms."""
 
+    text: str
+    masked: str
+    words: int
+    weight: int
+    sentence: bool
+    valued: bool  # begins with a figure, or holds a date or price
+    dated: bool  # holds a date or price
+    label: bool  # a few words without figures
+    entries: int  # of a menu in one line
+    linked: bool  # ends like a link: reading time, arrow, call
+    tags: int
 
-def regions(ratios: list[float]) -> list[bool]:
-    """Content by the smoothed text-to-tag ratio: above a share of its standard deviation."""
-    if not ratios:
-        return []
-    smoothed = smooth(ratios)
-    mean = sum(smoothed) / len(smoothed)
-    deviation = math.sqrt(sum((v - mean) ** 2 for v in smoothed) / len(smoothed))
-    return [v >= THRESHOLD * deviation for v in smoothed]
 
+class Known(NamedTuple):
+    """What the site does with a line: its share of the host's pages, and see the parameters above."""
 
-def html_content(pieces) -> list[str]:
-    """Lines of the content regions of an HTML page that is given in pieces."""
-    parser = LineEvents()
-    for piece in pieces:
-        parser.feed(piece)
-    parser.close()
-    kept = regions([min(len(text), 400) / (1 + tags) for text, tags in parser.lines])
-    return [text for (text, _), keep in zip(parser.lines, kept, strict=True) if keep]
+    share: float = 0.0
+    most: float = 0.0
+    menu: bool = False
+    opener: bool = False
+
+
+_NOTHING = Known()
 
 
-def is_menu(text: str) -> bool:
-    """Three or more short entries that a separator joins, or a trail of pages."""
-    if TRAIL.match(text):
-        return True
-    parts = [p for p in _MENU.split(text) if p]
-    return len(parts) >= 3 and all(len(p) <= 24 and not p.endswith(".") and not any(c.isdigit() for c in p) for p in parts)
+@lru_cache(maxsize=4096)
+def _site_names(host: str):
+    names = sorted({x for x in _NAMES.split(host.lower()) if len(x) > 3}, key=lambda x: (-len(x), x))
+    return re.compile(r"(?<![^\W_])(?:" + "|".join(names) + r")(?![^\W_])", re.IGNORECASE) if names else None
 
 
 def is_sentence(text: str) -> bool:
     return bool(_END.search(text)) and (text.count(" ") + 1 >= _SENTENCE_WORDS or not text.isascii() and len(text) >= 8)
 
 
-#: Forms of headings, which teasers share with the body.
-HEADING = re.compile(
-    r"^(?:How .+ use an? .+|\S+(?: \S+)? plan: .+|[A-Z]\w+ [a-z]+ [a-z]+ and [a-z A-Z]+|.{1,40} \w+ notes [\d.]+"
-    r"|Hinweise zu .+ bei .+|Informations sur .+ chez .+|Notas sobre .+ en .+|.+のお知らせ.*)$"
-)
+def menu_entries(text: str) -> int:
+    """Number of short entries that separators join; 0 for less than three, or for other text."""
+    parts = [p for p in _SEPARATOR.split(text) if p]
+    return len(parts) if len(parts) >= 3 and all(len(p) <= _ENTRY and not p.endswith(".") for p in parts) else 0
+
+
+def _line(text: str, host: str) -> Line:
+    plain, tags = text, 0
+    if "<" in text or "&" in text:
+        parser = LineEvents()
+        parser.feed(text)
+        parser.close()
+        plain = " ".join(t for t, _ in parser.lines) or text
+        tags = sum(n for _, n in parser.lines)
+    masked = " ".join(plain.split())
+    if any(c.isdigit() for c in masked):
+        masked = _DIGITS.sub("0", masked)
+    if (names := _site_names(host)) is not None:
+        masked = names.sub("#", masked)
+    wide = 0 if plain.isascii() else len(_WIDE.findall(plain))
+    words = plain.count(" ") + 1 + wide // 3
+    sentence = is_sentence(plain)
+    figures = not masked.isalpha() and "0" in masked
+    long = len(plain) > 200
+    dated = not sentence and figures and bool(_DATE.search(plain) or _PRICE.search(plain))
+    return Line(
+        text,
+        masked,
+        words,
+        len(plain) + 2 * wide,
+        sentence,
+        not sentence and figures and (plain[0].isdigit() or dated),
+        dated,
+        words <= 3 and not figures and not _END.search(plain),
+        0 if sentence and long else menu_entries(plain),
+        not sentence and bool(_LINKED.search(plain)),
+        tags,
+    )
 
 
-def is_heading(text: str) -> bool:
-    return bool(HEADING.match(TEASER_END.sub("", text))) and not is_sentence(text)
+@lru_cache(maxsize=50_000)
+def _short_line(text: str, host: str) -> Line:
+    return _line(text, host)
 
 
-def furniture(line: Line) -> bool:
-    """Whether a line alone is surely furniture."""
-    text = line.text
-    if text in TEASER_TITLES or NOTICES.search(text) or is_menu(text) or TEASER_END.search(text):
-        return True
-    if line.share >= SENTENCE_SHARE and line.pages >= SENTENCE_PAGES and not _DATED.match(text) and not is_heading(text):
-        return True
-    if is_sentence(text) or is_heading(text) or _DATED.match(text) or _LISTED.match(text):
-        return False
-    return line.masked_share >= LINE_SHARE and line.pages >= SENTENCE_PAGES
+def line_of(text: str, host: str) -> Line:
+    """The line of a text on a host; lines recur on pages, so the short ones are remembered."""
+    return _short_line(text, host) if len(text) <= 160 else _line(text, host)
 
 
-def _menu_entry(line: Line) -> bool:
-    """A short line that recurs near the top of the host's pages and has no other form."""
-    text = line.text
-    return (
-        line.place < MENU_PLACE
-        and len(text) <= 30
-        and text not in TEASER_TITLES
-        and not NOTICES.search(text)
-        and not is_menu(text)
-        and not TEASER_END.search(text)
-    )
+def page_lines(text: str | None, host: str) -> tuple[list[int], list[Line]]:
+    """Numbers and lines of the non-blank lines of a page."""
+    numbers, lines = [], []
+    for k, part in enumerate((text or "").split("\n")):
+        part = part.strip()
+        if part:
+            numbers.append(k)
+            lines.append(line_of(part, host))
+    return numbers, lines
 
 
-def _label(text: str) -> bool:
-    """A heading of one to three words without figures, such as one that names a menu entry."""
-    return text.count(" ") <= 2 and not any(c.isdigit() for c in text) and not _END.search(text)
+def top_menu(lines: list[Line]) -> int:
+    """Number of different labels that a page begins with, if these are a menu: three at least."""
+    seen: set[str] = set()
+    for x in lines:
+        if not x.label or x.text in seen:
+            break
+        seen.add(x.text)
+    return len(seen) if len(seen) >= 3 else 0
 
 
-def content_lines(lines: list[Line]) -> tuple[list[bool], list[int]]:
-    """Whether each non-blank line belongs to the content area, and the places of unsure ones."""
-    n = len(lines)
-    sure = [furniture(x) for x in lines]
-    joined = {p for x in lines if is_menu(x.text) and not TRAIL.match(x.text) for p in _MENU.split(x.text)}
-    # The menu may stand as one entry per line at the top. The same words further down, or below
-    # a menu that joins them, are headings.
-    menu = [f and _menu_entry(x) for f, x in zip(sure, lines, strict=True)]
-    seen: set[str] = set()
-    top = 0
-    while top < n and menu[top] and lines[top].text not in seen:
-        seen.add(lines[top].text)
-        top += 1
-    if top < 3:
-        top = 0
-    for i in range(top, n):
-        if menu[i] or lines[i].text in joined:
-            sure[i] = False
-    ratios = [
-        min(len(x.text), 400) / (1 + x.tags + (len(x.text.split()) + 4 if f else 0))
-        for x, f in zip(lines, sure, strict=True)
-    ]
-    region = regions(ratios)
-    verdict = [not f for f in sure]
-    # A sentence that the host repeats may stand in a body as well.
-    unsure = [
-        i for i in range(top, n) if sure[i] and is_sentence(lines[i].text) and not NOTICES.search(lines[i].text)
-    ]
-    i = 0
-    while i < n:
-        if lines[i].text not in TEASER_TITLES:
-            i += 1
+def _item(x: Line) -> bool:
+    """Whether a line may be an item of a list of links."""
+    return not x.sentence and not x.valued and not x.entries and len(x.text) <= _SHORT
+
+
+def smooth(values: list[float], sigma: float = SIGMA, places: list[float] | None = None) -> list[float]:
+    """Gaussian smoothing with the kernel renormalised; ``places`` of the values if not 0, 1, 2, ..."""
+    n = len(values)
+    at = places or list(range(n))
+    reach = 3 * sigma + 1e-9
+    scale = 2 * sigma * sigma
+    out = []
+    for i in range(n):
+        total, weight = values[i], 1.0
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < n and abs(at[j] - at[i]) <= reach:
+                w = math.exp(-((at[j] - at[i]) ** 2) / scale)
+                total += w * values[j]
+                weight += w
+                j += step
+        out.append(total / weight)
+    return out
+
+
+def log_ratio(weight: float, tags: float) -> float:
+    """Text-to-tag ratio on a log scale; 0 is the threshold."""
+    return max(-BOUND, min(BOUND, math.log(max(1.0, min(weight, CHARACTERS)) / (1 + tags) / THRESHOLD)))
+
+
+def repeated(x: Line, known: Known) -> float:
+    """From 0 to 1, how much a line is one that the site repeats.
+
+    Dates and prices aren't: their form says nothing of them.
+    """
+    if x.dated:
+        return 0.0
+    own = 0.0 if x.valued else min(1.0, (known.share / (SENTENCE_SHARE if x.sentence else LINE_SHARE)) ** 2)
+    return own if x.label else max(own, min(1.0, (known.most / TEMPLATE_SHARE) ** 6))
+
+
+def line_scores(lines: list[Line], lookup) -> tuple[list[float], list[bool]]:
+    """Smoothed log ratios of a page's lines, and which lines were unsure by themselves.
+
+    ``lookup`` gives what is known of a line. Lines that the site repeats, before the body begins,
+    take no place: a notice between a heading and its body doesn't part them.
+    """
+    menu = top_menu(lines)
+    ratios, cut, unsure = [], [], []
+    entries: set[str] = set()
+    in_list = False
+    for i, x in enumerate(lines):
+        known = lookup(x)
+        f = repeated(x, known)
+        heading = False  # an entry of the menu that stands elsewhere
+        if x.label and known.menu:
+            f, heading = (1.0, False) if i < menu else (0.0, True)
+        elif x.label and x.text in entries:
+            f, heading = 0.0, True
+        if known.opener:
+            f = 1.0
+        tags = x.tags + f * (TAGS + TAGS_WORD * x.words)
+        joined = x.entries
+        if joined:
+            entries.update(_SEPARATOR.split(x.text))
+        elif not x.sentence and _SEPARATOR.search(x.text):
+            parts = _SEPARATOR.split(x.text)
+            joined = len(parts) if len(parts) > 2 or lookup(line_of(parts[0] or " ", "")).share > 0.2 else 0
+        if joined:
+            tags = max(tags, TAGS_ENTRY * joined + x.words)
+        ratio = log_ratio(x.weight, tags)
+        open_ = False
+        if known.opener:
+            in_list = True
+        elif x.linked:
+            ratio = log_ratio(x.weight, max(tags, TAGS + TAGS_WORD * x.words))
+        elif in_list and _item(x) and f < 0.5 and not heading:
+            ratio, open_ = min(ratio, -UNSURE), True
+        else:
+            in_list = False
+        ratios.append(ratio)
+        unsure.append(open_)
+        cut.append((f >= 0.9 or joined > 0) and not known.opener)
+    out = list(ratios)
+    places, kept, at, begun = [], [], 0, False
+    for i, ratio in enumerate(ratios):
+        if cut[i] and not begun:
             continue
-        j = i + 1
-        while j < n and (is_heading(lines[j].text) or TEASER_END.search(lines[j].text)):
-            j += 1
-        items = list(range(i + 1, j))
-        plain = 0
-        while plain < len(items) and not TEASER_END.search(lines[items[-1 - plain]].text):
-            plain += 1
-        own = 0
-        if plain and len(items) > TEASERS[0]:
-            own = max(0, len(items) - TEASERS[1])
-            if not own:
-                after = next((k for k in range(j, n) if not sure[k]), None)
-                if after is None or is_heading(lines[after].text) or _label(lines[after].text):
-                    own = 0
-                elif after == j:
-                    own = 1
-                else:
-                    before = any(not sure[k] for k in range(top, i))
-                    own = 0 if before else int(region[after] or not region[items[-1]])
-            # More items than a list has are headings for sure, the first few are teasers.
-            unsure += items[max(TEASERS[0], len(items) - plain) : TEASERS[1]]
-            own = min(own, plain)
-        for k in items[: len(items) - own]:
-            verdict[k] = False
-        for k in items[len(items) - own :]:
-            verdict[k] = True
-        i = max(j, i + 1)
-    return verdict, unsure
+        kept.append(i)
+        places.append(at)
+        at += 1
+        begun = begun or ratio > BODY
+    for i, v in zip(kept, smooth([ratios[i] for i in kept], SIGMA, places), strict=True):
+        if not cut[i]:
+            out[i] = v
+    return out, unsure
+
+
+def html_content(pieces) -> list[str]:
+    """Lines of the content regions of an HTML page that is given in pieces, by its own tags."""
+    parser = LineEvents()
+    for piece in pieces:
+        parser.feed(piece)
+    parser.close()
+    lines = [line_of(text, "")._replace(tags=3 * tags) for text, tags in parser.lines]
+    scores, _ = line_scores(lines, lambda x: _NOTHING)
+    return [x.text for x, s in zip(lines, scores, strict=True) if s > 0]
 
 
 def joined_lines(section: str, texts: list[str]) -> list[int]:
@@ -367,178 +347,234 @@ def joined_lines(section: str, texts: list[str]) -> list[int]:
     return best if most >= 0.5 * len(section) else []
 
 
-def page_blocks(visible: str | None, sections: list[str | None] | None, lookup) -> list[tuple[str, int]]:
-    """Content blocks of a page; ``lookup`` gives (share, pages, masked_share, place) of a line.
+def section_score(section: str, host: str, lookup, longest: int = 24) -> float:
+    """Log ratio of a section that no line of its page begins.
 
-    A section is of one kind: the longer part of its lines decides it, and where it holds a line
-    that was unsure, the others decide that line as well. A section that no line begins is judged
-    by its own text.
+    The longest runs of words that the site repeats as lines of their own are its tagged parts.
     """
-    numbered = [(k, t.strip()) for k, t in enumerate((visible or "").split("\n"))]
-    numbered = [(k, t) for k, t in numbered if t]
-    lines = [Line(t, 0.0, *lookup(t)) for _, t in numbered]
-    verdict, unsure = content_lines(lines)
-    texts = [" ".join(t.split()) for _, t in numbered]
+    words = section.split()
+    tags, k = 0.0, 0
+    while k < len(words):
+        step = 1
+        for n in range(min(longest, len(words) - k), 0, -1):
+            x = line_of(" ".join(words[k : k + n]), host)
+            f = repeated(x, lookup(x))
+            if f >= 0.5:
+                tags += f * (TAGS + TAGS_WORD * x.words)
+                step = n
+                break
+        k += step
+    x = line_of(section, host)
+    return log_ratio(x.weight, max(tags, TAGS_ENTRY * x.entries + x.words if x.entries else x.tags))
+
+
+def page_blocks(visible: str | None, sections: list[str | None] | None, host: str, lookup) -> list[tuple[str, int, str]]:
+    """Content blocks (block_field, block_no, text) of a page.
+
+    A section is one block and of one kind: its lines above the threshold against those below,
+    by their characters. Lines that were unsure don't vote where others do, and follow the others.
+    """
+    numbers, lines = page_lines(visible, host)
+    scores, unsure = line_scores(lines, lookup)
+    verdict = [s > 0 for s in scores]
     found: list[tuple[int, list[int], str]] = []
-    for k, section in enumerate(sections or []):
-        section = " ".join((section or "").split())
-        if section:
-            found.append((k, joined_lines(section, texts), section))
-    open_ = set(unsure)
-    for _, used, _ in found:
-        sure = [i for i in used if i not in open_]
-        if not sure and len(used) > 1:
-            # Two headings in a row at the start of a body are rarer than a body without one, and
-            # repeated sentences are the site's.
-            for i in used:
-                verdict[i] = False
-        if sure:
-            weight = sum((1 + len(texts[i])) * (1 if verdict[i] else -1) for i in sure)
-            for i in used:
-                if i in open_:
-                    verdict[i] = weight > 0
-    out = [("visible_text", k) for (k, _), keep in zip(numbered, verdict, strict=True) if keep]
-    for k, used, section in found:
+    if sections is not None and len(sections):
+        texts = [" ".join(x.text.split()) for x in lines]
+        for k, section in enumerate(sections):
+            joined = " ".join((section or "").split())
+            if joined:
+                found.append((k, joined_lines(joined, texts), joined))
+        for _, used, _ in found:
+            sure = [i for i in used if not unsure[i]]
+            if not sure and len(used) > 1:
+                # Two headings in a row are rarer than a list of links without its last line.
+                for i in used:
+                    verdict[i] = False
+            if sure:
+                weight = sum((1 + len(texts[i])) * (1 if verdict[i] else -1) for i in sure)
+                for i in used:
+                    if unsure[i]:
+                        verdict[i] = weight > 0
+    out = [("visible_text", n, x.text) for n, x, keep in zip(numbers, lines, verdict, strict=True) if keep]
+    for k, used, joined in found:
         if used:
             keep = sum((1 + len(texts[i])) * (1 if verdict[i] else -1) for i in used) > 0
         else:
-            line = Line(section, 0.0, *lookup(section))
-            inside = sum(len(m.group()) for m in NOTICES_WITHIN.finditer(section))
-            entries = _MENU.split(section)
-            listed = len(entries) >= 4 and sum(map(len, entries)) / len(entries) <= 20
-            keep = not furniture(line) and inside < 0.2 * len(section) and not listed
+            keep = section_score(joined, host, lookup) > 0
         if keep:
-            out.append(("selected_sections", k))
+            out.append(("selected_sections", k, sections[k]))
     return out
 
 
-#: The notices without their anchors, to be found within joined lines.
-NOTICES_WITHIN = re.compile("|".join(p.strip("^$") for p in alternatives(NOTICE_PATTERN) if len(p) > 12))
+# ---------------------------------------------------------------- counts over all pages
+
+
+def _key(kind: str, host: str, text: str) -> int:
+    """Signed 64-bit key of a text; templates ('t') have the same key on all hosts."""
+    made = xxhash.xxh3_64_intdigest(f"{kind}{text}" if kind == "t" else f"{kind}{host}\0{text}")
+    return made - (1 << 64) if made >= 1 << 63 else made
 
 
-def mask(text: str) -> str:
-    return _DIGITS.sub("0", text)
+def _host_id(host) -> Column:
+    return F.xxhash64(F.coalesce(host, F.lit("")))
 
 
-def _keys(line) -> tuple:
-    """Hashes of a line of a host as it is, and with its figures masked if it is no sentence."""
-    host = F.coalesce("host", F.lit(""))
-    exact = F.xxhash64(host, F.lit("e"), line)
-    masked = F.xxhash64(host, F.lit("m"), F.regexp_replace(line, "[0-9]+", "0"))
-    return exact, F.when(line.rlike("[0-9]") & ~line.rlike(r"[.!?。！？…:;]['\u201d\")]*$"), masked).otherwise(exact)
+_COUNTS = "host_id long, key long, template boolean, pages long, menus long, seen long, opens long"
 
 
-_STRIP = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
+def _count_batches(frames):
+    """Counts of the lines of pages, aggregated per batch: see :func:`line_statistics`."""
+    for frame in frames:
+        counts: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        hosts: dict[str, int] = {}
+        for host_id, host, text in zip(*(frame[c].tolist() for c in ("host_id", "host", "visible_text")), strict=True):
+            host = host or ""
+            hosts[host] = host_id
+            _, lines = page_lines(text, host)
+            menu = top_menu(lines)
+            met: set[tuple[str, str]] = set()
+            for i, x in enumerate(lines):
+                c = counts[host, "t", x.masked]
+                if ("t", x.masked) not in met:
+                    met.add(("t", x.masked))
+                    c[0] += 1
+                c[1] += i < menu
+                if not x.sentence and not x.linked:
+                    after = lines[i + 1 : i + 3]
+                    c[2] += 1
+                    c[3] += len(after) == 2 and all(_item(y) and not y.label for y in after)
+                if x.masked != x.text and ("x", x.text) not in met:
+                    met.add(("x", x.text))
+                    counts[host, "x", x.text][0] += 1
+        rows = [(hosts[h], _key(kind, h, text), kind == "t", *c) for (h, kind, text), c in counts.items()]
+        yield pd.DataFrame(rows, columns=["host_id", "key", "template", "pages", "menus", "seen", "opens"])
 
 
-def frequent_lines(pages: DataFrame) -> DataFrame:
-    """Rows (key, share, pages, place) of lines on a share of their host's pages.
+def line_statistics(pages: DataFrame) -> DataFrame:
+    """Rows (host_id, key, share, most, menu, opener) of the lines that sites repeat.
 
-    ``key`` hashes host and line; it is unique. A line counts once for a page, lines that differ
-    only in figures as often as they occur.
+    ``key`` is of a line as it is, or of its template (figures and site names masked). Two pages
+    may agree by chance, so shares start at the third. Lines that no site repeats have no row.
     """
-    smallest = min(SENTENCE_SHARE, LINE_SHARE)
-    host = F.xxhash64(F.coalesce("host", F.lit(""))).alias("host_id")
-    totals = pages.groupBy(host).agg(F.count(F.lit(1)).alias("total"))
-    split = F.transform(F.split("visible_text", "\n"), lambda x: F.regexp_replace(x, _STRIP, ""))
-    lines = (
-        pages.filter(F.col("visible_text").isNotNull())
-        .select("host", F.array_distinct(split).alias("all_"))
-        .select("host", F.size("all_").alias("n"), F.posexplode("all_").alias("at", "line"))
-        .filter("line != ''")
-    )
-    exact, masked = _keys(F.col("line"))
     counts = (
-        lines.select(
-            host, (F.col("at") / F.col("n")).alias("place"), F.explode(F.array_distinct(F.array(exact, masked))).alias("key")
-        )
+        pages.select(_host_id(F.col("host")).alias("host_id"), "host", "visible_text")
+        .mapInPandas(_count_batches, _COUNTS)
         .groupBy("host_id", "key")
-        .agg(F.count(F.lit(1)).alias("pages"), F.avg("place").alias("place"))
+        .agg(
+            F.first("template").alias("template"),
+            *[F.sum(c).alias(c) for c in ("pages", "menus", "seen", "opens")],
+        )
+    )
+    totals = pages.groupBy(_host_id(F.col("host")).alias("host_id")).agg(F.count(F.lit(1)).alias("total"))
+    share = F.greatest(F.col("pages") - 2, F.lit(0)) / (F.col("total") + 2)
+    shares = counts.join(totals, "host_id").withColumn("share", share)
+    templates = (
+        shares.filter("template")
+        .groupBy("key")
+        .agg(F.max("share").alias("most"), F.sum("seen").alias("seen_"), F.sum("opens").alias("opens_"))
+        .filter(F.col("most") >= OPENER_SHARE)
+        .select("key", "most", ((F.col("opens_") / (F.col("seen_") + 0.5)) >= OPENS).alias("opener"))
     )
     return (
-        counts.filter(F.col("pages") >= SENTENCE_PAGES)
-        .join(totals, "host_id")
-        .filter(F.col("pages") >= smallest * F.col("total"))
-        .select("key", (F.col("pages") / F.col("total")).alias("share"), "pages", "place")
+        shares.join(templates, "key", "left")
+        .filter((F.col("share") >= 0.02) | F.col("most").isNotNull())
+        .select(
+            "host_id",
+            "key",
+            F.col("share").cast("float").alias("share"),
+            F.coalesce("most", F.lit(0.0)).cast("float").alias("most"),
+            ((F.col("menus") >= MENU * F.col("seen")) & (F.col("menus") > 0) & (F.col("share") > 0.03)).alias("menu"),
+            F.coalesce("opener", F.lit(False)).alias("opener"),
+        )
     )
 
 
-_BLOCKS = T.ArrayType(
-    T.StructType([T.StructField("block_field", T.StringType()), T.StructField("block_no", T.IntegerType())])
-)
-
-
-def main_blocks(pages: DataFrame, max_sent: int = MAX_SENT) -> DataFrame:
+_OUT = "page_id long, host string, block_field string, block_no int, text string"
+
+
+class _Lookup:
+    """Finds what is known of a host's lines in sorted arrays of keys."""
+
+    def __init__(self, host_id: int) -> None:
+        self.host_id = host_id
+        self.table: dict[int, Known] = {}
+        self.found: dict[tuple[str, str], Known] = {}
+
+    def add(self, entries) -> None:
+        for e in entries:
+            self.table[e["key"]] = Known(e["share"], e["most"], e["menu"], e["opener"])
+
+    def of(self, host: str):
+        table, found = self.table, self.found
+
+        def lookup(x: Line) -> Known:
+            known = found.get((x.masked, x.text))
+            if known is None:
+                known = table.get(_key("t", "", x.masked), _NOTHING)
+                if x.masked != x.text:
+                    exact = table.get(_key("x", host, x.text), _NOTHING)
+                    known = known._replace(share=exact.share)
+                if len(x.text) <= 160:
+                    if len(found) >= 50_000:
+                        found.clear()
+                    found[x.masked, x.text] = known
+            return known
+
+        return lookup
+
+
+def _decide_batches(frames):
+    """Content blocks of pages; a host's lines come before its pages."""
+    lookup: _Lookup | None = None
+    for frame in frames:
+        out = []
+        for row in frame.itertuples(index=False):
+            if lookup is None or lookup.host_id != row.host_id:
+                lookup = _Lookup(row.host_id)
+            if row.lines is not None:
+                lookup.add(row.lines)
+                continue
+            host = row.host or ""
+            sections = None if row.sections is None else list(row.sections)
+            out += [(row.page_id, row.host, *b) for b in page_blocks(row.visible_text, sections, host, lookup.of(host))]
+            if row.title is not None:
+                out.append((row.page_id, row.host, "title", 0, row.title))
+        yield pd.DataFrame(out, columns=["page_id", "host", "block_field", "block_no", "text"])
+
+
+def main_blocks(pages: DataFrame, titles: bool = False) -> DataFrame:
     """Rows (page_id, host, block_field, block_no, text) of the content blocks of all pages.
 
-    Null and blank fields have no blocks, a null host is a host of its own, repeated pages come
-    out repeated, pages without an id are left out. Blank lines count for block_no but are never
-    blocks.
+    With ``titles``, non-null titles come out too, with block_field 'title'. Null and blank fields
+    have no blocks, a null host is a host of its own, repeated pages come out repeated, pages
+    without an id are left out. Blank lines count for block_no but are never blocks.
+
+    One shuffle brings pages to the lines that their site repeats (at most the lines of a page
+    divided by the smallest share, for a host, and those that other sites repeat). Pages of hosts
+    that hold a fiftieth of all are split by a hash of the id, with the host's lines for each part.
     """
-    pages = pages.filter(F.col("page_id").isNotNull()).select("page_id", "host", "visible_text", F.col("selected_sections.text").alias("sections"))
-    frequent = frequent_lines(pages)
-    few = frequent.limit(max_sent + 1).collect()
-    split = F.transform(F.split("visible_text", "\n"), lambda x: F.regexp_replace(x, _STRIP, ""))
-    keys = pages.select(
-        "*",
-        F.when(F.col("visible_text").isNotNull(), F.transform(split, lambda x: _keys(x)[0])).alias("exact"),
-        F.when(F.col("visible_text").isNotNull(), F.transform(split, lambda x: _keys(x)[1])).alias("masked"),
+    pages = pages.filter(F.col("page_id").isNotNull()).select(
+        _host_id(F.col("host")).alias("host_id"),
+        "page_id",
+        "host",
+        (F.col("title") if titles else F.lit(None).cast("string")).alias("title"),
+        "visible_text",
+        F.col("selected_sections.text").alias("sections"),
+    )
+    hot = hot_keys(pages, "host_id")
+    is_hot = F.col("host_id").isin(hot) if hot else F.lit(False)
+    part = F.when(is_hot, F.pmod(F.xxhash64("page_id"), F.lit(PARTS)).cast("int")).otherwise(0)
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    lines = (
+        line_statistics(pages)
+        .groupBy("host_id", F.pmod("key", F.lit(16)).alias("some"))
+        .agg(F.collect_list(F.struct("key", "share", "most", "menu", "opener")).alias("lines"))
+        .select("host_id", F.explode(parts).alias("part"), "lines")
+    )
+    return (
+        pages.withColumn("part", part)
+        .unionByName(lines, allowMissingColumns=True)
+        .repartition("host_id", "part")
+        .sortWithinPartitions("host_id", "part", F.col("lines").isNull())
+        .mapInPandas(_decide_batches, _OUT)
     )
-    if len(few) <= max_sent:
-        known = {r["key"]: (r["share"], r["pages"], r["place"]) for r in few}
-        sent = pages.sparkSession.sparkContext.broadcast(known)
-
-        def batch(texts: pd.Series, sections: pd.Series, exact: pd.Series, masked: pd.Series) -> pd.Series:
-            table = sent.value
-            return pd.Series(
-                [_found(t, s, e, m, table) for t, s, e, m in zip(texts, sections, exact, masked, strict=True)],
-                dtype=object,
-            )
-
-        udf = F.pandas_udf(batch, _BLOCKS)
-        placed = keys.withColumn("blocks", udf("visible_text", "sections", "exact", "masked"))
-    else:
-        # Too many hosts to send: join the lines' keys with the frequent ones and gather per page.
-        numbered = keys.withColumn("row_", F.monotonically_increasing_id())
-        hits = (
-            numbered.select("row_", F.explode(F.array_union("exact", "masked")).alias("key"))
-            .join(frequent, "key")
-            .groupBy("row_")
-            .agg(F.collect_list(F.struct("key", "share", "pages", "place")).alias("known"))
-        )
-
-        def joined(texts: pd.Series, sections: pd.Series, exact: pd.Series, masked: pd.Series, known: pd.Series) -> pd.Series:
-            return pd.Series(
-                [
-                    _found(t, s, e, m, {} if h is None else {x["key"]: (x["share"], x["pages"], x["place"]) for x in h})
-                    for t, s, e, m, h in zip(texts, sections, exact, masked, known, strict=True)
-                ],
-                dtype=object,
-            )
-
-        udf = F.pandas_udf(joined, _BLOCKS)
-        placed = numbered.join(hits, "row_", "left").withColumn(
-            "blocks", udf("visible_text", "sections", "exact", "masked", "known")
-        )
-    at = placed.select("page_id", "host", "visible_text", "sections", F.explode("blocks").alias("b"))
-    text = F.when(
-        F.col("b.block_field") == "visible_text",
-        F.get(F.split("visible_text", "\n"), F.col("b.block_no")),
-    ).otherwise(F.get("sections", F.col("b.block_no")))
-    return at.select("page_id", "host", "b.block_field", "b.block_no", text.alias("text"))
-
-
-def _found(text, sections, exact, masked, table) -> list[dict]:
-    places: dict[str, tuple] = {}
-    if text is not None and exact is not None:
-        for line, e, m in zip(text.split("\n"), exact, masked, strict=False):
-            a, b = table.get(e), table.get(m)
-            places[line.strip()] = (
-                a[0] if a else 0.0,
-                max(a[1] if a else 0, b[1] if b else 0),
-                b[0] if b else 0.0,
-                b[2] if b else 1.0,
-            )
-    blank = (0.0, 0, 0.0, 1.0)
-    found = page_blocks(text, None if sections is None else list(sections), lambda t: places.get(t, blank))
-    return [{"block_field": f, "block_no": k} for f, k in found]

@@ -25,6 +25,53 @@ DEPTH = 5
 #: Share of filler words, and words at least, for a line of filler.
 FILLER_SHARE, FILLER_WORDS = 0.6, 4
 
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern at its top level."""
+    parts, depth, at, inside = [], 0, 0, False
+    k = 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 2
+            continue
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            parts.append(pattern[at:k])
+            at = k + 1
+        k += 1
+    return [*parts, pattern[at:]]
+
+
+class Either:
+    """Searches a pattern of many alternatives: the anchored ones are tried at the start only.
+
+    Texts recur on pages of a site, so what was found for short ones is remembered.
+    """
+
+    def __init__(self, pattern: str) -> None:
+        parts = alternatives(pattern)
+        starts = [p for p in parts if p.startswith("^")]
+        rest = [p for p in parts if not p.startswith("^")]
+        self._start = re.compile("|".join(starts) or "(?!)")
+        self._rest = re.compile("|".join(rest) or "(?!)")
+        self._known: dict[str, bool] = {}
+
+    def search(self, text: str) -> bool:
+        found = self._known.get(text)
+        if found is None:
+            found = bool(self._start.match(text) or self._rest.search(text))
+            if len(text) <= 120:
+                if len(self._known) >= 100_000:
+                    self._known.clear()
+                self._known[text] = found
+        return found
+
+
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
 #: Slot forms of common template languages, the same for Python and Java.
 SLOT = (
@@ -39,7 +86,7 @@ SPEAKING = r"(?i)\bvariables?\b|\bplaceholders? (?:such|like)\b|\bstands for\b|\
 _SLOT, _SPEAKING = re.compile(SLOT), re.compile(SPEAKING)
 
 #: Raw keys and values that code left where a text or a number belongs.
-RAW = main_content.Either(
+RAW = Either(
     r"^[a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*){2,}$|^MISSING_TRANSLATION|\[object Object\]|\bInvalid Date\b"
     r"|(?:^|[\s:£$€₹¥])NaN(?=$|[\s%€])|^undefined\b(?! (?:limit|means|is|are|behaviou?r))|\bHello null\b|\bHello undefined\b"
     r"|^(?:undefined|null|None)$|^(?:undefined|null|NaN)\s[|–\-]|[|–\-]\s(?:undefined|null|NaN)$"
@@ -53,14 +100,14 @@ FILLER_VOCABULARY = frozenset(
     ).split()
 )
 #: Sample texts of templates and editors.
-SAMPLE = main_content.Either(
+SAMPLE = Either(
     r"^(?:x{3,}\s*)+$|^TODO\b|^TBD\b|\bYour text here\b|\bReplace this paragraph\b|^Sample (?:heading|text)\b"
     r"|^Text block:|\(placeholder\)|Hier steht Ihr Text|Votre texte ici|Su texto aquí|ここにテキスト|ここに本文"
     r"|^Your Company Name\b|\btitle goes here\b|\byour headline here\b|^New page \(copy\)|^Untitled(?: document| page)?$"
     r"|^Lorem ipsum\b"
 )
 #: Messages of servers, gates and scripts, as beginnings or telling parts of a line.
-MESSAGE = main_content.Either(
+MESSAGE = Either(
     r"^\d{3} (?:Not Found|Forbidden|Service|Internal|Bad|Gateway|Too|Unauthorized)|^Error \d+$|^Bad gateway$"
     r"|^Access denied$|^Traceback \(most recent|^File \".*\", line \d|^[A-Z]\w*(?:Error|Exception): |^Fatal error: "
     r"|^Application error: |^Error establishing |cannot find that page|could not be located on this server"
@@ -90,6 +137,7 @@ MESSAGE_TITLE = re.compile(
     r"|Página no encontrada|Acceso denegado|ページが見つかりません|エラー)$"
 )
 _PRICED = re.compile(r"^[A-Z][\w\-]+ (?:[£$€₹¥]\s?[\d.,]+|[\d.,]+ (?:USD|EUR|GBP|INR|JPY|€))$")
+_LISTED = re.compile(r"^\d+ [^\W\d]+(?: [^\W\d]+)?$")
 _TOKEN = re.compile(r"\S+")
 
 _CLASSES = ("slot", "raw", "filler", "message", "real", "frame")
@@ -114,7 +162,7 @@ def classify(text: str) -> str:
         return "filler"
     if MESSAGE.search(text):
         return "message"
-    if main_content.is_sentence(text) or main_content._LISTED.match(text) or _PRICED.match(text):
+    if main_content.is_sentence(text) or _LISTED.match(text) or _PRICED.match(text):
         return "real"
     return "frame"
 
