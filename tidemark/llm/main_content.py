@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.skew import hot_keys
+from tidemark.session import cut_lineage
 
 #: Shares of a host's pages from which a sentence, or another line, counts as fully tagged.
 SENTENCE_SHARE, LINE_SHARE = 0.05, 0.09
@@ -149,6 +150,8 @@ def is_sentence(text: str) -> bool:
 
 def menu_entries(text: str) -> int:
     """Number of short entries that separators join; 0 for less than three, or for other text."""
+    if not _SEPARATOR.search(text):
+        return 0
     parts = [p for p in _SEPARATOR.split(text) if p]
     return len(parts) if len(parts) >= 3 and all(len(p) <= _ENTRY and not p.endswith(".") for p in parts) else 0
 
@@ -161,27 +164,26 @@ def _line(text: str, host: str) -> Line:
         parser.close()
         plain = " ".join(t for t, _ in parser.lines) or text
         tags = sum(n for _, n in parser.lines)
-    masked = " ".join(plain.split())
-    if any(c.isdigit() for c in masked):
-        masked = _DIGITS.sub("0", masked)
+    masked, figures = _DIGITS.subn("0", " ".join(plain.split()))
     if (names := _site_names(host)) is not None:
         masked = names.sub("#", masked)
     wide = 0 if plain.isascii() else len(_WIDE.findall(plain))
     words = plain.count(" ") + 1 + wide // 3
-    sentence = is_sentence(plain)
-    figures = not masked.isalpha() and "0" in masked
-    long = len(plain) > 200
-    dated = not sentence and figures and bool(_DATE.search(plain) or _PRICE.search(plain))
+    ended = bool(_END.search(plain[-8:]))
+    sentence = ended and is_sentence(plain)
+    if sentence and len(plain) > 200:
+        return Line(text, masked, words, len(plain) + 2 * wide, True, False, False, False, 0, False, tags)
+    dated = not sentence and bool(figures) and bool(_DATE.search(plain) or _PRICE.search(plain))
     return Line(
         text,
         masked,
         words,
         len(plain) + 2 * wide,
         sentence,
-        not sentence and figures and (plain[0].isdigit() or dated),
+        not sentence and bool(figures) and (plain[0].isdigit() or dated),
         dated,
-        words <= 3 and not figures and not _END.search(plain),
-        0 if sentence and long else menu_entries(plain),
+        words <= 3 and not figures and not ended,
+        menu_entries(plain),
         not sentence and bool(_LINKED.search(plain)),
         tags,
     )
@@ -456,7 +458,8 @@ def line_statistics(pages: DataFrame) -> DataFrame:
     ``key`` is of a line as it is, or of its template (figures and site names masked). Two pages
     may agree by chance, so shares start at the third. Lines that no site repeats have no row.
     """
-    counts = (
+    # Read twice, by host and by template; to count the lines again would cost more.
+    counts = cut_lineage(
         pages.select(_host_id(F.col("host")).alias("host_id"), "host", "visible_text")
         .mapInPandas(_count_batches, _COUNTS)
         .groupBy("host_id", "key")
