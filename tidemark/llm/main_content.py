@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from functools import lru_cache
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -62,6 +61,8 @@ _PRICE = re.compile(r"\d[\d.,]*\s?(?:[A-Z]{3}|[€$£¥₹円])$|[€$£¥₹]\s
 _WIDE = re.compile(r"[⺀-鿿가-힣豈-﫿＀-￯]")
 _NAMES = re.compile(r"[^a-z0-9]+")
 _SENTENCE_WORDS, _ENTRY, _SHORT = 5, 24, 80
+#: Characters from which a sentence counts as it is, without a template.
+_LONG = 200
 
 
 class LineEvents(HTMLParser):
@@ -124,6 +125,7 @@ class Line(NamedTuple):
     entries: int  # of a menu in one line
     linked: bool  # ends like a link: reading time, arrow, call
     tags: int
+    parted: bool  # by separators of menus and trails
 
 
 class Known(NamedTuple):
@@ -164,6 +166,9 @@ def _line(text: str, host: str) -> Line:
         parser.close()
         plain = " ".join(t for t, _ in parser.lines) or text
         tags = sum(n for _, n in parser.lines)
+    if len(plain) > _LONG and is_sentence(plain):
+        wide = 0 if plain.isascii() else len(_WIDE.findall(plain))
+        return Line(text, text, plain.count(" ") + 1 + wide // 3, len(plain) + 2 * wide, True, False, False, False, 0, False, tags, False)
     masked, figures = _DIGITS.subn("0", " ".join(plain.split()))
     if (names := _site_names(host)) is not None:
         masked = names.sub("#", masked)
@@ -171,8 +176,7 @@ def _line(text: str, host: str) -> Line:
     words = plain.count(" ") + 1 + wide // 3
     ended = bool(_END.search(plain[-8:]))
     sentence = ended and is_sentence(plain)
-    if sentence and len(plain) > 200:
-        return Line(text, masked, words, len(plain) + 2 * wide, True, False, False, False, 0, False, tags)
+    parted = bool(_SEPARATOR.search(plain))
     dated = not sentence and bool(figures) and bool(_DATE.search(plain) or _PRICE.search(plain))
     return Line(
         text,
@@ -183,9 +187,10 @@ def _line(text: str, host: str) -> Line:
         not sentence and bool(figures) and (plain[0].isdigit() or dated),
         dated,
         words <= 3 and not figures and not ended,
-        menu_entries(plain),
+        menu_entries(plain) if parted else 0,
         not sentence and bool(_LINKED.search(plain)),
         tags,
+        parted,
     )
 
 
@@ -285,7 +290,7 @@ def line_scores(lines: list[Line], lookup) -> tuple[list[float], list[bool]]:
         joined = x.entries
         if joined:
             entries.update(_SEPARATOR.split(x.text))
-        elif not x.sentence and _SEPARATOR.search(x.text):
+        elif x.parted and not x.sentence:
             parts = _SEPARATOR.split(x.text)
             joined = len(parts) if len(parts) > 2 or lookup(line_of(parts[0] or " ", "")).share > 0.2 else 0
         if joined:
@@ -427,28 +432,33 @@ _COUNTS = "host_id long, key long, template boolean, pages long, menus long, see
 def _count_batches(frames):
     """Counts of the lines of pages, aggregated per batch: see :func:`line_statistics`."""
     for frame in frames:
-        counts: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-        hosts: dict[str, int] = {}
+        templates: dict[tuple[int, str], dict[str, list[int]]] = {}
+        exact: dict[tuple[int, str], dict[str, int]] = {}
         for host_id, host, text in zip(*(frame[c].tolist() for c in ("host_id", "host", "visible_text")), strict=True):
-            host = host or ""
-            hosts[host] = host_id
-            _, lines = page_lines(text, host)
+            site = host_id, host or ""
+            of_template, of_line = templates.setdefault(site, {}), exact.setdefault(site, {})
+            _, lines = page_lines(text, site[1])
             menu = top_menu(lines)
-            met: set[tuple[str, str]] = set()
+            met: set[str] = set()
             for i, x in enumerate(lines):
-                c = counts[host, "t", x.masked]
-                if ("t", x.masked) not in met:
-                    met.add(("t", x.masked))
+                c = of_template.get(x.masked)
+                if c is None:
+                    c = of_template[x.masked] = [0, 0, 0, 0]
+                if x.masked not in met:
+                    met.add(x.masked)
                     c[0] += 1
-                c[1] += i < menu
-                if not x.sentence and not x.linked:
-                    after = lines[i + 1 : i + 3]
-                    c[2] += 1
-                    c[3] += len(after) == 2 and all(_item(y) and not y.label for y in after)
-                if x.masked != x.text and ("x", x.text) not in met:
-                    met.add(("x", x.text))
-                    counts[host, "x", x.text][0] += 1
-        rows = [(hosts[h], _key(kind, h, text), kind == "t", *c) for (h, kind, text), c in counts.items()]
+                if not x.sentence:
+                    c[1] += i < menu
+                    if not x.linked:
+                        c[2] += 1
+                        if i + 2 < len(lines):
+                            y, z = lines[i + 1], lines[i + 2]
+                            c[3] += _item(y) and _item(z) and not y.label and not z.label
+                if x.masked is not x.text and x.masked != x.text and x.text not in met:
+                    met.add(x.text)
+                    of_line[x.text] = of_line.get(x.text, 0) + 1
+        rows = [(h, _key("t", n, m), True, *c) for (h, n), made in templates.items() for m, c in made.items()]
+        rows += [(h, _key("x", n, x), False, c, 0, 0, 0) for (h, n), made in exact.items() for x, c in made.items()]
         yield pd.DataFrame(rows, columns=["host_id", "key", "template", "pages", "menus", "seen", "opens"])
 
 
