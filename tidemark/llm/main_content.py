@@ -126,6 +126,8 @@ class Line(NamedTuple):
     linked: bool  # ends like a link: reading time, arrow, call
     tags: int
     parted: bool  # by separators of menus and trails
+    ended: bool  # by a full stop or the like
+    exact: bool  # whether it counts as it is, besides its template
 
 
 class Known(NamedTuple):
@@ -168,7 +170,7 @@ def _line(text: str, host: str) -> Line:
         tags = sum(n for _, n in parser.lines)
     if len(plain) > _LONG and is_sentence(plain):
         wide = 0 if plain.isascii() else len(_WIDE.findall(plain))
-        return Line(text, text, plain.count(" ") + 1 + wide // 3, len(plain) + 2 * wide, True, False, False, False, 0, False, tags, False)
+        return Line(text, text, plain.count(" ") + 1 + wide // 3, len(plain) + 2 * wide, True, False, False, False, 0, False, tags, False, True, False)
     masked, figures = _DIGITS.subn("0", " ".join(plain.split()))
     if (names := _site_names(host)) is not None:
         masked = names.sub("#", masked)
@@ -191,6 +193,8 @@ def _line(text: str, host: str) -> Line:
         not sentence and bool(_LINKED.search(plain)),
         tags,
         parted,
+        ended,
+        bool(figures) or masked != text,
     )
 
 
@@ -227,7 +231,7 @@ def top_menu(lines: list[Line]) -> int:
 
 def _item(x: Line) -> bool:
     """Whether a line may be an item of a list of links."""
-    return not x.sentence and not x.valued and not x.entries and len(x.text) <= _SHORT
+    return not x.ended and not x.valued and not x.entries and len(x.text) <= _SHORT
 
 
 def smooth(values: list[float], sigma: float = SIGMA, places: list[float] | None = None) -> list[float]:
@@ -375,8 +379,18 @@ def section_score(section: str, host: str, lookup, longest: int = 24) -> float:
     return log_ratio(x.weight, max(tags, TAGS_ENTRY * x.entries + x.words if x.entries else x.tags))
 
 
-def page_blocks(visible: str | None, sections: list[str | None] | None, host: str, lookup) -> list[tuple[str, int, str]]:
-    """Content blocks (block_field, block_no, text) of a page.
+class Page(NamedTuple):
+    """A page's lines with their numbers, which are content, which were unsure, and its sections' verdicts."""
+
+    numbers: list[int]
+    lines: list[Line]
+    content: list[bool]
+    unsure: list[bool]
+    sections: list[int]
+
+
+def read_page(visible: str | None, sections: list[str | None] | None, host: str, lookup) -> Page:
+    """Content lines and sections of a page.
 
     A section is one block and of one kind: its lines above the threshold against those below,
     by their characters. Lines that were unsure don't vote where others do, and follow the others.
@@ -402,15 +416,15 @@ def page_blocks(visible: str | None, sections: list[str | None] | None, host: st
                 for i in used:
                     if unsure[i]:
                         verdict[i] = weight > 0
-    out = [("visible_text", n, x.text) for n, x, keep in zip(numbers, lines, verdict, strict=True) if keep]
+    kept = []
     for k, used, joined in found:
         if used:
             keep = sum((1 + len(texts[i])) * (1 if verdict[i] else -1) for i in used) > 0
         else:
             keep = section_score(joined, host, lookup) > 0
         if keep:
-            out.append(("selected_sections", k, sections[k]))
-    return out
+            kept.append(k)
+    return Page(numbers, lines, verdict, unsure, kept)
 
 
 # ---------------------------------------------------------------- counts over all pages
@@ -439,7 +453,7 @@ def _count_batches(frames):
             of_template, of_line = templates.setdefault(site, {}), exact.setdefault(site, {})
             _, lines = page_lines(text, site[1])
             menu = top_menu(lines)
-            met: set[str] = set()
+            met: set = set()
             for i, x in enumerate(lines):
                 c = of_template.get(x.masked)
                 if c is None:
@@ -454,8 +468,8 @@ def _count_batches(frames):
                         if i + 2 < len(lines):
                             y, z = lines[i + 1], lines[i + 2]
                             c[3] += _item(y) and _item(z) and not y.label and not z.label
-                if x.masked is not x.text and x.masked != x.text and x.text not in met:
-                    met.add(x.text)
+                if x.exact and (x.text, x.masked) not in met:
+                    met.add((x.text, x.masked))
                     of_line[x.text] = of_line.get(x.text, 0) + 1
         rows = [(h, _key("t", n, m), True, *c) for (h, n), made in templates.items() for m, c in made.items()]
         rows += [(h, _key("x", n, x), False, c, 0, 0, 0) for (h, n), made in exact.items() for x, c in made.items()]
@@ -502,9 +516,6 @@ def line_statistics(pages: DataFrame) -> DataFrame:
     )
 
 
-_OUT = "page_id long, host string, block_field string, block_no int, text string"
-
-
 class _Lookup:
     """Finds what is known of a host's lines in sorted arrays of keys."""
 
@@ -524,7 +535,7 @@ class _Lookup:
             known = found.get((x.masked, x.text))
             if known is None:
                 known = table.get(_key("t", "", x.masked), _NOTHING)
-                if x.masked != x.text:
+                if x.exact:
                     exact = table.get(_key("x", host, x.text), _NOTHING)
                     known = known._replace(share=exact.share)
                 if len(x.text) <= 160:
@@ -536,41 +547,37 @@ class _Lookup:
         return lookup
 
 
-def _decide_batches(frames):
-    """Content blocks of pages; a host's lines come before its pages."""
-    lookup: _Lookup | None = None
-    for frame in frames:
-        out = []
-        for row in frame.itertuples(index=False):
-            if lookup is None or lookup.host_id != row.host_id:
-                lookup = _Lookup(row.host_id)
-            if row.lines is not None:
-                lookup.add(row.lines)
-                continue
-            host = row.host or ""
-            sections = None if row.sections is None else list(row.sections)
-            out += [(row.page_id, row.host, *b) for b in page_blocks(row.visible_text, sections, host, lookup.of(host))]
-            if row.title is not None:
-                out.append((row.page_id, row.host, "title", 0, row.title))
-        yield pd.DataFrame(out, columns=["page_id", "host", "block_field", "block_no", "text"])
-
-
-def main_blocks(pages: DataFrame, titles: bool = False) -> DataFrame:
-    """Rows (page_id, host, block_field, block_no, text) of the content blocks of all pages.
+def over_sites(pages: DataFrame, decide, schema: str) -> DataFrame:
+    """Rows that ``decide(page, lookup)`` gives for every page, as a DataFrame of ``schema``.
 
-    With ``titles``, non-null titles come out too, with block_field 'title'. Null and blank fields
-    have no blocks, a null host is a host of its own, repeated pages come out repeated, pages
-    without an id are left out. Blank lines count for block_no but are never blocks.
+    ``page`` has page_id, host, host_id, title, visible_text and sections; ``lookup`` gives what
+    is known of a line (see :func:`line_scores`). Pages without an id are left out, repeated pages
+    come repeatedly.
 
     One shuffle brings pages to the lines that their site repeats (at most the lines of a page
     divided by the smallest share, for a host, and those that other sites repeat). Pages of hosts
     that hold a fiftieth of all are split by a hash of the id, with the host's lines for each part.
     """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def batches(frames):
+        known: _Lookup | None = None
+        for frame in frames:
+            out: list[tuple] = []
+            for row in frame.itertuples(index=False):
+                if known is None or known.host_id != row.host_id:
+                    known = _Lookup(row.host_id)
+                if row.lines is not None:
+                    known.add(row.lines)
+                else:
+                    out += decide(row, known.of(row.host or ""))
+            yield pd.DataFrame(out, columns=names)
+
     pages = pages.filter(F.col("page_id").isNotNull()).select(
         _host_id(F.col("host")).alias("host_id"),
         "page_id",
         "host",
-        (F.col("title") if titles else F.lit(None).cast("string")).alias("title"),
+        "title",
         "visible_text",
         F.col("selected_sections.text").alias("sections"),
     )
@@ -589,5 +596,27 @@ def main_blocks(pages: DataFrame, titles: bool = False) -> DataFrame:
         .unionByName(lines, allowMissingColumns=True)
         .repartition("host_id", "part")
         .sortWithinPartitions("host_id", "part", F.col("lines").isNull())
-        .mapInPandas(_decide_batches, _OUT)
+        .mapInPandas(batches, schema)
+    )
+
+
+def _blocks_of(page, lookup) -> list[tuple]:
+    sections = None if page.sections is None else list(page.sections)
+    found = read_page(page.visible_text, sections, page.host or "", lookup)
+    of_page = zip(found.numbers, found.lines, found.content, strict=True)
+    out = [(page.page_id, page.host, "visible_text", n, x.text) for n, x, keep in of_page if keep]
+    return out + [(page.page_id, page.host, "selected_sections", k, sections[k]) for k in found.sections]
+
+
+def main_blocks(pages: DataFrame) -> DataFrame:
+    """Rows (page_id, host, block_field, block_no, text) of the content blocks of all pages.
+
+    Null and blank fields have no blocks, a null host is a host of its own, repeated pages come
+    out repeated, pages without an id are left out. Blank lines count for block_no but are never
+    blocks.
+    """
+    return over_sites(
+        pages.withColumn("title", F.lit(None).cast("string")),
+        _blocks_of,
+        "page_id long, host string, block_field string, block_no int, text string",
     )

@@ -1,79 +1,38 @@
 """Template residue and error-page text.
 
-Lines of the content areas and titles go down a prefix tree of fixed depth (number of words, then
-the first words, with figures and slots masked); each leaf is a message template. Templates are
-classified once, by the smallest and the largest line of the leaf, and their verdict is carried
-to all lines; only where those two disagree is a line read by itself. Unresolved slots inside
-ordinary lines are found separately. A page is a case if a slot, a raw key or filler stands
-anywhere in its title or content area, or if error messages stand there in place of content.
+Lines of the content areas go down a prefix tree of fixed depth (number of words, then the first
+words, with figures and site names masked); each leaf is a template. A template is classified once
+by where it occurs, not by what it says: messages of servers, gates and scripts stand alone, on
+pages whose content area holds nothing but a few such lines, on several hosts. The verdict is
+carried to all lines of the leaf. Templates too rare to be judged so are taken for messages if a
+page holds nothing else and they have words of messages. Unresolved slots, raw values and filler
+inside ordinary lines are found separately, in every line.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm import main_content
 from tidemark.session import cut_lineage
 
 #: Words of a line that the tree looks at, besides their number.
 DEPTH = 5
+#: Lines of a content area that may stand alone, words of a line, and characters of an area of rare messages.
+ALONE_LINES, ALONE_WORDS, ALONE_CHARACTERS = 3, 25, 160
+#: Share of its lines that stand alone for a template of messages, and lines of doubt: a template
+#: is judged when the share is on one side for these lines standing alone as well as for not.
+ALONE_SHARE, DOUBT = 0.6, 3
 #: Share of filler words, and words at least, for a line of filler.
-FILLER_SHARE, FILLER_WORDS = 0.6, 4
-
-def alternatives(pattern: str) -> list[str]:
-    """The alternatives of a pattern at its top level."""
-    parts, depth, at, inside = [], 0, 0, False
-    k = 0
-    while k < len(pattern):
-        c = pattern[k]
-        if c == "\\":
-            k += 2
-            continue
-        if inside:
-            inside = c != "]"
-        elif c == "[":
-            inside = True
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "|" and not depth:
-            parts.append(pattern[at:k])
-            at = k + 1
-        k += 1
-    return [*parts, pattern[at:]]
-
-
-class Either:
-    """Searches a pattern of many alternatives: the anchored ones are tried at the start only.
-
-    Texts recur on pages of a site, so what was found for short ones is remembered.
-    """
-
-    def __init__(self, pattern: str) -> None:
-        parts = alternatives(pattern)
-        starts = [p for p in parts if p.startswith("^")]
-        rest = [p for p in parts if not p.startswith("^")]
-        self._start = re.compile("|".join(starts) or "(?!)")
-        self._rest = re.compile("|".join(rest) or "(?!)")
-        self._known: dict[str, bool] = {}
-
-    def search(self, text: str) -> bool:
-        found = self._known.get(text)
-        if found is None:
-            found = bool(self._start.match(text) or self._rest.search(text))
-            if len(text) <= 120:
-                if len(self._known) >= 100_000:
-                    self._known.clear()
-                self._known[text] = found
-        return found
-
+FILLER_SHARE, FILLER_WORDS = 0.25, 4
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
-#: Slot forms of common template languages, the same for Python and Java.
+#: Slot forms of common template languages.
 SLOT = (
     rf"\{{\{{\s*{_NAME}\s*\}}\}}|\$\{{\s*{_NAME}\s*\}}|#\{{\s*{_NAME}\s*\}}|\{{{_NAME}\}}|<%=?\s*{_NAME}\s*%>"
     rf"|\{{%\s*{_NAME}\s*%\}}|@@{_NAME}@@|%%{_NAME}%%|\$[A-Za-z][A-Za-z_.]*\$|«{_NAME}»"
@@ -84,184 +43,192 @@ SLOT = (
 #: Words of sentences that speak of slots instead of leaving one open.
 SPEAKING = r"(?i)\bvariables?\b|\bplaceholders? (?:such|like)\b|\bstands for\b|\bin the editor\b|\bsyntax\b"
 _SLOT, _SPEAKING = re.compile(SLOT), re.compile(SPEAKING)
-
-#: Raw keys and values that code left where a text or a number belongs.
-RAW = Either(
-    r"^[a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*){2,}$|^MISSING_TRANSLATION|\[object Object\]|\bInvalid Date\b"
-    r"|(?:^|[\s:£$€₹¥])NaN(?=$|[\s%€])|^undefined\b(?! (?:limit|means|is|are|behaviou?r))|\bHello null\b|\bHello undefined\b"
-    r"|^(?:undefined|null|None)$|^(?:undefined|null|NaN)\s[|–\-]|[|–\-]\s(?:undefined|null|NaN)$"
-    r"|^(?:Price|Preis|Prix|Precio|価格)\s?:\s*(?:[£$€₹¥]|USD|EUR|GBP|INR|JPY)?\s*$"
+#: Characters without which no slot can stand in a line; cheaper to look for than all forms.
+_SIGN = re.compile(r"[{$<@%«#\[]|__|:[A-Za-z]")
+
+#: Raw keys and values that code left where a text or a number belongs, at the
+#: start of a line, or anywhere where one of the words stands.
+RAW_START = re.compile(
+    r"[a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*){2,}$|MISSING_TRANSLATION|undefined\b(?! (?:limit|means|is|are|behaviou?r))"
+    r"|(?:undefined|null|None)$|(?:undefined|null|NaN)\s[|–\-]"
+    r"|(?:Price|Preis|Prix|Precio|価格)\s?:\s*(?:[£$€₹¥]|USD|EUR|GBP|INR|JPY)?\s*$"
 )
-#: Words of filler text.
-FILLER_VOCABULARY = frozenset(
-    (
-        "lorem ipsum dolor sit amet consectetur adipiscing elit sed velunt cadora mistrae pellum elorum vokal fugiam "
-        "dastis mindaro ludim ventora quidus norem solen calpis ordina tibant aperat sunteri quessum"
-    ).split()
+RAW_WORDS = ("object Object", "Invalid Date", "NaN", "null", "undefined")
+RAW_WITHIN = re.compile(
+    r"\[object Object\]|\bInvalid Date\b|(?:^|[\s:£$€₹¥])NaN(?=$|[\s%€])|\bHello (?:null|undefined)\b|[|–\-]\s(?:undefined|null|NaN)$"
 )
-#: Sample texts of templates and editors.
-SAMPLE = Either(
-    r"^(?:x{3,}\s*)+$|^TODO\b|^TBD\b|\bYour text here\b|\bReplace this paragraph\b|^Sample (?:heading|text)\b"
-    r"|^Text block:|\(placeholder\)|Hier steht Ihr Text|Votre texte ici|Su texto aquí|ここにテキスト|ここに本文"
-    r"|^Your Company Name\b|\btitle goes here\b|\byour headline here\b|^New page \(copy\)|^Untitled(?: document| page)?$"
-    r"|^Lorem ipsum\b"
+#: Sample texts of templates and editors, at the start of a line or anywhere.
+SAMPLE_START = re.compile(
+    r"(?:x{3,}\s*)+$|TODO\b|TBD\b|Sample (?:heading|text)\b|Text block:|Your Company Name\b|New page \(copy\)"
+    r"|Untitled(?: document| page)?$|Lorem ipsum\b"
 )
-#: Messages of servers, gates and scripts, as beginnings or telling parts of a line.
-MESSAGE = Either(
-    r"^\d{3} (?:Not Found|Forbidden|Service|Internal|Bad|Gateway|Too|Unauthorized)|^Error \d+$|^Bad gateway$"
-    r"|^Access denied$|^Traceback \(most recent|^File \".*\", line \d|^[A-Z]\w*(?:Error|Exception): |^Fatal error: "
-    r"|^Application error: |^Error establishing |cannot find that page|could not be located on this server"
-    r"|^The upstream server sent|^The request timed out|^Request \d+ was refused|^Something went wrong on our side"
-    r"|^Too many requests\. |^Gone\. This |^This content is not available in your|^You do not have permission to view"
-    r"|^Your session has expired|is down for planned maintenance|^We are on it\.$|^Go back to the start page\.$"
-    r"|^Try the search instead\.$|^Loading…$|^If nothing happens, scripts|^Checking your browser|^Just a moment…"
-    r"|^Confirm that you are a human|needs JS and cookies to start|^Your browser does not support scripts"
-    r"|enable JavaScript to (?:run|view)|^Please sign in to|^You must (?:log|sign) in|^Please log in"
-    r"|^Seite nicht gefunden|^Zugriff verweigert|^Interner (?:Server)?[Ff]ehler|^Ihre Sitzung ist abgelaufen"
-    r"|wird gerade gewartet|^Bitte aktivieren Sie JavaScript|läuft nur mit eingeschalteten Skripten"
-    r"|^Ihr Browser wird geprüft|^Bitte nutzen Sie die Suche|^Zurück zur Startseite|^Bestätigen Sie, dass Sie ein Mensch"
-    r"|Link ist möglicherweise (?:veraltet|defekt)|^Ein Fehler ist aufgetreten|^Bitte melden Sie sich an"
-    r"|^Page introuvable|^Accès refusé|^Erreur (?:interne|\d+)|^Votre session a expiré|est en maintenance"
-    r"|^Activez JavaScript|^Vérification de votre navigateur|^Prouvez que vous n|^Essayez la recherche"
-    r"|^Retour à la page d|^Le lien suivi est rompu|^Veuillez (?:activer|vous connecter)|^Une erreur est survenue"
-    r"|^Página no encontrada|^Acceso denegado|^Se ha producido un error|^Error interno|^Su sesión ha (?:caducado|expirado)"
-    r"|está en mantenimiento|^Active JavaScript|^Comprobando su navegador|^Confirme que (?:es|usted es|no es)"
-    r"|^Pruebe (?:la búsqueda|a buscar|(?:con )?el buscador)|^Volver a la página (?:inicial|de inicio)|enlace esté roto|^Inicie sesión"
-    r"|ページが見つかりません|アクセスが拒否|エラーが発生|セッションの有効期限|メンテナンス中|スクリプトが必要|JavaScript(?:を|が)"
-    r"|ブラウザ(?:ー)?を確認|ロボットではない|検索をお試し|トップページ(?:へ|に)戻る|ログインしてください|読み込み中"
+SAMPLE_WITHIN = (
+    "Your text here", "Replace this paragraph", "(placeholder)", "title goes here", "your headline here",
+    "Hier steht Ihr Text", "Votre texte ici", "Su texto aquí", "ここにテキスト", "ここに本文",
+)
+#: Words of the printers' filler passage, and those of them that no language uses.
+FILLER = frozenset(
+    (
+        "lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim "
+        "minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure "
+        "reprehenderit voluptate velit cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt "
+        "culpa officia deserunt mollit anim laborum"
+    ).split()
 )
-#: Titles of pages that hold a message instead of content.
-MESSAGE_TITLE = re.compile(
-    r"^(?:\d{3}|(?:Error|Erreur|Fehler)(?: \d{3})?|\d{3} [A-Z][a-z]+.*|Oops!?|Page not found|Service unavailable|Access denied"
-    r"|Just a moment…?|Are you a robot\?|Loading…|Seite nicht gefunden|Zugriff verweigert|Page introuvable|Accès refusé"
-    r"|Página no encontrada|Acceso denegado|ページが見つかりません|エラー)$"
+ONLY_FILLER = ("lorem", "ipsum", "consectetur", "adipiscing", "eiusmod", "incididunt", "ullamco", "cupidatat", "excepteur")
+_PHRASE = re.compile(r"lorem\W+ipsum")
+_WORD = re.compile(r"[^\W\d_]+")
+
+#: Words of messages in five languages, for templates too rare to be judged by their places.
+CUES = re.compile(
+    r"(?i)^(?:http |error )?[45]\d\d(?:$|[ :–-]+[^\W\d])|javascript|\bscripts\b|\bcookies\b|\byour browser\b|not found"
+    r"|cannot find|could not be (?:found|located)|\bdenied\b|\bforbidden\b|\bwas refused\b|\bhas expired\b|\btimed out\b"
+    r"|\bunavailable\b|\bnot available\b|\bdown for\b.*\bmaintenance\b|\bagain later\b|\bplease (?:log|sign) in\b"
+    r"|\brobot\b|\bhuman\b|^gone\b|too many requests|\bstart page\b|\b(?:use|try) the search\b|^loading\b|^error\b|\bfatal\b|exception\b|^traceback\b|went wrong|\boops\b|nicht gefunden"
+    r"|verweigert|\bfehler (?:ist|\d)|interner fehler|ihr browser|sitzung|abgelaufen|skripten|wartungsarbeiten|wird gerade gewartet|introuvable"
+    r"|accès refusé|erreur (?:interne|\d|est)|a expiré|en maintenance|no encontrada|acceso denegado|ha (?:caducado|expirado)"
+    r"|mantenimiento|pruebe (?:a|el|la|con)\b|startseite\b|die suche\b|la recherche\b|お試しください|スクリプトが必要|見つかりません|エラーが|アクセスが拒否|メンテナンス中|ブラウザー?を|ログインして|読み込み中"
 )
-_PRICED = re.compile(r"^[A-Z][\w\-]+ (?:[£$€₹¥]\s?[\d.,]+|[\d.,]+ (?:USD|EUR|GBP|INR|JPY|€))$")
-_LISTED = re.compile(r"^\d+ [^\W\d]+(?: [^\W\d]+)?$")
-_TOKEN = re.compile(r"\S+")
-
-_CLASSES = ("slot", "raw", "filler", "message", "real", "frame")
+_STATUS = re.compile(r"[45]\d\d [A-Z]")
+_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 
 
 def open_slot(text: str) -> bool:
     """Whether a line has a slot outside a sentence that speaks of slots."""
-    if not _SLOT.search(text):
+    if not _SIGN.search(text) or not _SLOT.search(text):
         return False
     return any(_SLOT.search(s) and not _SPEAKING.search(s) for s in re.split(r"(?<=[.!?。])\s+", text))
 
 
-def classify(text: str) -> str:
-    """Class of a line or title: raw, filler, message, real (content) or frame (headings, dates)."""
+def is_raw(text: str) -> bool:
+    """Whether a line is a raw key, or has a raw or empty value where a text or number belongs."""
     text = text.strip()
-    if RAW.search(text):
-        return "raw"
-    if SAMPLE.search(text):
-        return "filler"
-    words = re.findall(r"[^\W\d_]+", text.lower())
-    if len(words) >= FILLER_WORDS and sum(w in FILLER_VOCABULARY for w in words) >= FILLER_SHARE * len(words):
-        return "filler"
-    if MESSAGE.search(text):
-        return "message"
-    if main_content.is_sentence(text) or _LISTED.match(text) or _PRICED.match(text):
-        return "real"
-    return "frame"
+    return bool(RAW_START.match(text)) or any(w in text for w in RAW_WORDS) and bool(RAW_WITHIN.search(text))
 
 
-#: Characters without which no slot can stand in a line; cheaper to look for than all forms.
-SIGN = r"[{$<@%«#\[]|__|:[A-Za-z]"
-
-
-def leaf(text):
-    """Leaf of the prefix tree that a line goes to (a column): its words' number and first words."""
-    slots = F.when(text.rlike(SIGN), F.lit(SLOT)).otherwise(F.lit("(?!)"))
-    masked = F.regexp_replace(F.trim(text), slots, F.lit("<*>"))
-    masked = F.regexp_replace(masked, "[0-9]+(?:[.,][0-9]+)*", "<*>")
-    words = F.split(masked, r"\s+")
-    return F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH))
+def is_filler(text: str) -> bool:
+    """Whether a line is filler or sample text; to name the filler passage by its first words is neither."""
+    text = text.strip()
+    if SAMPLE_START.match(text) or any(w in text for w in SAMPLE_WITHIN):
+        return True
+    lower = text.lower()
+    if not any(w in lower for w in ONLY_FILLER):
+        return False
+    words = _WORD.findall(lower)
+    if len(words) >= FILLER_WORDS and len(FILLER.intersection(words)) >= 2 and sum(w in FILLER for w in words) >= FILLER_SHARE * len(words):
+        return True
+    return not set(ONLY_FILLER).isdisjoint(_WORD.findall(_PHRASE.sub(" ", lower)))
 
 
-def with_leaf(lines: DataFrame) -> DataFrame:
-    """Non-blank ``lines`` with their leaf, and their text again as ``slotted`` if it may have a slot."""
-    text = F.col("text")
-    return lines.filter(text.rlike(r"\S")).select(
-        "*", leaf(text).alias("leaf"), F.when(text.rlike(SIGN) & text.rlike(SLOT), text).alias("slotted")
-    )
+@lru_cache(maxsize=50_000)
+def _short_residue(text: str) -> str | None:
+    return _residue(text)
 
 
-def templates(lines: DataFrame) -> DataFrame:
-    """Templates (leaf, lines, verdict) of rows (leaf, text); each is classified once.
+def _residue(text: str) -> str | None:
+    return "slot" if open_slot(text) else "raw" if is_raw(text) else "filler" if is_filler(text) else None
 
-    The verdict is null where the smallest and the largest line of a leaf are of two classes.
-    """
-    leaves = lines.groupBy("leaf").agg(
-        F.count(F.lit(1)).alias("lines"), F.min("text").alias("low"), F.max("text").alias("high")
-    )
 
-    def batch(low: pd.Series, high: pd.Series) -> pd.Series:
-        pairs = [(classify(a), classify(b)) for a, b in zip(low, high, strict=True)]
-        return pd.Series([a if a == b else None for a, b in pairs], dtype=object)
+def residue(text: str) -> str | None:
+    """'slot', 'raw', 'filler', or null for a line without any of them."""
+    return _short_residue(text) if len(text) <= main_content._LONG else _residue(text)
 
-    verdict = F.pandas_udf(batch, T.StringType())
-    return leaves.select("leaf", "lines", verdict("low", "high").alias("verdict"))
 
+def leaf(masked: str) -> int:
+    """Leaf of the prefix tree that a masked line goes to, as 64 bits: its words' number and first words."""
+    words = masked.split()
+    start = _NUMBER.sub("0", " ".join(words[:DEPTH]))
+    made = xxhash.xxh3_64_intdigest(f"{len(words)} {start}")
+    return made - (1 << 64) if made >= 1 << 63 else made
 
-def judged_lines(lines: DataFrame) -> DataFrame:
-    """``lines`` (page_id, field, text) with the column ``kind``, one of the classes of a line.
 
-    The lines are read twice, for their templates and for their verdicts, so they are stored
-    with their leaves in the checkpoint folder.
+#: One row a page: what its title and lines hold, and its content area if it may stand alone or holds messages.
+_SCHEMA = (
+    "page_id long, host_id long, reason string, short boolean, few boolean, leaves array<long>, real array<boolean>, cues array<boolean>"
+)
+_ORDER = ("slot", "raw", "filler")
+
+
+def _page(page, lookup) -> list[tuple]:
+    sections = None if page.sections is None else list(page.sections)
+    read = main_content.read_page(page.visible_text, sections, page.host or "", lookup)
+    area = [x for x, keep in zip(read.lines, read.content, strict=True) if keep]
+    # What a template left is no link, so lines that were unsure by themselves are read as well.
+    kinds = {residue(x.text) for x, keep, open_ in zip(read.lines, read.content, read.unsure, strict=True) if keep or open_}
+    title = page.title or ""
+    if title:
+        kinds.add(residue(title))
+    reason = next((k for k in _ORDER if k in kinds), None)
+    value = [x.valued and not _STATUS.match(x.text) for x in area]
+    short = len(area) <= ALONE_LINES and not any(v or x.words > ALONE_WORDS for x, v in zip(area, value, strict=True))
+    few = sum(len(x.text) for x in area) <= ALONE_CHARACTERS
+    told = short and few and title.count(" ") < DEPTH and bool(CUES.search(title))
+    leaves = [leaf(x.masked) for x in area]
+    real = [x.sentence or v for x, v in zip(area, value, strict=True)]
+    cues = [short and few and (told or bool(CUES.search(x.text))) for x in area]
+    return [(page.page_id, page.host_id, reason, short, few, leaves, real, cues)]
+
+
+def message_templates(pages: DataFrame) -> DataFrame:
+    """Leaves (leaf, lines, message) of rows of :func:`_page`; each template is classified once.
+
+    A line stands alone on a page of at most ALONE_LINES short lines, none with a value, that all
+    recur. ``message`` is null for templates with too few lines to be judged.
     """
-    lines = cut_lineage(with_leaf(lines))
-    known = templates(lines.select("leaf", "text")).select("leaf", "verdict")
-
-    def slots(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(t) and open_slot(t) for t in texts], dtype=bool)
-
-    def single(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else classify(t) for t in texts], dtype=object)
-
-    slot = F.pandas_udf(slots, T.BooleanType())
-    alone = F.pandas_udf(single, T.StringType())
-    # Python only sees lines with the form of a slot, and lines whose template has no one verdict.
-    return lines.join(known, "leaf", "left").select(
-        "page_id",
-        "field",
-        "text",
-        F.when(slot("slotted"), F.lit("slot"))
-        .otherwise(F.coalesce("verdict", alone(F.when(F.col("verdict").isNull(), F.col("text")))))
-        .alias("kind"),
+    lines = pages.select("page", "host_id", "short", F.explode("leaves").alias("leaf"))
+    counts = lines.groupBy("leaf").agg(
+        F.count(F.lit(1)).alias("lines"), (F.min("host_id") != F.max("host_id")).alias("hosts")
+    )
+    on_short = lines.filter("short").select("page", "leaf").join(counts, "leaf", "left")
+    alone = (
+        on_short.groupBy("page")
+        .agg(F.collect_set("leaf").alias("leaves"), F.min("lines").alias("fewest"))
+        .filter(F.col("fewest") >= 3)
+        .select(F.explode("leaves").alias("leaf"))
+        .groupBy("leaf")
+        .agg(F.count(F.lit(1)).alias("alone"))
     )
+    least = F.coalesce("alone", F.lit(0)) / (F.col("lines") + DOUBT)
+    most = (F.coalesce("alone", F.lit(0)) + DOUBT) / (F.col("lines") + DOUBT)
+    verdict = F.when(F.col("hosts") & (least >= ALONE_SHARE), True).when(most < ALONE_SHARE, False)
+    return counts.join(alone, "leaf", "left").select("leaf", "lines", verdict.alias("message")).filter("message IS NOT NULL")
 
 
 def residue_pages(pages: DataFrame) -> DataFrame:
     """Distinct (page_id, reason) of pages that a template or server left something on.
 
-    Only the content area of ``visible_text`` and the title are read; a page without a content
-    area is no case but for its title. Null and blank fields are left out. Messages count only
-    where no more sentences, list lines and prices stand beside them than messages (a message may
-    go on in a sentence of its own). A title that is a message itself makes one more sentence a
-    part of it, but never makes a case of a page without a content area.
+    Only the content area of ``visible_text`` and the title are read. A title counts for slots, raw
+    values and filler; one with words of messages counts for the lines below it that are too rare
+    to be judged, so a page without a content area is never a case of a message. Null and blank fields are left out. Messages count where no more sentences, list lines
+    and prices stand beside them than messages. Pages without an id and repeated rows count once
+    or not at all.
     """
-    blocks = main_content.main_blocks(pages).filter("block_field = 'visible_text'")
-    titles = pages.filter(F.col("page_id").isNotNull()).select("page_id", F.lit("title").alias("field"), F.col("title").alias("text"))
-    lines = blocks.select("page_id", F.lit("text").alias("field"), "text").unionByName(titles)
-    kinds = judged_lines(lines)
-    has = lambda cond: F.max(F.when(cond, 1).otherwise(0)) == 1
-    area = F.col("field") == "text"
-    page = kinds.groupBy("page_id").agg(
-        has(F.col("kind") == "slot").alias("slot"),
-        has(F.col("kind") == "raw").alias("raw"),
-        has(F.col("kind") == "filler").alias("filler"),
-        F.count_if(area & (F.col("kind") == "message")).alias("messages"),
-        F.count_if(area).alias("lines"),
-        has(~area & F.col("text").rlike(MESSAGE_TITLE.pattern)).alias("told"),
-        F.count_if(area & (F.col("kind") == "real")).alias("reals"),
+    made = cut_lineage(main_content.over_sites(pages, _page, _SCHEMA))
+    made = made.withColumn("page", F.xxhash64("page_id", "leaves"))
+    lines = made.filter("reason IS NULL").select(
+        "page", "page_id", "short", "few", F.posexplode("leaves").alias("at", "leaf"), "real", "cues"
+    )
+    judged = lines.join(message_templates(made), "leaf", "left").select(
+        "page",
+        "page_id",
+        "short",
+        "few",
+        F.coalesce("message", F.lit(False)).alias("message"),
+        F.coalesce(~F.col("message"), F.lit(False)).alias("ordinary"),
+        F.get("real", F.col("at")).alias("real"),
+        (F.col("message").isNull() & F.get("cues", F.col("at"))).alias("cue"),
+    )
+    told = (
+        judged.groupBy("page", "page_id", "short", "few")
+        .agg(
+            F.count_if("message").alias("messages"),
+            F.count_if(F.col("real") & ~F.col("message")).alias("reals"),
+            (2 * F.count_if(F.col("message") | F.col("cue")) >= F.count(F.lit(1))).alias("mostly"),
+            F.count_if("ordinary").alias("ordinary"),
+        )
+        .filter(((F.col("messages") > 0) & (F.col("reals") <= F.col("messages"))) | (F.col("short") & F.col("few") & F.col("mostly") & (F.col("ordinary") == 0)))
+        .select("page_id", F.lit("message").alias("reason"))
     )
-    reason = (
-        F.when(F.col("slot"), "slot")
-        .when(F.col("raw"), "raw")
-        .when(F.col("filler"), "filler")
-        .when((F.col("messages") > 0) & (F.col("reals") <= F.col("messages")), "message")
-        .when(F.col("told") & (F.col("lines") > 0) & (F.col("reals") <= F.col("messages") + 1), "message")
+    return made.filter("reason IS NOT NULL").select("page_id", "reason").unionByName(told).groupBy("page_id").agg(
+        F.max("reason").alias("reason")
     )
-    return page.select("page_id", reason.alias("reason")).filter("reason IS NOT NULL")
