@@ -60,6 +60,45 @@ def test_questions_and_answers_are_told(spark):
     assert not rows[8].question_found
 
 
+def test_small_pieces_and_many_replaced_words(spark):
+    twenty = passage(50, 20).split()
+    three = "a b c ".join(" ".join(twenty[k : k + 5]) + " " for k in (0, 7, 15))
+    third = " ".join("zz" if k % 3 == 2 else w for k, w in enumerate(twenty))
+    tag = " ".join(twenty[:10]) + " <span title='" + "y" * 3_000 + "'> " + " ".join(twenty[10:])
+    compared = " ".join(twenty[:6]) + " 3 < 5 " + " ".join(twenty[6:12]) + " > 2"
+    loose = " q ".join(twenty)
+    docs = [(1, three, ""), (2, third, ""), (3, tag, ""), (4, compared, ""), (5, loose, ""), (6, " ".join(twenty[:9]), "")]
+    items = spark.createDataFrame([(9, " ".join(twenty), None, None)], "item_id long, passage string, question string, answer string")
+    got = {r.doc_id: r.share for r in leakage.leaked_items(spark, frame(spark, docs), items).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert got[1] == 0.75 and got[2] >= 0.95 and got[3] == 1.0
+
+
+def test_common_windows_are_left_out_of_the_first_count_only():
+    shared = passage(60, 30)
+    items = [leakage.item_of(k, f"{shared} {passage(70 + k, 30)}", None, None) for k in range(20)]
+    scanner = leakage.Scanner(items)
+    assert sum(map(len, scanner.counted.values())) < sum(map(len, scanner.places.values())) and min(scanner.least) >= 1
+    for text, expected in ((shared, set(range(20))), (passage(75, 30), {5}), (passage(75, 20), set())):
+        hits = scanner.scan(text, f" {' '.join(leakage.plain_words(text))} ")
+        assert {h[0] for h in hits} == expected
+
+
+def test_questions_are_told_for_every_document(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, passage string, question string, answer string")
+    docs = frame(spark, [(1, "Ask: QUESTION 3 about w3?", ""), (2, "nothing", "")])
+    rows = [(r.doc_id, r.item_id, r.share, r.question_found, r.start_offset) for r in leakage.item_hits(spark, docs, items).collect()]
+    assert rows == [(1, 3, 0.0, True, None)]
+    assert leakage.leaked_items(spark, docs, items.limit(0)).count() == 0
+    assert leakage.leaked_items(spark, docs.limit(0), items).count() == 0
+
+
+def test_one_scan_for_any_number_of_items(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK", 3)
+    plan = found(spark, [(1, passage(1), "")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     docs = [(k, passage(k), "") for k in range(40)]
     whole = {(r.doc_id, r.item_id) for r in found(spark, docs).collect()}

@@ -1,9 +1,13 @@
 """Evaluation texts leaking into training text.
 
-One Aho-Corasick automaton over the normalised questions, answers and passages of all test
-items (passages as windows of three words) scans each text once. Its hits, mapped back to word
-places, are chained per item: a document carries an item if pieces of its passage, in order,
-hold at least half of the passage's words.
+One Aho-Corasick automaton over the normalised questions, answers and passages of the test items
+(passages as windows of two words) scans each text once. Its hits, mapped back to word places, are
+chained per item: a document carries an item if pieces of its passage, in order, hold at least
+half of the passage's words.
+
+A text is normalised once and scanned by the automata of all blocks of items in the same task, so
+there is one pass over the documents however many items there are. The items go to the executors
+as files of the shared folder, not through the driver.
 """
 
 from __future__ import annotations
@@ -11,30 +15,40 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from functools import lru_cache
+from pathlib import Path
 from typing import NamedTuple
 
 import ahocorasick
 import pandas as pd
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words of a seed window of a passage.
-SEED = 3
+from tidemark.session import checkpoint_dir
+
+#: Words of a window of a passage.
+SEED = 2
 #: Share of a passage's words that a document must hold.
 SHARE = 0.5
-#: Shortest piece, in words, that counts towards the share.
-PIECE = 6
+#: Shortest piece, in words, that counts towards the share: less are loose words.
+PIECE = 4
 #: Most words that may differ between two parts of one piece at the same place.
 REPLACED = 1
-#: Least part of a piece's words that lie in windows: every fourth word may be a replaced one.
-COVERED = SEED / (SEED + REPLACED)
-#: Items per automaton, and characters of their texts; a larger test set is scanned in blocks.
+#: Least windows of a piece for each of its words: every third word may be a replaced one.
+WINDOWS = 1 / (SEED + REPLACED)
+#: Items of which a window must be for it to be left out of the first count, if it can be.
+COMMON = 4
+#: Items per automaton, and characters of their texts.
 BLOCK, BLOCK_CHARACTERS = 2_000, 20_000_000
+#: Characters of texts that are held normalised while the blocks' automata pass over them.
+HELD_CHARACTERS = 32_000_000
 
-_TAG = re.compile(r"<[^<>]{0,400}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = frozenset("\xad\u200b\u200c\u200d\u2060\ufeff")
 _UNSEEN = re.compile(f"[{''.join(sorted(_INVISIBLE))}]")
@@ -78,33 +92,109 @@ def plain_words(text: str) -> list[str]:
     return [w.lower() if w.isascii() else _folded(w) for w in _WORD.findall(text)]
 
 
-class Pattern(NamedTuple):
-    """Items whose passages hold a window, and all its places (item, word, kind)."""
+class Item(NamedTuple):
+    """A test item as normalised words."""
+
+    item_id: int
+    passage: tuple[str, ...]
+    question: tuple[str, ...]
+    answer: tuple[str, ...]
 
-    items: tuple[int, ...]
-    places: tuple[tuple[int, int, str], ...]
 
+class Scanner:
+    """The automaton of a block of items, and what its patterns stand for.
 
-@lru_cache(maxsize=4)
-def _automaton(items: tuple[tuple[int, tuple[str, ...], tuple[str, ...], tuple[str, ...]], ...]):
-    """The automaton, its patterns, and passage lengths."""
-    places: dict[str, list[tuple[int, int, str]]] = defaultdict(list)
-    lengths = {}
-    for number, (_, passage, question, answer) in enumerate(items):
-        lengths[number] = len(passage)
-        width = min(SEED, len(passage))
-        for j in range(len(passage) - width + 1 if width else 0):
-            places[" ".join(passage[j : j + width])].append((number, j, "p"))
-        for kind, words in (("q", question), ("a", answer)):
-            if words:
-                places[" ".join(words)].append((number, 0, kind))
-    known = {p: Pattern(tuple({n for n, _, kind in at if kind == "p"}), tuple(at)) for p, at in places.items()}
-    automaton = ahocorasick.Automaton()
-    for pattern in places:
-        automaton.add_word(f" {pattern} ", pattern)
-    if places:
-        automaton.make_automaton()
-    return automaton, known, lengths
+    ``places`` has all places (item, word) of a window; ``counted`` only those that the first
+    count needs. A document that carries an item has at least WINDOWS * SHARE * length of its
+    windows; windows of many items may be left out of the count if the least number of an item
+    is lowered by as many, as long as one of them stays to be found.
+    """
+
+    def __init__(self, items: list[Item]) -> None:
+        self.items = items
+        self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.told: dict[str, list[tuple[int, str]]] = defaultdict(list)
+        for number, item in enumerate(items):
+            words = item.passage
+            width = min(SEED, len(words))
+            for j in range(len(words) - width + 1 if width else 0):
+                self.places[" ".join(words[j : j + width])].append((number, j))
+            for kind, told in (("q", item.question), ("a", item.answer)):
+                if told:
+                    self.told[" ".join(told)].append((number, kind))
+        users = {pattern: len({n for n, _ in at}) for pattern, at in self.places.items()}
+        windows: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        for pattern, at in self.places.items():
+            for number, _ in at:
+                windows[number][pattern] += 1
+        self.least: list[float] = [0.0] * len(items)
+        self.counted: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for number, own in windows.items():
+            least = WINDOWS * SHARE * len(items[number].passage)
+            for pattern in sorted(own, key=lambda p: (-users[p], p)):
+                if users[pattern] > COMMON and least - own[pattern] >= 1:
+                    least -= own[pattern]
+                else:
+                    self.counted[pattern].append((number, own[pattern]))
+            self.least[number] = least
+        self.automaton = ahocorasick.Automaton()
+        for pattern in {*self.places, *self.told}:
+            self.automaton.add_word(f" {pattern} ", pattern)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def scan(self, text: str, line: str) -> list[tuple]:
+        """Items in a text: (item_id, share, pieces, start, last word, question, answer).
+
+        ``line`` has the text's normalised words. Start and the last word's place are offsets in
+        the text, null where the passage isn't in it; the share is that of the passage's words.
+        """
+        if not len(self.automaton):
+            return []
+        met = {pattern for _, pattern in self.automaton.iter(line)}
+        told: dict[int, set[str]] = defaultdict(set)
+        seen: dict[int, int] = defaultdict(int)
+        for pattern in met:
+            for number, times in self.counted.get(pattern, ()):
+                seen[number] += times
+            for number, kind in self.told.get(pattern, ()):
+                told[number].add(kind)
+        likely = {n for n, times in seen.items() if times >= self.least[n]}
+        held = self._held(line, likely) if likely else {}
+        if not held and not told:
+            return []
+        offsets = words_with_offsets(text)[1] if held else []
+        out = []
+        for number in sorted({*held, *told}):
+            share, pieces = held.get(number, (0.0, []))
+            first = offsets[min(i for i, _, _ in pieces)] if pieces else None
+            last = offsets[max(i + n - 1 for i, _, n in pieces)] if pieces else None
+            item = self.items[number].item_id
+            out.append((item, share, len(pieces), first, last, "q" in told.get(number, ()), "a" in told.get(number, ())))
+        return out
+
+    def _held(self, line: str, likely: set[int]) -> dict[int, tuple[float, list[tuple[int, int, int]]]]:
+        """Share and pieces of the items of ``likely`` that the line carries."""
+        cells: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        last_end = index = 0
+        for end, pattern in self.automaton.iter(line):
+            # Hits come in the order of their ends, so words are counted once along the line.
+            index += line.count(" ", last_end, end)
+            last_end = end
+            for number, j in self.places.get(pattern, ()):
+                if number in likely:
+                    width = min(SEED, len(self.items[number].passage))
+                    cells[number].update((index - width + k, j + k) for k in range(width))
+        found = {}
+        for number, at in cells.items():
+            length = len(self.items[number].passage)
+            pieces = [p for p in _pieces(at) if p[2] >= min(PIECE, length)]
+            if sum(p[2] for p in pieces) < SHARE * length:
+                continue
+            words = _chain(pieces, length)
+            if words >= SHARE * length:
+                found[number] = (words / length, pieces)
+        return found
 
 
 def _pieces(cells: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -147,72 +237,16 @@ def _chain(pieces: list[tuple[int, int, int]], length: int) -> int:
     return top
 
 
-def scan(text: str, items: tuple, scanner: tuple | None = None) -> list[tuple]:
-    """Items that a text carries: (item_id, share, pieces, start, end, question, answer).
+def item_of(item_id: int, passage: str | None, question: str | None, answer: str | None) -> Item:
+    return Item(item_id, *(tuple(plain_words(t or "")) for t in (passage, question, answer)))
 
-    Start and end are offsets in the text; the last two tell whether the item's question and
-    answer stand in the text as well, which alone makes no case.
-    """
-    automaton, patterns, lengths = scanner or _automaton(items)
-    if not patterns:
-        return []
-    words = plain_words(text)
-    line = f" {' '.join(words)} "
-    hits: list[tuple[int, str]] = []
-    last_end, index = 0, 0
-    for end, pattern in automaton.iter(line):
-        # Hits come in the order of their ends, so words are counted once along the line.
-        index += line.count(" ", last_end, end)
-        last_end = end
-        hits.append((index, pattern))
-    if not hits:
-        return []
-    # Windows that many passages share hit many items: only items with enough windows go on.
-    seeds: dict[int, int] = defaultdict(int)
-    for _, pattern in hits:
-        for number in patterns[pattern].items:
-            seeds[number] += 1
-    likely = {n for n, count in seeds.items() if count * SEED >= COVERED * SHARE * lengths[n]}
-    if not likely:
-        return []
-    told: dict[int, set[str]] = defaultdict(set)
-    cells: dict[int, set[tuple[int, int]]] = defaultdict(set)
-    for index, pattern in hits:
-        for number, j, kind in patterns[pattern].places:
-            if number not in likely:
-                continue
-            if kind == "p":
-                width = min(SEED, lengths[number])
-                cells[number].update((index - width + k, j + k) for k in range(width))
-            else:
-                told[number].add(kind)
-    found = []
-    for number, held in cells.items():
-        length = lengths[number]
-        need = SHARE * length
-        if len({j for _, j in held}) < COVERED * need:
-            continue
-        pieces = [p for p in _pieces(held) if p[2] >= min(PIECE, length)]
-        if not pieces or sum(p[2] for p in pieces) < need:
-            continue
-        held_words = _chain(pieces, length)
-        if held_words >= need:
-            found.append((number, held_words / length, pieces))
-    if not found:
-        return []
-    places = words_with_offsets(text)[1]
-    return [
-        (
-            items[number][0],
-            share,
-            len(pieces),
-            places[min(i for i, _, _ in pieces)],
-            places[max(i + n - 1 for i, _, n in pieces)],
-            "q" in told[number],
-            "a" in told[number],
-        )
-        for number, share, pieces in found
-    ]
+
+@lru_cache(maxsize=2)
+def _scanner(folder: str) -> Scanner:
+    """The scanner of a block's folder; a worker holds two at most."""
+    rows = pq.read_table(folder, columns=["item_id", "passage", "question", "answer"]).to_pylist()
+    rows.sort(key=lambda r: (r["item_id"], *(r[c] or "" for c in ("passage", "question", "answer"))))
+    return Scanner([item_of(**r) for r in rows])
 
 
 _SCHEMA = T.StructType(
@@ -229,45 +263,58 @@ _SCHEMA = T.StructType(
 )
 
 
-def _block(documents: DataFrame, rows: list) -> DataFrame:
-    items = tuple(
-        (
-            r["item_id"],
-            tuple(plain_words(r["passage"] or "")),
-            tuple(plain_words(r["question"] or "")),
-            tuple(plain_words(r["answer"] or "")),
-        )
-        for r in rows
-    )
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=_SCHEMA.fieldNames())
+    for offset in ("start_offset", "last_word_offset"):
+        frame[offset] = frame[offset].astype("Int64")
+    return frame
 
-    def batches(frames):
-        scanner = _automaton(items)  # once per task: looking it up hashes all items
-        for frame in frames:
-            out = [
-                (doc, *hit)
-                for doc, text in zip(frame["doc_id"].tolist(), frame["text"].tolist(), strict=True)
-                for hit in scan(text, items, scanner)
-            ]
-            yield pd.DataFrame(out, columns=_SCHEMA.fieldNames())
 
-    return documents.mapInPandas(batches, _SCHEMA)
+def _texts(frames):
+    """(doc_id, text, line) of all rows in groups of HELD_CHARACTERS."""
+    held: list[tuple[int, str, str]] = []
+    characters = 0
+    for frame in frames:
+        for doc, text in zip(frame["doc_id"].tolist(), frame["text"].tolist(), strict=True):
+            held.append((doc, text, f" {' '.join(plain_words(text))} "))
+            characters += len(text)
+            if characters >= HELD_CHARACTERS:
+                yield held
+                held, characters = [], 0
+    if held:
+        yield held
 
 
-def leaked_items(spark: SparkSession, documents: DataFrame, eval_items: DataFrame) -> DataFrame:
+def item_hits(spark: SparkSession, documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """Distinct rows (doc_id, item_id, share, pieces, start_offset, last_word_offset, question_found, answer_found).
 
-    Null and blank texts carry nothing, documents without an id are left out, items with a null or empty passage are in no document,
-    items that share a passage are all reported. The test set is held in blocks of BLOCK items;
-    each block scans all documents once, without a shuffle.
+    One row for each document and item of which the document holds half of the passage (share is
+    0 otherwise), the whole question or the whole answer. Null and blank texts hold nothing,
+    documents and items without an id are left out, a null or empty text of an item is in no
+    document, items that share a text are all reported.
     """
     texts = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S"))
     items = eval_items.select("item_id", "passage", "question", "answer").filter(F.col("item_id").isNotNull())
     length = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("passage", "question", "answer")), F.lit(0))
     n, characters = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
     blocks = max(-(-n // BLOCK), -(-characters // BLOCK_CHARACTERS), 1)
-    found = None
-    for b in range(blocks):
-        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        part = _block(texts, mine.collect())
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+    name = f"items-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{name}"
+    items.repartition(blocks, F.pmod(F.xxhash64("item_id"), F.lit(blocks))).write.parquet(path)
+    spark.sparkContext.addFile(path, recursive=True)
+
+    def batches(frames):
+        files = sorted(str(f) for f in Path(SparkFiles.get(name)).glob("*.parquet"))
+        for group in _texts(frames):
+            for file in files:
+                scanner = _scanner(file)
+                out = [(doc, *hit) for doc, text, line in group for hit in scanner.scan(text, line)]
+                if out:
+                    yield _frame(out)
+
+    return texts.mapInPandas(batches, _SCHEMA).distinct()
+
+
+def leaked_items(spark: SparkSession, documents: DataFrame, eval_items: DataFrame) -> DataFrame:
+    """The rows of :func:`item_hits` of documents that hold half of an item's passage."""
+    return item_hits(spark, documents, eval_items).filter(F.col("share") >= SHARE)
