@@ -94,6 +94,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent_files(df: DataFrame) -> list[str]:
+    """Write ``df`` to the shared checkpoint folder and send its files to the executors.
+
+    Gives the files' names for ``SparkFiles.get``: workers read what they need from disk, so the
+    rows are never held by the driver.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    files = sorted(x.getPath().toString() for x in listed if x.getPath().getName().endswith(".parquet"))
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return [file.rsplit("/", 1)[1] for file in files]
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect a small dimension; raise if it has more than ``limit`` rows."""
     rows = df.limit(limit + 1).collect()
