@@ -15,10 +15,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-import uuid
 from collections import defaultdict
 from functools import lru_cache
-from pathlib import Path
 from typing import NamedTuple
 
 import ahocorasick
@@ -29,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import checkpoint_dir
+from tidemark.session import sent_files
 
 #: Words of a window of a passage.
 SEED = 2
@@ -242,9 +240,9 @@ def item_of(item_id: int, passage: str | None, question: str | None, answer: str
 
 
 @lru_cache(maxsize=2)
-def _scanner(folder: str) -> Scanner:
-    """The scanner of a block's folder; a worker holds two at most."""
-    rows = pq.read_table(folder, columns=["item_id", "passage", "question", "answer"]).to_pylist()
+def _scanner(file: str) -> Scanner:
+    """The scanner of a block's file; a worker holds two at most."""
+    rows = pq.read_table(file, columns=["item_id", "passage", "question", "answer"]).to_pylist()
     rows.sort(key=lambda r: (r["item_id"], *(r[c] or "" for c in ("passage", "question", "answer"))))
     return Scanner([item_of(**r) for r in rows])
 
@@ -298,16 +296,12 @@ def item_hits(spark: SparkSession, documents: DataFrame, eval_items: DataFrame)
     length = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("passage", "question", "answer")), F.lit(0))
     n, characters = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
     blocks = max(-(-n // BLOCK), -(-characters // BLOCK_CHARACTERS), 1)
-    name = f"items-{uuid.uuid4().hex}"
-    path = f"{checkpoint_dir(spark)}/{name}"
-    items.repartition(blocks, F.pmod(F.xxhash64("item_id"), F.lit(blocks))).write.parquet(path)
-    spark.sparkContext.addFile(path, recursive=True)
+    names = sent_files(items.repartition(blocks, F.pmod(F.xxhash64("item_id"), F.lit(blocks))))
 
     def batches(frames):
-        files = sorted(str(f) for f in Path(SparkFiles.get(name)).glob("*.parquet"))
         for group in _texts(frames):
-            for file in files:
-                scanner = _scanner(file)
+            for name in names:
+                scanner = _scanner(SparkFiles.get(name))
                 out = [(doc, *hit) for doc, text, line in group for hit in scanner.scan(text, line)]
                 if out:
                     yield _frame(out)
