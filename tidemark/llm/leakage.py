@@ -15,7 +15,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -39,8 +39,9 @@ PIECE = 4
 REPLACED = 1
 #: Least windows of a piece for each of its words: every third word may be a replaced one.
 WINDOWS = 1 / (SEED + REPLACED)
-#: Items of which a window must be for it to be left out of the first count, if it can be.
-COMMON = 4
+#: Items of which a window must be for it to be left out of the first count, and part of the least
+#: number of windows that must be left.
+COMMON, LEFT = 50, 0.6
 #: Items per automaton, and characters of their texts.
 BLOCK, BLOCK_CHARACTERS = 2_000, 20_000_000
 #: Characters of texts that are held normalised while the blocks' automata pass over them.
@@ -102,41 +103,38 @@ class Item(NamedTuple):
 class Scanner:
     """The automaton of a block of items, and what its patterns stand for.
 
-    ``places`` has all places (item, word) of a window; ``counted`` only those that the first
-    count needs. A document that carries an item has at least WINDOWS * SHARE * length of its
+    ``own`` has the places of an item's windows; ``counted`` only what the first count needs. A document that carries an item has at least WINDOWS * SHARE * length of its
     windows; windows of many items may be left out of the count if the least number of an item
-    is lowered by as many, as long as one of them stays to be found.
+    is lowered by as many.
     """
 
     def __init__(self, items: list[Item]) -> None:
         self.items = items
-        self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.own: list[dict[str, list[int]]] = [defaultdict(list) for _ in items]
         self.told: dict[str, list[tuple[int, str]]] = defaultdict(list)
         for number, item in enumerate(items):
             words = item.passage
             width = min(SEED, len(words))
             for j in range(len(words) - width + 1 if width else 0):
-                self.places[" ".join(words[j : j + width])].append((number, j))
+                self.own[number][" ".join(words[j : j + width])].append(j)
             for kind, told in (("q", item.question), ("a", item.answer)):
                 if told:
                     self.told[" ".join(told)].append((number, kind))
-        users = {pattern: len({n for n, _ in at}) for pattern, at in self.places.items()}
-        windows: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        for pattern, at in self.places.items():
-            for number, _ in at:
-                windows[number][pattern] += 1
+        users = Counter(pattern for own in self.own for pattern in own)
         self.least: list[float] = [0.0] * len(items)
         self.counted: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for number, own in windows.items():
+        for number, own in enumerate(self.own):
             least = WINDOWS * SHARE * len(items[number].passage)
+            floor = LEFT * least
             for pattern in sorted(own, key=lambda p: (-users[p], p)):
-                if users[pattern] > COMMON and least - own[pattern] >= 1:
-                    least -= own[pattern]
+                times = len(own[pattern])
+                if users[pattern] > COMMON and least - times >= floor:
+                    least -= times
                 else:
-                    self.counted[pattern].append((number, own[pattern]))
+                    self.counted[pattern].append((number, times))
             self.least[number] = least
         self.automaton = ahocorasick.Automaton()
-        for pattern in {*self.places, *self.told}:
+        for pattern in {*users, *self.told}:
             self.automaton.add_word(f" {pattern} ", pattern)
         if len(self.automaton):
             self.automaton.make_automaton()
@@ -173,16 +171,22 @@ class Scanner:
 
     def _held(self, line: str, likely: set[int]) -> dict[int, tuple[float, list[tuple[int, int, int]]]]:
         """Share and pieces of the items of ``likely`` that the line carries."""
-        cells: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        hits: list[tuple[int, str]] = []
         last_end = index = 0
         for end, pattern in self.automaton.iter(line):
             # Hits come in the order of their ends, so words are counted once along the line.
             index += line.count(" ", last_end, end)
             last_end = end
-            for number, j in self.places.get(pattern, ()):
-                if number in likely:
-                    width = min(SEED, len(self.items[number].passage))
-                    cells[number].update((index - width + k, j + k) for k in range(width))
+            hits.append((index, pattern))
+        cells: dict[int, set[tuple[int, int]]] = {}
+        for number in likely:
+            own = self.own[number]
+            width = min(SEED, len(self.items[number].passage))
+            at = cells[number] = set()
+            for index, pattern in hits:
+                for j in own.get(pattern, ()):
+                    for k in range(width):
+                        at.add((index - width + k, j + k))
         found = {}
         for number, at in cells.items():
             length = len(self.items[number].passage)
