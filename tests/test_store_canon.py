@@ -55,12 +55,28 @@ def test_problems():
     cases = {"{": "no JSON", '{"body": 1}': "raw document", '"<html >"': "raw document", "NaN": "number is not finite", "[" * 20 + "]" * 20: "too deep", json.dumps([0] * 1_001): "array is too long", json.dumps([[0] * 999] * 12): "too many values"}
     assert {k: canon.canonical(k).problem for k in cases} == cases
     assert canon.canonical(None) == (None, None)
-    assert canon.redact_value({"a": {"password": "x", "b": ["call +1 555 123 4567"]}}) == {"a": {"password": "[REDACTED]", "b": ["call [REDACTED_PHONE]"]}}
+
+
+def test_hidden_values(spark):
+    cases = {
+        '{"a": {"password": "x", "b": ["call +1 555 123 4567"]}}': {"a": {"password": "[REDACTED]", "b": ["call [REDACTED_PHONE]"]}},
+        '{"webhook": "kept", "webhook_token": 1, "__proto__": 2}': {"webhook": "kept", "webhook_token": "[REDACTED]"},
+        '"mail a@b.example"': "mail [REDACTED_EMAIL]", "[1, null, true]": [1, None, True], "3": 3,
+        "[" * 10 + "1" + "]" * 10: json.loads("[" * 9 + '"[TRUNCATED_DEPTH]"' + "]" * 9),
+        json.dumps(list(range(300))): list(range(200)),
+    }
+    for text, expected in cases.items():
+        assert json.loads(canon.hidden(text)) == expected, text
+    assert canon.hidden(None) is None and canon.hidden("{") is None
+    df = spark.createDataFrame([('{"key": 1}',), (None,), ('{"key": 1}',)], "v string")
+    assert [r.h for r in df.select(canon.hidden_column(F.col("v")).alias("h")).collect()] == ['{"key": "[REDACTED]"}', None, '{"key": "[REDACTED]"}']
 
 
 def test_canonical_column(spark):
-    df = spark.createDataFrame([('{"a":1}',), ('{"a":1.0}',), (None,), ("x",)], "v string")
+    plain = ['"in_stock"', '"Basic plan"', "true", "12", '"sold out"', '"a@b.example"', "-0"]
+    df = spark.createDataFrame([('{"a":1}',), ('{"a":1.0}',), (None,), ("x",), *[(p,) for p in plain]], "v string")
     rows = [r.c for r in df.select(canon.canonical_column(F.col("v")).alias("c")).collect()]
+    assert [r.text for r in rows[4:]] == [canon.canonical(p).text for p in plain] and rows[5].text == '"Basic [REDACTED]"'
     assert rows[0].hash == rows[1].hash and rows[2].hash is None and rows[3].problem == "no JSON"
 
 
@@ -76,4 +92,4 @@ def test_payload_documents(spark):
     df = spark.createDataFrame(rows, "change_row long, change_id string, target_name string, target_url string, category string, field_path string, severity string, confidence_score int, payload_row long, total string")
     got = {r.payload_row: json.loads(r.payload) for r in reports.payload_documents(df, "payload_row").collect()}
     assert got[1]["totalEligibleChanges"] == 12 and [c["change_id"] for c in got[1]["changes"]] == [f"c{k}" for k in range(11, 1, -1)]
-    assert got[2]["changes"][0]["change_id"] is None and len(got[2]["deliveryId"]) == 64
+    assert set(got) == {1} and len(got[1]["deliveryId"]) == 64

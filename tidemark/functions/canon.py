@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import unicodedata
 from typing import NamedTuple
@@ -20,6 +21,9 @@ NODES, DEPTH, ENTRIES, BYTES = 10_000, 12, 1_000, 2 * 1024 * 1024
 SENSITIVE = re.compile(
     r"authorization|cookie|token|secret|api[-_]?key|password|credential|session|signature|^sig$|^key$|webhook", re.I
 )
+SECRET_KEY = re.compile(
+    r"authorization|cookie|token|secret|api[-_]?key|password|credential|session|signature|^sig$|^key$", re.I
+)
 RAW_KEY = re.compile(r"^(?:raw[-_]?html|html|body|response[-_]?body|headers?|cookies?)$", re.I)
 RAW_TEXT = re.compile(r"<!doctype\s+html|<html(?:\s|>)", re.I)
 DROPPED = frozenset(("__proto__", "prototype", "constructor"))
@@ -32,28 +36,32 @@ class Canonical(NamedTuple):
     problem: str | None
 
 
-def _python(pattern: str) -> re.Pattern:
-    return re.compile(pattern)
-
-
-_SECRETS = [
-    (_python(tx.BEARER), r"\1 [REDACTED]"),
-    (_python(tx.QUERY_SECRET), r"\1[REDACTED]"),
-    (_python(tx.WEB_TOKEN), "[REDACTED]"),
-    (_python(tx.PREFIXED), "[REDACTED]"),
-    (_python(tx.ASSIGNMENT), r"\1=[REDACTED]"),
-    (_python(tx.EMAIL), "[REDACTED_EMAIL]"),
-]
+#: The shapes of :func:`tidemark.functions.text.redact`, for texts that Python holds.
+_SECRETS = tuple(
+    (re.compile(pattern), by)
+    for pattern, by in (
+        (tx.BEARER, r"\1 [REDACTED]"),
+        (tx.QUERY_SECRET, r"\1[REDACTED]"),
+        (tx.WEB_TOKEN, "[REDACTED]"),
+        (tx.PREFIXED, "[REDACTED]"),
+        (tx.ASSIGNMENT, r"\1=[REDACTED]"),
+        (tx.EMAIL, "[REDACTED_EMAIL]"),
+    )
+)
 _PHONE = re.compile(tx.PHONE)
+#: Without one of these no secret, address or number can stand in a text.
+_SIGNS = re.compile(r"(?i)[=:@]|bearer|basic|eyj|sk|pk|ghp|github_pat|xox|[0-9](?:[ ().-]*[0-9]){9}")
 
 
 def redact_text(value: str, limit: int = 2_000) -> str:
-    """What :func:`tidemark.functions.text.redact` does, for values inside of JSON."""
-    value = unicodedata.normalize("NFC", value).replace("\r\n", "\n")
-    for pattern, by in _SECRETS:
-        value = pattern.sub(by, value)
-    value = _PHONE.sub(lambda m: "[REDACTED_PHONE]" if tx.is_phone(m.group()) else m.group(), value)
-    return value.strip()[: max(0, min(limit, tx.MAX_TEXT))]
+    """What :func:`tidemark.functions.text.redact` does, for texts that Python holds."""
+    value = value if value.isascii() else unicodedata.normalize("NFC", value)
+    value = value.replace("\r\n", "\n")
+    if _SIGNS.search(value):
+        for pattern, by in _SECRETS:
+            value = pattern.sub(by, value)
+        value = _PHONE.sub(lambda m: "[REDACTED_PHONE]" if tx.is_phone(m.group()) else m.group(), value)
+    return value.strip(tx.SPACE_CHARACTERS)[: max(0, min(limit, tx.MAX_TEXT))]
 
 
 def number_text(value: float) -> str:
@@ -73,69 +81,167 @@ def number_text(value: float) -> str:
     return f"{mantissa}e{power:+d}"
 
 
-def _write(value, key: str, depth: int, state: list[int]) -> str:
-    state[0] += 1
-    if state[0] > NODES:
-        raise ValueError("too many values")
-    if depth > DEPTH:
-        raise ValueError("too deep")
-    if RAW_KEY.search(key):
-        raise ValueError("raw document")
-    if SENSITIVE.search(key):
-        return '"[REDACTED]"'
-    if value is None or isinstance(value, bool):
-        return json.dumps(value)
+class Part(NamedTuple):
+    """A written piece of a value with what its bounds need: how many values, how deep, what is wrong."""
+
+    text: str
+    values: int = 1
+    height: int = 0
+    wrong: frozenset[str] = frozenset()
+
+
+_HIDDEN = Part('"[REDACTED]"')
+_FINE: frozenset[str] = frozenset()
+
+
+def _leaf(value) -> Part:
+    if isinstance(value, Part):
+        return value
     if isinstance(value, str):
-        if RAW_TEXT.search(value):
-            raise ValueError("raw document")
-        return json.dumps(redact_text(value, tx.MAX_TEXT), ensure_ascii=False)
-    if isinstance(value, (int, float)):
-        if value != value or value in (float("inf"), float("-inf")):
-            raise ValueError("number is not finite")
-        return number_text(float(value))
+        return Part(json.dumps(redact_text(value, tx.MAX_TEXT), ensure_ascii=False), wrong=frozenset({"raw document"}) if RAW_TEXT.search(value) else _FINE)
+    if isinstance(value, float):
+        return Part(number_text(value)) if math.isfinite(value) else Part("null", wrong=frozenset({"number is not finite"}))
     if isinstance(value, list):
-        if len(value) > ENTRIES:
-            raise ValueError("array is too long")
-        return "[" + ",".join(_write(v, key, depth + 1, state) for v in value) + "]"
-    kept = sorted((k for k in value if k not in DROPPED), key=lambda k: k.encode("utf-16-be"))
-    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_write(value[k], k, depth + 1, state)}" for k in kept) + "}"
+        return _joined("[]", [("", _leaf(v)) for v in value], len(value) > ENTRIES and "array is too long")
+    return Part(json.dumps(value))
+
+
+def _joined(brackets: str, parts: list[tuple[str, Part]], wrong: str | bool = False) -> Part:
+    own = frozenset({wrong}) if wrong else _FINE
+    return Part(
+        brackets[0] + ",".join(name + part.text for name, part in parts) + brackets[1],
+        1 + sum(part.values for _, part in parts),
+        1 + max((part.height for _, part in parts), default=-1),
+        own.union(*(part.wrong for _, part in parts)),
+    )
+
+
+def _object(pairs: list[tuple[str, object]]) -> Part:
+    """An object of a JSON text, as soon as the parser has read its last pair."""
+    last = {key: value for key, value in pairs if key not in DROPPED}
+    made = []
+    for key in sorted(last, key=lambda k: k.encode("utf-16-be")):
+        part = _HIDDEN if SENSITIVE.search(key) else _leaf(last[key])
+        if RAW_KEY.search(key):
+            part = Part("null", wrong=frozenset({"raw document"}))
+        made.append((json.dumps(key, ensure_ascii=False) + ":", part))
+    return _joined("{}", made)
+
+
+_READER = json.JSONDecoder(object_pairs_hook=_object, parse_int=float, parse_constant=float)
 
 
 def canonical(text: str | None) -> Canonical:
-    """Canonical text of a JSON text; null of null."""
+    """Canonical text of a JSON text; null of null.
+
+    The parser hands over each object when it is complete, so values are written from the leaves
+    up, and the bounds are those of the whole: counts and heights add up along the way.
+    """
     if text is None:
         return Canonical(None, None)
     try:
-        out = _write(json.loads(text), "", 0, [0])
-    except (ValueError, RecursionError, OverflowError) as e:
-        known = ("too many values", "too deep", "raw document", "number is not finite", "array is too long")
-        return Canonical(None, str(e) if str(e) in known else "no JSON")
-    return Canonical(out, None) if len(out.encode()) <= BYTES else Canonical(None, "too large")
+        whole = _leaf(_READER.decode(text))
+    except (ValueError, RecursionError, OverflowError):
+        return Canonical(None, "no JSON")
+    found = {
+        **dict.fromkeys(sorted(whole.wrong), True),
+        "too many values": whole.values > NODES,
+        "too deep": whole.height > DEPTH,
+        "too large": len(whole.text.encode()) > BYTES,
+    }
+    problem = next((name for name, is_so in found.items() if is_so), None)
+    return Canonical(None if problem else whole.text, problem)
+
+
+#: JSON texts that are canonical as they are: words of letters that hold no secret, and constants.
+PLAIN = r'^(?:"[A-Za-z_]{1,13}(?: [A-Za-z_]{1,13}){0,20}"|true|false|null)$'
+PLAIN_NOT = r"(?i)\b(?:bearer|basic)\b"
+WHOLE = r"^-?[1-9][0-9]{0,14}$|^0$"
 
 
 def canonical_column(col: Column) -> Column:
-    """Struct (text, problem, hash) of a JSON column."""
+    """Struct (text, problem, hash) of a JSON column.
+
+    Constants, whole numbers and plain words are canonical as they stand; only other values go
+    through Python.
+    """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "problem")])
 
     def batch(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([canonical(t) for t in texts], columns=["text", "problem"], dtype=object)
+        codes, distinct = pd.factorize(texts)
+        made = [*(canonical(t) for t in distinct), Canonical(None, None)]
+        return pd.DataFrame([made[c] for c in codes], columns=["text", "problem"], dtype=object)
 
-    made = F.pandas_udf(batch, schema)(col)
-    return F.struct(made["text"].alias("text"), made["problem"].alias("problem"), F.sha2(made["text"], 256).alias("hash"))
+    plain = (col.rlike(PLAIN) & ~col.rlike(PLAIN_NOT)) | col.rlike(WHOLE)
+    made = F.pandas_udf(batch, schema)(F.when(~plain, col))
+    text = F.when(plain, col).otherwise(made["text"])
+    return F.struct(text.alias("text"), made["problem"].alias("problem"), F.sha2(text, 256).alias("hash"))
 
 
-def redact_value(value, key: str = "", depth: int = 0):
-    """A JSON value with secrets hidden: 8 levels, 200 entries, 500 keys."""
-    if depth > 8:
-        return "[TRUNCATED_DEPTH]"
-    if SENSITIVE.search(key) and "webhook" not in key.lower():
-        return "[REDACTED]"
-    if isinstance(value, str):
-        return redact_text(value)
+#: Bounds of a hidden value: levels, entries of an array, keys of an object, characters of a key.
+HIDDEN_LEVELS, HIDDEN_ENTRIES, HIDDEN_KEYS, HIDDEN_KEY = 8, 200, 500, 128
+TOO_DEEP = "[TRUNCATED_DEPTH]"
+
+
+def _hidden_leaf(value):
     if isinstance(value, list):
-        return [redact_value(v, key, depth + 1) for v in value[:200]]
-    if isinstance(value, dict):
-        return {
-            redact_text(k, 128): redact_value(v, k, depth + 1) for k, v in list(value.items())[:500] if k not in DROPPED
-        }
-    return value
+        return list(map(_hidden_leaf, value[:HIDDEN_ENTRIES]))
+    return redact_text(value) if isinstance(value, str) else value
+
+
+def _hidden_object(pairs: list[tuple[str, object]]) -> dict:
+    kept = [(k, v) for k, v in pairs if k not in DROPPED][:HIDDEN_KEYS]
+    return {redact_text(k, HIDDEN_KEY): "[REDACTED]" if SECRET_KEY.search(k) else _hidden_leaf(v) for k, v in kept}
+
+
+_HIDER = json.JSONDecoder(object_pairs_hook=_hidden_object)
+
+
+def hidden(text: str | None) -> str | None:
+    """JSON text with secrets hidden, by key and by form; null for null and for text that is no JSON.
+
+    Objects are hidden as the parser completes them; what lies below the last level is cut after.
+    """
+    try:
+        value = None if text is None else _hidden_leaf(_HIDER.decode(text))
+    except (ValueError, RecursionError):
+        return None
+    containers = [value] if isinstance(value, (dict, list)) else []
+    for _ in range(HIDDEN_LEVELS):
+        entries = [e for c in containers for e in (c.values() if isinstance(c, dict) else c)]
+        containers = [e for e in entries if isinstance(e, (dict, list))]
+    for c in containers:
+        for place in list(c) if isinstance(c, dict) else range(len(c)):
+            c[place] = TOO_DEEP
+    return None if text is None else json.dumps(value, ensure_ascii=False)
+
+
+def hidden_column(col: Column) -> Column:
+    """:func:`hidden` of a JSON column; equal texts of a batch are read once."""
+
+    def batch(texts: pd.Series) -> pd.Series:
+        codes, distinct = pd.factorize(texts)
+        made = [*map(hidden, distinct), None]
+        return pd.Series([made[c] for c in codes], index=texts.index, dtype=object)
+
+    return F.pandas_udf(batch, T.StringType())(col)
+
+
+HEX_HASH = "^[0-9a-f]{64}$"
+
+
+def is_hash(col: Column) -> Column:
+    """Whether a text is a SHA-256 hash in lower-case hex; null of null."""
+    return col.rlike(HEX_HASH)
+
+
+def state_key(prefix: str, *parts: Column, length: int = 64) -> Column:
+    """Key of a stored state: a prefix and the hash of its parts as a JSON array; a null part is JSON null."""
+    text = F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(json_string(p), F.lit("null")) for p in parts]), F.lit("]"))
+    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(text, 256), 1, length))
+
+
+def json_string(col: Column) -> Column:
+    """JSON text of a string, with all control characters escaped; null of null."""
+    made = F.to_json(F.struct(col.alias("v")))
+    return F.when(col.isNotNull(), F.substring(made, 6, 2_000_000_000).substr(F.lit(1), F.length(made) - 6))
