@@ -163,6 +163,17 @@ def suppress_noise(col: Column, patterns: Column | None = None) -> Column:
     return redact(collapse(col), MAX_TEXT)
 
 
+def suppress_lines(col: Column, patterns: Column | None = None) -> Column:
+    """:func:`suppress_noise` of each line of a text, the lines kept."""
+    blanks = SPACES.replace("\\s", " \\t\\r\\x0b\\f")
+    col = mask_volatile(F.regexp_replace(nfc(col), blanks, " "))
+    if patterns is not None:
+        tried = F.coalesce(F.slice(patterns, 1, 10), F.array().cast("array<string>"))
+        within = lambda p: F.replace(glob_column(p), F.lit("(?is)"), F.lit("(?i)"))
+        col = F.aggregate(tried, col, lambda acc, p: F.regexp_replace(acc, within(p), F.lit(" ")))
+    return F.regexp_replace(redact(F.regexp_replace(col, blanks, " "), MAX_TEXT), " ?\n ?", "\n")
+
+
 def slug(col: Column, ascii_only: bool = False) -> Column:
     """Lower-case words joined by dashes, 100 characters at most; 'unknown' if none."""
     col = F.lower(col if ascii_only else nfkc(col))
@@ -228,8 +239,8 @@ def currency(col: Column, fallback: Column | None = None) -> Column:
 
 
 def version(col: Column) -> Column:
-    """First version number after 'v' or 'version'; null if none."""
-    return F.nullif(F.regexp_extract(col, rf"(?i){B}v(?:ersion)?\s*([0-9]+(?:\.[0-9]+)+){E}", 1), F.lit(""))
+    """First version after 'v' or 'version': a number, then parts of letters, digits and dashes; null if none."""
+    return F.nullif(F.regexp_extract(col, rf"(?i){B}v(?:ersion)?\s*([0-9]+(?:\.[0-9A-Za-z-]+)+){E}", 1), F.lit(""))
 
 
 def escape_markdown(col: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import redact
+from tidemark.functions.text import redact, redact_emails, redact_secrets
 
 #: Query keys that change by themselves, keys whose values are secret, and keys
 #: that no monitored URL may have.
@@ -54,6 +54,14 @@ def _rebuilt(col: Column, query: Column) -> Column:
     )
 
 
+def _safe_pair(pair: Column) -> Column:
+    """A key=value text with the value hidden if its key is secret, else without secrets in the value."""
+    value = redact_emails(redact_secrets(F.regexp_extract(pair, "^[^=]*=?(.*)$", 1)))
+    shown = F.replace(F.replace(value, F.lit("["), F.lit("%5B")), F.lit("]"), F.lit("%5D"))
+    plain = F.when(F.instr(pair, "=") > 0, F.concat(key_of(pair), F.lit("="), shown)).otherwise(pair)
+    return F.when(key_of(pair).rlike(SENSITIVE_KEY), F.concat(key_of(pair), F.lit("=%5BREDACTED%5D"))).otherwise(plain)
+
+
 def canonical(col: Column) -> Column:
     """Without credentials, fragment and volatile keys; keys sorted, equal keys in their order.
 
@@ -62,28 +70,43 @@ def canonical(col: Column) -> Column:
     kept = F.filter(pairs(col), lambda p: ~key_of(p).rlike(VOLATILE_KEY))
     keyed = F.transform(kept, lambda p, i: F.struct(key_of(p).alias("k"), i.alias("i"), p.alias("p")))
     ordered = F.transform(F.array_sort(keyed), lambda s: s["p"])
-    hidden = F.transform(
-        ordered,
-        lambda p: F.when(key_of(p).rlike(SENSITIVE_KEY), F.concat(key_of(p), F.lit("=%5BREDACTED%5D"))).otherwise(p),
-    )
+    hidden = F.transform(ordered, _safe_pair)
     return F.when(part(col, "host").isNotNull(), _rebuilt(col, hidden)).otherwise(redact(col, MAX_URL))
 
 
 def redact_url(col: Column) -> Column:
     """Without credentials and fragment; values of sensitive keys hidden, keys in their order."""
-    hidden = F.transform(
-        pairs(col),
-        lambda p: F.when(key_of(p).rlike(SENSITIVE_KEY), F.concat(key_of(p), F.lit("=%5BREDACTED%5D"))).otherwise(p),
-    )
+    hidden = F.transform(pairs(col), _safe_pair)
     return F.when(part(col, "host").isNotNull(), _rebuilt(col, hidden)).otherwise(redact(col, MAX_URL))
 
 
+def sorted_url(col: Column) -> Column:
+    """:func:`redact_url` with the keys sorted, equal keys in their order."""
+    keyed = F.transform(pairs(col), lambda p, i: F.struct(key_of(p).alias("k"), i.alias("i"), p.alias("p")))
+    ordered = F.transform(F.array_sort(keyed), lambda s: _safe_pair(s["p"]))
+    return F.when(part(col, "host").isNotNull(), _rebuilt(col, ordered)).otherwise(redact(col, MAX_URL))
+
+
 def run_url(col: Column) -> Column:
     """An https URL without query and fragment; null if it isn't one or has credentials."""
     fine = (part(col, "scheme") == "https") & part(col, "user").isNull() & part(col, "host").isNotNull()
     return F.when(fine, _rebuilt(col, F.array().cast("array<string>")))
 
 
+def origin(col: Column) -> Column:
+    """scheme://host[:port] of an absolute URL, usual ports left out; null for other text."""
+    bare = F.concat(part(col, "scheme"), F.lit("://"), part(col, "host"))
+    port = part(col, "port")
+    usual = ((part(col, "scheme") == "https") & (port == "443")) | ((part(col, "scheme") == "http") & (port == "80"))
+    return F.when(port.isNull() | usual, bare).otherwise(F.concat(bare, F.lit(":"), port))
+
+
+def allowed_origins(col: Column, authorised: Column) -> Column:
+    """Set of the origins that a monitored URL may lead to: its own, and those of an array of URLs."""
+    more = F.transform(F.coalesce(authorised, F.array().cast("array<string>")), origin)
+    return F.array_sort(F.array_compact(F.array_distinct(F.concat(F.array(origin(col)), more))))
+
+
 def public_url_problem(col: Column) -> Column:
     """Why a URL may not be monitored, from its text alone; null if it may."""
     return (

@@ -6,7 +6,7 @@ of an id wins. Values are JSON texts, so that equality is equality of text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, numbers, text
@@ -62,43 +62,51 @@ def product_facts(documents: DataFrame, currency: Column) -> DataFrame:
         ).alias("currency"),
         text.availability(F.col("o.availability")).alias("stock"),
     ).withColumn("stock", F.when(F.col("stock") != "unknown", F.col("stock")))
-    made = []
-    for name, column, category in (("price", "price", "price"), ("currency", "currency", "price"), ("availability", "stock", "availability")):
-        value = numbers.number_text(F.col(column)) if column == "price" else quoted(F.col(column))
-        made.append(
-            _when(
-                F.col(column),
-                _fact(
-                    F.concat(F.lit("product:"), "id", F.lit(f":{name}")),
-                    category,
-                    F.concat(F.lit("product."), "id", F.lit(f".{name}")),
-                    value,
-                    F.concat_ws(" ", F.concat("name", F.lit(":")), F.col(column).cast("string")),
-                    "json_ld",
-                ),
-            )
-        )
-    return _exploded(rows, made)
+    priced = F.concat_ws(" ", F.concat("name", F.lit(":")), "currency", numbers.number_text(F.col("price")))
+    told = lambda c: F.concat("name", F.lit(": "), c)
+    one = lambda name, category, value, evidence: _fact(
+        F.concat(F.lit("product:"), "id", F.lit(f":{name}")),
+        category,
+        F.concat(F.lit("product."), "id", F.lit(f".{name}")),
+        value,
+        evidence,
+        "json_ld",
+    )
+    return _exploded(
+        rows,
+        [
+            _when(F.col("price"), one("price", "price", numbers.number_text(F.col("price")), priced)),
+            _when(F.col("currency"), one("currency", "price", quoted(F.col("currency")), told("currency"))),
+            _when(F.col("stock"), one("availability", "availability", quoted(F.col("stock")), told("stock"))),
+        ],
+    )
 
 
-def plan_facts(documents: DataFrame) -> DataFrame:
+def plan_facts(documents: DataFrame, patterns: Column | None = None) -> DataFrame:
+    """Facts of plans. Plans of one name share the evidence of the first of them."""
+    noise = F.lit(None).cast("array<string>") if patterns is None else patterns
     rows = documents.select(
         "target_identity",
+        noise.alias("patterns_"),
         F.exists("document.product_offers", lambda o: numbers.decimal(o["price"]).isNotNull()).alias("priced"),
         F.posexplode("document.pricing_plans").alias("ord_", "p"),
     )
-    features = F.array_sort(F.filter(F.transform("p.features", text.collapse), lambda f: f != ""))
+    # A feature holds one line; lines are joined so that noise is suppressed once for a plan.
+    joined = F.split(text.suppress_lines(F.array_join(F.transform("p.features", text.collapse), "\n"), F.col("patterns_")), "\n")
+    features = F.array_sort(F.filter(joined, lambda f: f != ""))
     rows = rows.select(
         "target_identity",
         "ord_",
         "priced",
         text.slug(F.col("p.name")).alias("id"),
-        F.col("p.evidence").alias("evidence"),
+        F.col("p.evidence").alias("evidence_"),
         numbers.decimal(F.coalesce("p.price_text", F.lit(""))).alias("price"),
         text.unit(F.col("p.price_text")).alias("interval"),
         F.when(F.col("p.availability_text").isNotNull(), text.availability(F.col("p.availability_text"))).alias("stock"),
         features.alias("features"),
     )
+    first = Window.partitionBy("target_identity", "id").orderBy("ord_")
+    rows = rows.withColumn("evidence", F.first("evidence_").over(first)).drop("evidence_")
     shown = F.when(~F.col("priced"), F.col("price"))
     one = lambda name, category, field, value: _fact(
         F.concat(F.lit("plan:"), "id", F.lit(f":{name}")),
@@ -149,16 +157,25 @@ def plan_facts(documents: DataFrame) -> DataFrame:
     return fixed.unionByName(mined)
 
 
-def section_facts(documents: DataFrame, column: str, prefix: str, category: str, fallback: str, second: str) -> DataFrame:
-    """Facts of policies or changelog entries: the text, and its effective date or version."""
-    rows = documents.select("target_identity", F.posexplode(f"document.{column}").alias("ord_", "s")).filter("s.text != ''")
+def section_facts(
+    documents: DataFrame, column: str, prefix: str, category: str, fallback: str, second: str, patterns: Column | None = None
+) -> DataFrame:
+    """Facts of policies or changelog entries: the text without noise, and its effective date or version."""
+    noise = F.lit(None).cast("array<string>") if patterns is None else patterns
+    rows = documents.select(
+        "target_identity", noise.alias("patterns_"), F.posexplode(f"document.{column}").alias("ord_", "s")
+    ).filter("s.text IS NOT NULL")
     ident = text.slug(F.coalesce("s.heading", F.concat(F.lit(f"{fallback}-"), F.col("ord_") + 1)))
-    rows = rows.select(
-        "target_identity",
-        "ord_",
-        ident.alias("id"),
-        text.collapse(F.col("s.text")).alias("text"),
-    ).withColumn("extra", dates.extract(F.col("text")) if second == "effectiveDate" else text.version(F.col("text")))
+    rows = (
+        rows.select(
+            "target_identity",
+            "ord_",
+            ident.alias("id"),
+            text.suppress_noise(F.col("s.text"), F.col("patterns_")).alias("text"),
+        )
+        .filter("text != ''")
+        .withColumn("extra", dates.extract(F.col("text")) if second == "effectiveDate" else text.version(F.col("text")))
+    )
     key = {"effectiveDate": "effective-date"}.get(second, second)
     made = [
         _fact(
@@ -166,8 +183,8 @@ def section_facts(documents: DataFrame, column: str, prefix: str, category: str,
             category,
             F.concat(F.lit(f"{prefix}."), "id", F.lit(f".{field}")),
             quoted(F.col(c)),
-            F.substring("text", 1, 300),
-            "text",
+            F.col("text"),
+            f"{prefix}_selector",
         )
         for k, field, c in (("text", "text", "text"), (key, second, "extra"))
     ]
@@ -175,29 +192,33 @@ def section_facts(documents: DataFrame, column: str, prefix: str, category: str,
 
 
 def text_facts(documents: DataFrame, patterns: Column | None = None) -> DataFrame:
-    """One fact with the hash of the whole text."""
+    """One fact with the hash of the whole text without noise."""
     body = text.suppress_noise(F.col("document.visible_text"), patterns)
-    return documents.filter("document.visible_text != ''").select(
+    return documents.select("target_identity", body.alias("body_")).filter("body_ != ''").select(
         "target_identity",
         F.lit(0).alias("ord_"),
         F.lit(0).alias("at_"),
-        F.lit("general:text").alias("fact_id"),
+        F.lit("page:general-content").alias("fact_id"),
         F.lit("general_content").alias("category"),
-        F.lit("general.text").alias("field_path"),
-        quoted(F.sha2(body, 256)).alias("fact_value"),
-        F.substring(body, 1, 2_000).alias("evidence"),
-        F.lit("text").alias("source"),
+        F.lit("page.generalContentHash").alias("field_path"),
+        quoted(F.sha2("body_", 256)).alias("fact_value"),
+        F.substring("body_", 1, 2_000).alias("evidence"),
+        F.lit("visible_text").alias("source"),
     )
 
 
-def document_facts(documents: DataFrame, currency: Column | None = None) -> DataFrame:
-    """All facts of rows (target_identity, document), the first of each id."""
+def document_facts(documents: DataFrame, currency: Column | None = None, patterns: Column | None = None) -> DataFrame:
+    """All facts of rows (target_identity, document), the first of each id.
+
+    ``patterns`` are the globs that a target ignores: what they match never makes a fact differ.
+    Documents without parts, and null documents, have no facts.
+    """
     producers = [
         product_facts(documents, F.lit(None).cast("string") if currency is None else currency),
-        plan_facts(documents),
-        section_facts(documents, "policies", "policy", "terms_policy", "section", "effectiveDate"),
-        section_facts(documents, "changelog", "changelog", "launch_changelog", "entry", "version"),
-        text_facts(documents),
+        plan_facts(documents, patterns),
+        section_facts(documents, "policies", "policy", "terms_policy", "section", "effectiveDate", patterns),
+        section_facts(documents, "changelog", "changelog", "launch_changelog", "entry", "version", patterns),
+        text_facts(documents, patterns),
     ]
     rows = facts.union_producers(producers)
     order = [F.col("producer"), F.col("ord_"), F.col("at_")]

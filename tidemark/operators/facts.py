@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import numbers
+from tidemark.functions import canon, numbers, text
 
 
 def unpivot(df: DataFrame, keys: list[str], fields: dict[str, Column]) -> DataFrame:
@@ -26,6 +26,11 @@ def union_producers(producers: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
+def in_order(col: Column | str) -> Column:
+    """A text for sorting as dictionaries do: by letters first, then accents, then case (the root collation)."""
+    return F.collate(F.col(col) if isinstance(col, str) else col, "UNICODE")
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[Column], carry: list[str]) -> DataFrame:
     """Per key the row that comes first by ``order``, which must be total.
 
@@ -87,23 +92,59 @@ def merge_sources(previous: Column, current: Column, limit: int = 10) -> Column:
     return F.slice(F.array_sort(F.array_union(F.coalesce(previous, none), F.coalesce(current, none))), 1, limit)
 
 
-def change_id(*parts: Column) -> Column:
-    """SHA-256 of JSON text of the parts, nulls kept."""
-    text = F.concat(
-        F.lit("["),
-        F.concat_ws(
-            ",",
-            *[
-                F.coalesce(
-                    F.concat(F.lit('"'), F.replace(F.replace(p, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')),
-                    F.lit("null"),
-                )
-                for p in parts
-            ],
-        ),
-        F.lit("]"),
+def change_id(identity: Column, category: Column, field: Column, previous: Column, current: Column) -> Column:
+    """Hash of the canonical JSON of a change; the two values are canonical JSON texts, null is JSON null."""
+    value = lambda c: F.coalesce(c, F.lit("null"))
+    name = lambda c: F.coalesce(canon.json_string(c), F.lit("null"))
+    pieces = (
+        ('{"category":', name(category)),
+        (',"currentValue":', value(current)),
+        (',"field":', name(field)),
+        (',"previousValue":', value(previous)),
+        (',"targetIdentityHash":', name(identity)),
+    )
+    return F.sha2(F.concat(*[x for key, text in pieces for x in (F.lit(key), text)], F.lit("}")), 256)
+
+
+#: Bounds of a change: characters of an excerpt, sources.
+EXCERPT, SOURCES = 300, 10
+
+
+def change_rows(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Changes between two versions of facts, one row each, with all that is told of a change.
+
+    Rows have target_identity, fact_id, category, field_path, fact_value, evidence, sources and
+    signals, unique by the first two on each side. Values are compared by their canonical JSON
+    text, so another spelling is no change; a null value is JSON null and a value. Category and
+    field are those of the current fact, or of the previous one if it was removed.
+    """
+    keys = ["target_identity", "fact_id"]
+    carried = ["category", "field_path", "evidence", "sources", "signals"]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        value = F.coalesce(canon.canonical_column(F.col("fact_value"))["text"], F.col("fact_value"), F.lit("null"))
+        return df.select(*keys, F.struct(value.alias("value"), *carried).alias(name))
+
+    both = side(previous, "p").join(side(current, "c"), keys, "full_outer")
+    kind = F.when(F.col("p").isNull(), "added").when(F.col("c").isNull(), "removed").when(
+        F.col("p.value") != F.col("c.value"), "changed"
+    )
+    either = lambda f: F.when(F.col("c").isNull(), F.col(f"p.{f}")).otherwise(F.col(f"c.{f}"))
+    rows = both.withColumn("change_kind", kind).filter(F.col("change_kind").isNotNull()).select(
+        *keys,
+        either("category").alias("category"),
+        either("field_path").alias("field_path"),
+        "change_kind",
+        F.col("p.value").alias("previous"),
+        F.col("c.value").alias("current"),
+        F.nullif(text.redact(F.col("p.evidence"), EXCERPT), F.lit("")).alias("previous_excerpt"),
+        F.nullif(text.redact(F.col("c.evidence"), EXCERPT), F.lit("")).alias("current_excerpt"),
+        merge_sources(F.col("p.sources"), F.col("c.sources"), SOURCES).alias("sources"),
+        merge_signals(F.col("p.signals"), F.col("c.signals")).alias("signals"),
     )
-    return F.sha2(text, 256)
+    ident = change_id(*[F.col(c) for c in ("target_identity", "category", "field_path", "previous", "current")])
+    told = explanation(*[F.col(c) for c in ("category", "field_path", "change_kind", "delta", "delta_percent")])
+    return with_deltas(rows).withColumn("change_id", ident).withColumn("explanation", told)
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int, name: str = "place") -> DataFrame:

@@ -27,8 +27,8 @@ def digest_order() -> list[Column]:
     return [
         severity_rank(F.col("severity")).desc_nulls_last(),
         F.col("confidence_score").desc_nulls_last(),
-        F.col("target_name").asc_nulls_last(),
-        F.col("field_path").asc_nulls_last(),
+        facts.in_order("target_name").asc_nulls_last(),
+        facts.in_order("field_path").asc_nulls_last(),
         F.col("change_row"),
     ]
 
@@ -44,9 +44,15 @@ def digest(changes: DataFrame, limit: int = DIGEST) -> DataFrame:
     return unique_changes(changes).orderBy(*digest_order()).limit(limit)
 
 
+def unique_in(changes: DataFrame, key: str) -> DataFrame:
+    """First row of each change id within a key; rows without an id are left out."""
+    carry = [c for c in changes.columns if c not in ("change_id", key)]
+    return facts.first_wins(changes.filter("change_id IS NOT NULL"), [key, "change_id"], [F.col("change_row")], carry)
+
+
 def payloads(changes: DataFrame, key: str, limit: int = PAYLOAD) -> DataFrame:
-    """The first changes of each payload in digest order, with their place."""
-    return facts.top_per_group(changes, [key], digest_order(), limit)
+    """The first changes of each payload in digest order, each change once, with their place."""
+    return facts.top_per_group(unique_in(changes, key), [key], digest_order(), limit)
 
 
 def rollup(changes: DataFrame, key: str) -> DataFrame:
@@ -114,16 +120,17 @@ def safe_urls(changes: DataFrame) -> DataFrame:
 def payload_documents(changes: DataFrame, key: str, limit: int = PAYLOAD) -> DataFrame:
     """One JSON document per payload: its id, how many changes it could hold, and the first of them.
 
-    The id is a hash of the payload's change ids in order, so sending it again can be noticed.
+    The id is the hash of a JSON document of the payload's key and its change ids in order, so
+    sending it again can be noticed. A change that a payload holds twice counts once.
     """
     fields = ["change_id", "target_name", "target_url", "category", "field_path", "severity", "confidence_score"]
-    counts = changes.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    counts = unique_in(changes, key).groupBy(key).agg(F.count(F.lit(1)).alias("total"))
     first = payloads(changes, key, limit).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("place", *fields))).alias("first_")
     )
     shown = F.transform("first_", lambda c: F.struct(*[c[f].alias(f) for f in fields]))
-    ids = F.array_join(F.transform("first_", lambda c: F.coalesce(c["change_id"], F.lit(""))), ",")
-    delivery = F.sha2(F.concat(F.col(key).cast("string"), F.lit(":"), ids), 256)
+    ids = F.to_json(F.transform("first_", lambda c: c["change_id"]))
+    delivery = F.sha2(F.concat(F.lit('{"key":'), F.col(key).cast("string"), F.lit(',"changes":'), ids, F.lit("}")), 256)
     return counts.join(first, key).select(
         key,
         "total",
@@ -133,3 +140,24 @@ def payload_documents(changes: DataFrame, key: str, limit: int = PAYLOAD) -> Dat
             {"ignoreNullFields": "false"},
         ).alias("payload"),
     )
+
+
+#: Characters of the texts of a digest.
+NAME, FIELD, SAID, SHOWN = 100, 256, 300, 240
+
+
+def digest_rows(changes: DataFrame) -> DataFrame:
+    """The changes of a digest with every text redacted and cut to the digest's bounds."""
+    return changes.select(
+        "change_row",
+        "change_id",
+        text.redact(F.col("target_name"), NAME).alias("target_name"),
+        urls.redact_url(F.col("target_url")).alias("target_url"),
+        "category",
+        text.redact(F.col("field_path"), FIELD).alias("field_path"),
+        "severity",
+        "confidence_score",
+        text.redact(F.col("explanation"), SAID).alias("explanation"),
+        F.nullif(text.redact(F.col("previous_excerpt"), SHOWN), F.lit("")).alias("previous_excerpt"),
+        F.nullif(text.redact(F.col("current_excerpt"), SHOWN), F.lit("")).alias("current_excerpt"),
+    )

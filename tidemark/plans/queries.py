@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, net, numbers, text, urls
-from tidemark.operators import deliveries, facts, history, reports
+from tidemark.functions import canon, dates, net, numbers, text, urls
+from tidemark.operators import deliveries, document_facts, facts, history, reports
 from tidemark.session import spread, table
+from tidemark.sources import config
 from tidemark.sources import documents as docs
 from tidemark.streaming import weekly
 
@@ -29,6 +30,75 @@ def query(sql: str | None = None):
     return add
 
 
+# ---------------------------------------------------------------- SQL of what many queries share
+
+_SPACE = "[\\s\\x{0b}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+"
+
+
+def _sql_collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_SPACE}', ' ', 'g'), ' ')"
+
+
+def _sql_secrets(x: str) -> str:
+    """SQL that hides secrets and addresses, in the order of the shapes."""
+    shapes = (
+        ("(?i)\\b(bearer|basic)\\s+[a-z0-9._~+/=:-]+", "\\1 [REDACTED]"),
+        ("(?i)([?&](?:token|access_token|api[_-]?key|key|secret|signature|sig|password|session)=)[^&#\\s]+", "\\1[REDACTED]"),
+        ("\\beyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}(?:\\.[A-Za-z0-9_-]{8,})?\\b", "[REDACTED]"),
+        ("(?i)\\b(?:sk|pk|ghp|github_pat|xox[baprs])[-_A-Za-z0-9]{12,}\\b", "[REDACTED]"),
+        ("(?i)\\b(password|passwd|secret|api[-_]?key|access[-_]?token|token|session|signature|sig)\\s*[:=]\\s*[^\\s,;]+", "\\1=[REDACTED]"),
+        ("(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b", "[REDACTED_EMAIL]"),
+    )
+    x = f"replace(nfc_normalize({x}), chr(13) || chr(10), chr(10))"
+    for shape, by in shapes:
+        x = f"regexp_replace({x}, '{shape}', '{by}', 'g')"
+    return x
+
+
+def _sql_redact(x: str, limit: int = 50_000) -> str:
+    """SQL of the whole redaction: phone numbers are the runs of 10 to 15 digits with a separator that are no date."""
+    digits = "length(regexp_replace(c, '[^0-9]', '', 'g'))"
+    phone = (
+        f"NOT regexp_full_match(trim(c), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND {digits} BETWEEN 10 AND 15"
+        " AND NOT regexp_full_match(trim(c), '[0-9]+')"
+    )
+    runs = "regexp_extract_all(t, '(?:^|[^A-Za-z0-9_])(\\+?[0-9][0-9 ().-]{6,}[0-9])(?:$|[^A-Za-z0-9_])', 1)"
+    return (
+        f"(SELECT left(trim(list_reduce(list_prepend(t, {runs}), lambda acc, c: CASE WHEN {phone} THEN replace(acc, c, '[REDACTED_PHONE]')"
+        f" ELSE acc END), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(5760) || chr(8232) || chr(8233)"
+        f" || chr(8239) || chr(8287) || chr(12288) || chr(65279)), {limit}) FROM (SELECT {_sql_secrets(x)} AS t))"
+    )
+
+
+def _sql_globs(x: str, patterns: str) -> str:
+    """SQL that puts a blank for what the first ten globs match."""
+    safe = "regexp_replace(p, '([.+^${}()|\\[\\]\\\\])', '\\\\\\1', 'g')"
+    return (
+        f"list_reduce(list_prepend({x}, coalesce({patterns}[1:10], [])), lambda acc, p:"
+        f" regexp_replace(acc, replace(replace({safe}, '?', '.'), '*', '.{{0,500}}?'), ' ', 'gis'))"
+    )
+
+
+def _sql_noise(x: str, patterns: str) -> str:
+    """SQL of the suppression of noise, redaction included."""
+    x = _sql_collapse(f"nfc_normalize({x})")
+    for shape, by in (
+        ("(?i)\\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\\b", "[volatile-id]"),
+        ("(?i)\\b(?:session|request|render|cache)[ _-]?(?:id|key|token)\\s*[:=]\\s*[A-Za-z0-9._-]{6,}\\b", "[volatile-id]"),
+        ("(?i)\\b(?:page\\s+rendered|generated|rendered)\\s+(?:at|on)\\s+[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.+-]+(?:Z|UTC)?\\b", "[render-time]"),
+    ):
+        x = f"regexp_replace({x}, '{shape}', '{by}', 'g')"
+    return _sql_redact(_sql_collapse(_sql_globs(x, patterns)))
+
+
+#: Canonical JSON of fact values, which are constants, numbers, strings and arrays of strings.
+_CANONICAL = f"""CASE WHEN fact_value IS NULL THEN NULL WHEN NOT json_valid(fact_value) THEN fact_value
+    WHEN json_type(fact_value) = 'VARCHAR' THEN CAST(to_json({_sql_redact("(fact_value ->> '$')")}) AS VARCHAR)
+    WHEN json_type(fact_value) = 'ARRAY' THEN CAST(to_json(list_transform(from_json(fact_value, '["VARCHAR"]'), lambda e: nfc_normalize(e))) AS VARCHAR)
+    WHEN json_type(fact_value) IN ('BOOLEAN', 'NULL') THEN trim(fact_value)
+    ELSE regexp_replace(CAST(CAST(trim(fact_value) AS DOUBLE) + 0.0 AS VARCHAR), '\\.0$', '') END"""
+
+
 # ---------------------------------------------------------------- facts
 
 
@@ -82,13 +152,18 @@ def _two_versions(spark, d):
     ends = m.groupBy("target_identity").agg(
         F.min_by("generation", "created_at").alias("old"), F.max_by("generation", "created_at").alias("new")
     )
+    ends = ends.filter("old <> new")
+    both = ends.select("target_identity", F.explode(F.array("old", "new")).alias("generation"))
     f = facts.first_wins(
-        table(spark, d, "facts"),
+        # Facts of other generations are dropped before the aggregate.
+        table(spark, d, "facts").join(both, ["target_identity", "generation"], "left_semi"),
         ["target_identity", "generation", "fact_id"],
         [F.col("ord"), F.col("fact_row")],
-        ["fact_value", "category", "sources", "signals", "field_path"],
-    ).join(ends.filter("old <> new"), "target_identity")
-    return f.filter("generation = old"), f.filter("generation = new")
+        ["fact_value", "category", "sources", "signals", "field_path", "evidence"],
+    )
+    return f.join(ends.select("target_identity", F.col("old").alias("generation")), ["target_identity", "generation"], "left_semi"), f.join(
+        ends.select("target_identity", F.col("new").alias("generation")), ["target_identity", "generation"], "left_semi"
+    )
 
 
 _ENDS = """
@@ -148,23 +223,46 @@ def signal_merge(spark, d):
     return merged.select(*keys, "s.structured", "s.identifier_present", "s.complete_pair")
 
 
-@query("""
-    SELECT fact_row, sha256('["' || target_identity || '","' || replace(replace(field_path, '\\', '\\\\'), '"', '\\"') || '",' ||
-           coalesce('"' || replace(replace(fact_value, '\\', '\\\\'), '"', '\\"') || '"', 'null') || ']') AS change_id FROM facts
-    WHERE target_identity IS NOT NULL AND field_path IS NOT NULL""")
+@query(f"""
+    SELECT fact_row, sha256('{{"category":' || coalesce(CAST(to_json(category) AS VARCHAR), 'null') || ',"currentValue":' || coalesce({_CANONICAL}, 'null') ||
+           ',"field":' || coalesce(CAST(to_json(field_path) AS VARCHAR), 'null') || ',"previousValue":null,"targetIdentityHash":' ||
+           coalesce(CAST(to_json(target_identity) AS VARCHAR), 'null') || '}}') AS change_id FROM facts""")
 def change_id(spark, d):
-    f = table(spark, d, "facts").filter("target_identity IS NOT NULL AND field_path IS NOT NULL")
-    return f.select("fact_row", facts.change_id(F.col("target_identity"), F.col("field_path"), F.col("fact_value")).alias("change_id"))
+    """Id of the change that a fact is when it is new."""
+    value = F.coalesce(canon.canonical_column(F.col("fact_value"))["text"], F.col("fact_value"))
+    made = facts.change_id(F.col("target_identity"), F.col("category"), F.col("field_path"), F.lit(None).cast("string"), value)
+    return table(spark, d, "facts").select("fact_row", made.alias("change_id"))
+
+
+@query(_ENDS.replace("SELECT x.*, e.old", f"SELECT x.*, {_CANONICAL} AS v, e.old") + """,
+    k AS (SELECT coalesce(c.target_identity, p.target_identity) AS target_identity, coalesce(c.fact_id, p.fact_id) AS fact_id,
+                 CASE WHEN c.fact_id IS NULL THEN p.category ELSE c.category END AS category, CASE WHEN c.fact_id IS NULL THEN p.field_path ELSE c.field_path END AS field_path,
+                 CASE WHEN p.fact_id IS NULL THEN 'added' WHEN c.fact_id IS NULL THEN 'removed' ELSE 'changed' END AS change_kind,
+                 CASE WHEN p.fact_id IS NOT NULL THEN coalesce(p.v, 'null') END AS previous, CASE WHEN c.fact_id IS NOT NULL THEN coalesce(c.v, 'null') END AS current,
+                 nullif(""" + _sql_redact("p.evidence", 300) + """, '') AS previous_excerpt, nullif(""" + _sql_redact("c.evidence", 300) + """, '') AS current_excerpt
+          FROM p FULL OUTER JOIN c ON p.target_identity = c.target_identity AND p.fact_id = c.fact_id
+          WHERE p.fact_id IS NULL OR c.fact_id IS NULL OR coalesce(p.v, 'null') <> coalesce(c.v, 'null'))
+    SELECT *, sha256('{"category":' || coalesce(CAST(to_json(category) AS VARCHAR), 'null') || ',"currentValue":' || coalesce(current, 'null') || ',"field":' ||
+           coalesce(CAST(to_json(field_path) AS VARCHAR), 'null') || ',"previousValue":' || coalesce(previous, 'null') || ',"targetIdentityHash":' ||
+           CAST(to_json(target_identity) AS VARCHAR) || '}') AS change_id FROM k""")
+def change_rows(spark, d):
+    old, new = _two_versions(spark, d)
+    return facts.change_rows(old, new).select(
+        "target_identity", "fact_id", "category", "field_path", "change_kind", "previous", "current", "previous_excerpt", "current_excerpt", "change_id"
+    )
 
 
-@query("""
-    SELECT target_identity, sha256(target_name || chr(10) || url || chr(10) || coalesce(list_aggregate(change_types, 'string_agg', ','), '') || chr(10) ||
-           coalesce(list_aggregate(ignore_text_patterns, 'string_agg', ','), '')) AS identity_hash FROM targets""")
+_SAFE_LIST = "coalesce(CAST(to_json({0}) AS VARCHAR), '[]')"
+
+
+@query(f"""
+    SELECT target_identity, sha256('{{"changeTypes":' || {_SAFE_LIST.format('change_types')} || ',"excludeSelectors":[],"ignoreTextPatterns":' ||
+           {_SAFE_LIST.format('ignore_text_patterns')} || ',"includeSelectors":[],"normalizerVersion":"1.0.0","storageSchemaVersion":1,"targetName":' ||
+           coalesce(CAST(to_json({_sql_redact('target_name')}) AS VARCHAR), 'null') || ',"targetUrl":' ||
+           coalesce(CAST(to_json(regexp_replace(url, '#.*$', '')) AS VARCHAR), 'null') || '}}') AS identity_hash FROM targets""")
 def target_identity_hash(spark, d):
     t = table(spark, d, "targets")
-    parts = [F.col("target_name"), F.col("url"), *[F.coalesce(F.array_join(c, ","), F.lit("")) for c in ("change_types", "ignore_text_patterns")]]
-    joined = F.concat(*[x for p in parts for x in (p, F.lit("\n"))][:-1])
-    return t.select("target_identity", F.sha2(joined, 256).alias("identity_hash"))
+    return t.select("target_identity", config.identity_hash(t).alias("identity_hash"))
 
 
 @query("""
@@ -184,7 +282,7 @@ def snapshot_sizes(spark, d):
 # ---------------------------------------------------------------- digests and reports
 
 _RANK = "CASE severity WHEN 'informational' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END"
-_ORDER = f"{_RANK} DESC NULLS LAST, confidence_score DESC NULLS LAST, target_name ASC NULLS LAST, field_path ASC NULLS LAST, change_row"
+_ORDER = f"{_RANK} DESC NULLS LAST, confidence_score DESC NULLS LAST, target_name COLLATE en ASC NULLS LAST, field_path COLLATE en ASC NULLS LAST, change_row"
 _UNIQUE = "(SELECT * FROM digest_changes WHERE change_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY change_row) = 1)"
 
 
@@ -200,13 +298,25 @@ def digest_top100(spark, d):
     )
 
 
+_UNIQUE_IN = "(SELECT * FROM digest_changes WHERE change_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY payload_row, change_id ORDER BY change_row) = 1)"
+
+
 @query(f"""
-    SELECT payload_row, change_row, row_number() OVER (PARTITION BY payload_row ORDER BY {_ORDER}) AS place FROM digest_changes
+    SELECT payload_row, change_row, row_number() OVER (PARTITION BY payload_row ORDER BY {_ORDER}) AS place FROM {_UNIQUE_IN}
     QUALIFY place <= 10""")
 def webhook_top10(spark, d):
     return reports.payloads(table(spark, d, "digest_changes"), "payload_row").select("payload_row", "change_row", "place")
 
 
+@query(f"""
+    SELECT change_row, {_sql_redact('target_name', 100)} AS target_name, {_sql_redact('field_path', 256)} AS field_path, {_sql_redact('explanation', 300)} AS explanation,
+           nullif({_sql_redact('previous_excerpt', 240)}, '') AS previous_excerpt, nullif({_sql_redact('current_excerpt', 240)}, '') AS current_excerpt
+    FROM digest_changes""")
+def digest_projection(spark, d):
+    rows = reports.digest_rows(spread(table(spark, d, "digest_changes")))
+    return rows.select("change_row", "target_name", "field_path", "explanation", "previous_excerpt", "current_excerpt")
+
+
 @query(f"SELECT count(*) AS n, count(DISTINCT target_url) AS targets FROM digest_changes WHERE {_RANK} >= 2")
 def materiality(spark, d):
     kept = reports.material(table(spark, d, "digest_changes"), "medium")
@@ -374,9 +484,10 @@ def weekly_pending_top100(spark, d):
 # ---------------------------------------------------------------- text
 
 
-@query("SELECT doc_id, sha256(trim(regexp_replace(text, '[\\s\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+', ' ', 'g'), ' ')) AS text_hash FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, sha256({_sql_redact(_sql_collapse('text'), 2000)}) AS text_hash FROM documents")
 def clean_text(spark, d):
-    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2(text.collapse(F.col("text")), 256).alias("text_hash"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.sha2(text.clean(F.col("text")), 256).alias("text_hash"))
 
 
 @query("SELECT doc_id, sha256(regexp_replace(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b', '[REDACTED_EMAIL]', 'g')) AS text_hash FROM documents WHERE text IS NOT NULL")
@@ -396,7 +507,7 @@ def redact_assignments(spark, d):
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2(text.redact_secrets(F.col("text")), 256).alias("text_hash"))
 
 
-@query()
+@query(f"SELECT doc_id, {_sql_redact('text')} AS redacted FROM documents")
 def redact_full(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.redact(F.col("text"), text.MAX_TEXT).alias("redacted"))
 
@@ -408,7 +519,15 @@ def noise_masked(spark, d):
     return table(spark, d, "text_sections").select("section_id", text.mask_volatile(F.col("text")).alias("text"))
 
 
-@query()
+_IGNORED = _sql_collapse(_sql_globs(_sql_collapse("text"), "ignore_text_patterns"))
+
+
+@query(f"""
+    SELECT page_id, section_id, field, {_IGNORED} AS text FROM (
+        SELECT page_id, NULL::BIGINT AS section_id, 'title' AS field, target_identity, title AS text FROM extracted_pages
+        UNION ALL SELECT page_id, NULL, 'visible_text', target_identity, visible_text FROM extracted_pages
+        UNION ALL SELECT s.page_id, s.section_id, 'section', p.target_identity, s.text FROM text_sections s LEFT JOIN extracted_pages p ON p.page_id = s.page_id)
+    LEFT JOIN targets USING (target_identity)""")
 def glob_ignore(spark, d):
     """Titles, whole texts and sections without what their target ignores."""
     wants = table(spark, d, "targets").select("target_identity", "ignore_text_patterns")
@@ -475,7 +594,7 @@ def currency_of(spark, d):
         WHEN regexp_matches(t, '\\b(?:metres?|meters?|mtrs?)\\b') THEN 'm' WHEN regexp_matches(t, '\\b(?:centimetres?|centimeters?|cms?)\\b') THEN 'cm'
         WHEN regexp_matches(t, '\\b(?:pieces?|pcs?)\\b') THEN 'piece' WHEN regexp_matches(t, '\\b(?:months?|mo)\\b') THEN 'month'
         WHEN regexp_matches(t, '\\b(?:years?|yr)\\b') THEN 'year' END AS unit,
-        nullif(regexp_extract(text, '(?i)\\bv(?:ersion)?\\s*([0-9]+(?:\\.[0-9]+)+)\\b', 1), '') AS version
+        nullif(regexp_extract(text, '(?i)\\bv(?:ersion)?\\s*([0-9]+(?:\\.[0-9A-Za-z-]+)+)\\b', 1), '') AS version
     FROM (SELECT *, replace(lower(text), '.', '') AS t FROM text_sections)""")
 def unit_and_version(spark, d):
     return table(spark, d, "text_sections").select(
@@ -543,18 +662,34 @@ def url_parts(spark, d):
     )
 
 
-@query("""
-    WITH u AS (SELECT page_id, 'https://x.example/p?ts=1&b=' || page_id || '&a=2&utm_source=z&token=t#f' AS url FROM extracted_pages)
-    SELECT page_id, 'https://x.example/p?a=2&b=' || page_id || '&token=%5BREDACTED%5D' AS canonical,
-           'https://x.example/p?ts=1&b=' || page_id || '&a=2&utm_source=z&token=%5BREDACTED%5D' AS redacted, 'https://x.example/p' AS run, 'fragment' AS problem FROM u""")
+_VOLATILE = "(?i)^(?:utm_.+|gclid|fbclid|msclkid|cache(?:buster)?|cb|_|timestamp|ts|session(?:id)?)$"
+_SENSITIVE = "(?i)authorization|cookie|token|secret|api[-_]?key|password|credential|session|signature|^sig$|^key$"
+_HIDE = f"lambda p: CASE WHEN regexp_matches(split_part(p, '=', 1), '{_SENSITIVE}') THEN split_part(p, '=', 1) || '=%5BREDACTED%5D' ELSE p END"
+_QUERY = "CASE WHEN len({0}) = 0 THEN '' ELSE '?' || array_to_string({0}, '&') END"
+
+
+@query(f"""
+    WITH u AS (
+        SELECT 'page' AS kind, page_id AS row_no, url FROM extracted_pages UNION ALL SELECT 'change', change_row, target_url FROM digest_changes
+        UNION ALL SELECT 'run', payload_row, run_url FROM webhook_payloads),
+    q AS (SELECT *, lower(regexp_extract(url, '{_PARTS}', 1)) || '://' || lower(regexp_extract(url, '{_PARTS}', 3)) || coalesce(nullif(regexp_extract(url, '{_PARTS}', 5), ''), '/') AS base,
+                 list_filter(string_split(regexp_extract(url, '{_PARTS}', 6), '&'), lambda p: p <> '') AS pairs FROM u)
+    SELECT kind, row_no, base || {_QUERY.format(f"list_transform(list_sort(list_filter(pairs, lambda p: NOT regexp_matches(split_part(p, '=', 1), '{_VOLATILE}'))), {_HIDE})")} AS canonical,
+           base || {_QUERY.format(f"list_transform(pairs, {_HIDE})")} AS redacted, CASE WHEN base LIKE 'https://%' THEN base END AS run,
+           regexp_extract(base, '^[a-z]+://[^/]+') AS origin FROM q""")
 def url_canonical(spark, d):
-    u = F.concat(F.lit("https://x.example/p?ts=1&b="), F.col("page_id"), F.lit("&a=2&utm_source=z&token=t#f"))
-    return table(spark, d, "extracted_pages").select(
-        "page_id",
+    """Canonical, redacted and run URLs and origins of all URLs of pages, changes and runs."""
+    pages = table(spark, d, "extracted_pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("row_no"), "url")
+    changes = table(spark, d, "digest_changes").select(F.lit("change").alias("kind"), F.col("change_row").alias("row_no"), F.col("target_url").alias("url"))
+    runs = table(spark, d, "webhook_payloads").select(F.lit("run").alias("kind"), F.col("payload_row").alias("row_no"), F.col("run_url").alias("url"))
+    u = F.col("url")
+    return pages.unionByName(changes).unionByName(runs).select(
+        "kind",
+        "row_no",
         urls.canonical(u).alias("canonical"),
         urls.redact_url(u).alias("redacted"),
         urls.run_url(u).alias("run"),
-        urls.public_url_problem(u).alias("problem"),
+        urls.origin(u).alias("origin"),
     )
 
 
@@ -608,9 +743,29 @@ def dns_all_public(spark, d):
 # ---------------------------------------------------------------- documents
 
 
-@query("SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE props IS NOT NULL")
+_SCALAR = """CASE json_type({0}) WHEN 'VARCHAR' THEN {1} WHEN 'BOOLEAN' THEN {0}::VARCHAR WHEN 'NULL' THEN NULL
+    ELSE regexp_replace(CAST(CAST({0}::VARCHAR AS DOUBLE) + 0.0 AS VARCHAR), '\\.0$', '') END"""
+
+
+@query(f"""
+    WITH j AS (SELECT 'fact' AS kind, fact_row AS row_no, CAST(fact_value AS JSON) AS v FROM facts WHERE json_valid(fact_value)
+               UNION ALL SELECT 'event', event_id, CAST(props AS JSON) FROM events WHERE json_valid(props)),
+    s AS (SELECT kind, row_no, '$' AS path, v FROM j WHERE json_type(v) NOT IN ('ARRAY', 'OBJECT')
+          UNION ALL SELECT kind, row_no, '$[' || (i - 1) || ']', v[i - 1] FROM (SELECT kind, row_no, v, unnest(range(1, json_array_length(v)::BIGINT + 1)) AS i FROM j WHERE json_type(v) = 'ARRAY')
+          UNION ALL SELECT kind, row_no, '$.' || k, json_extract(v, '$.' || k) FROM (SELECT kind, row_no, v, unnest(json_keys(v)) AS k FROM j WHERE json_type(v) = 'OBJECT'))
+    SELECT kind, row_no, path, {_SCALAR.format('v', _sql_redact("(v ->> '$')", 2000))} AS value FROM s""")
 def json_flatten(spark, d):
-    return docs.with_paths(table(spark, d, "events").select("event_id", "props"), "props").select("event_id", "path", "value")
+    """Paths and scalars of all fact values and of the properties of events."""
+    f = table(spark, d, "facts").select(F.lit("fact").alias("kind"), F.col("fact_row").alias("row_no"), F.col("fact_value").alias("body"))
+    e = table(spark, d, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("row_no"), F.col("props").alias("body"))
+    return docs.with_paths(spread(f.unionByName(e)), "body").select("kind", "row_no", "path", "value")
+
+
+@query()
+def hidden_values(spark, d):
+    """All fact values with secrets hidden by key and by form (tested against fixed cases)."""
+    f = spread(table(spark, d, "facts").select("fact_row", "fact_value"))
+    return f.select("fact_row", canon.hidden_column(F.col("fact_value")).alias("hidden"))
 
 
 def _html(spark, d):
@@ -624,12 +779,10 @@ def _html(spark, d):
     return p.select("page_id", "url", html.alias("html"))
 
 
-_WS = "[\\s\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{85}\\x{1c}-\\x{1f}]+"
+_TITLE, _BODY = (_sql_redact(_sql_collapse(f"coalesce({c}, '')"), n) for c, n in (("title", 500), ("visible_text", 50_000)))
 
 
-@query(f"""
-    SELECT page_id, nullif(left(trim(regexp_replace(coalesce(title, ''), '{_WS}', ' ', 'g'), ' '), 500), '') AS title,
-           sha256(left(trim(regexp_replace(coalesce(visible_text, ''), '{_WS}', ' ', 'g'), ' '), 50000)) AS text_hash FROM extracted_pages""")
+@query(f"SELECT page_id, nullif({_TITLE}, '') AS title, sha256({_BODY}) AS text_hash FROM extracted_pages")
 def page_visible_text(spark, d):
     made = docs.with_html_document(_html(spark, d), "html", "url")
     return made.select("page_id", "document.title", F.sha2("document.visible_text", 256).alias("text_hash"))
@@ -644,9 +797,61 @@ def content_kinds(spark, d):
     return table(spark, d, "extracted_pages").groupBy(c, docs.content_kind(c).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT page_id, sha256(visible_text) AS content_hash FROM extracted_pages WHERE visible_text IS NOT NULL")
+def _documents(spark, d):
+    """Pages with their policies and changelog entries as documents, beside what their target ignores."""
+    sections = table(spark, d, "text_sections").filter("page_id IS NOT NULL")
+    first = facts.top_per_group(sections, ["page_id", "section_kind"], [F.col("ord"), F.col("section_id")], docs.PLANS)
+    held = first.groupBy("page_id").agg(
+        *[
+            F.transform(
+                F.array_sort(F.collect_list(F.when(F.col("section_kind") == kind, F.struct("place", "heading", "text")))),
+                lambda x: F.struct(x["heading"].alias("heading"), x["text"].alias("text")),
+            ).alias(name)
+            for kind, name in (("policy", "policies"), ("changelog", "changelog"))
+        ]
+    )
+    wants = table(spark, d, "targets").select("target_identity", "ignore_text_patterns", "currency")
+    pages = table(spark, d, "extracted_pages").select(
+        "page_id", F.col("target_identity").alias("of_target"), "title", "visible_text"
+    )
+    rows = pages.join(held, "page_id", "left").join(wants.withColumnRenamed("target_identity", "of_target"), "of_target", "left")
+    given = {"title": F.col("title"), "visible_text": F.col("visible_text"), "policies": F.col("policies"), "changelog": F.col("changelog")}
+    fields = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in docs.DOCUMENT.fields]
+    return spread(rows).select(
+        # A page is a document of its own here, so its number takes the place of the target.
+        F.col("page_id").cast("string").alias("target_identity"),
+        "ignore_text_patterns",
+        "currency",
+        F.struct(*fields).alias("document"),
+    )
+
+
+_SLUG = (
+    "coalesce(nullif(left(regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 100), ''), 'unknown')"
+)
+
+
+@query(f"""
+    WITH p AS (SELECT CAST(p.page_id AS VARCHAR) AS page, p.page_id, p.visible_text, t.ignore_text_patterns AS globs FROM extracted_pages p LEFT JOIN targets t USING (target_identity)),
+    s AS (SELECT p.page, p.globs, s.section_kind, s.heading, s.text, row_number() OVER (PARTITION BY s.page_id, s.section_kind ORDER BY s.ord, s.section_id) AS place
+          FROM text_sections s JOIN p ON p.page_id = s.page_id QUALIFY place <= 50),
+    n AS (SELECT page, section_kind, place, {_SLUG.format("coalesce(heading, CASE section_kind WHEN 'policy' THEN 'section-' ELSE 'entry-' END || place)")} AS id,
+                 {_sql_noise('text', 'globs')} AS body FROM s WHERE text IS NOT NULL),
+    f AS (SELECT page, 0 AS producer, place, section_kind || ':' || id || ':text' AS fact_id, CAST(to_json(body) AS VARCHAR) AS fact_value FROM n WHERE body <> ''
+          UNION ALL SELECT page, 1, 0, 'page:general-content', CAST(to_json(sha256(b)) AS VARCHAR) FROM (SELECT page, {_sql_noise('visible_text', 'globs')} AS b FROM p) WHERE b <> '')
+    SELECT page AS target_identity, fact_id, arg_min(fact_value, place) AS fact_value FROM f GROUP BY page, fact_id""")
+def document_texts(spark, d):
+    """Facts of the texts of all pages and sections, without what their target ignores."""
+    made = document_facts.document_facts(_documents(spark, d), F.col("currency"), F.col("ignore_text_patterns"))
+    return made.filter("fact_id LIKE '%:text' OR fact_id = 'page:general-content'").select("target_identity", "fact_id", "fact_value")
+
+
+@query(f"""
+    SELECT CAST(page_id AS VARCHAR) AS page, sha256(b) AS content_hash FROM (
+        SELECT p.page_id, {_sql_noise('visible_text', 't.ignore_text_patterns')} AS b FROM extracted_pages p LEFT JOIN targets t USING (target_identity)) WHERE b <> ''""")
 def content_hash(spark, d):
-    return table(spark, d, "extracted_pages").filter("visible_text IS NOT NULL").select("page_id", F.sha2("visible_text", 256).alias("content_hash"))
+    made = document_facts.text_facts(_documents(spark, d), F.col("ignore_text_patterns"))
+    return made.select(F.col("target_identity").alias("page"), F.get_json_object(F.concat(F.lit('{"v":'), "fact_value", F.lit("}")), "$.v").alias("content_hash"))
 
 
 @query("""
@@ -703,24 +908,13 @@ def payloads_kept(spark, d):
     return deliveries.deduplicate(p, "delivery_id", deliveries.delivery_instant("generated_at"), "payload_row").select("payload_row")
 
 
-@query("""
-    SELECT target_identity, fact_id, generation, lag(fact_value) OVER (PARTITION BY target_identity, fact_id ORDER BY created_at, generation) AS previous, fact_value
-    FROM (SELECT target_identity, fact_id, generation, fact_value FROM facts WHERE category = 'availability'
-          QUALIFY row_number() OVER (PARTITION BY target_identity, generation, fact_id ORDER BY ord, fact_row) = 1) f
-    JOIN (SELECT target_identity, generation, min(created_at) AS created_at FROM manifests WHERE manifest_kind = 'trusted' GROUP BY 1, 2) m
-    USING (target_identity, generation)""")
-def fact_versions(spark, d):
-    """Of availability alone, as its SQL says; ``fact_versions_all`` is over all facts."""
-    return _versions(spark, d, table(spark, d, "facts").filter("category = 'availability'"))
-
-
 @query("""
     SELECT target_identity, fact_id, generation, lag(fact_value) OVER (PARTITION BY target_identity, fact_id ORDER BY created_at, generation) AS previous, fact_value
     FROM (SELECT target_identity, fact_id, generation, fact_value FROM facts
           QUALIFY row_number() OVER (PARTITION BY target_identity, generation, fact_id ORDER BY ord, fact_row) = 1) f
     JOIN (SELECT target_identity, generation, min(created_at) AS created_at FROM manifests WHERE manifest_kind = 'trusted' GROUP BY 1, 2) m
     USING (target_identity, generation)""")
-def fact_versions_all(spark, d):
+def fact_versions(spark, d):
     return _versions(spark, d, table(spark, d, "facts"))
 
 
@@ -775,8 +969,9 @@ def change_explanations(spark, d):
 
 
 @query(f"""
-    SELECT payload_row, count(*) AS total, sha256(payload_row || ':' || coalesce(string_agg(coalesce(change_id, ''), ',' ORDER BY place) FILTER (WHERE place <= 10), '')) AS delivery_hash
-    FROM (SELECT *, row_number() OVER (PARTITION BY payload_row ORDER BY {_ORDER}) AS place FROM digest_changes) GROUP BY payload_row""")
+    SELECT payload_row, count(*) AS total, sha256('{{"key":' || payload_row || ',"changes":' ||
+           CAST(to_json(list(change_id ORDER BY place) FILTER (WHERE place <= 10)) AS VARCHAR) || '}}') AS delivery_hash
+    FROM (SELECT *, row_number() OVER (PARTITION BY payload_row ORDER BY {_ORDER}) AS place FROM {_UNIQUE_IN}) GROUP BY payload_row""")
 def payload_documents(spark, d):
     return reports.payload_documents(table(spark, d, "digest_changes"), "payload_row").select("payload_row", "total", "delivery_hash")
 
@@ -789,9 +984,7 @@ def sections_outer(spark, d):
     return p.select("page_id", "s.selector", F.col("s.text").isNotNull().alias("has_text"))
 
 
-@query()
+@query(f"SELECT fact_row, sha256({_CANONICAL}) AS hash, NULL::VARCHAR AS problem FROM facts WHERE fact_value IS NULL OR json_valid(fact_value)")
 def canonical_values(spark, d):
-    from tidemark.functions import canon
-
     made = table(spark, d, "facts").select("fact_row", canon.canonical_column(F.col("fact_value")).alias("c"))
     return made.select("fact_row", "c.hash", "c.problem")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import urls
+from tidemark.functions import canon, text, urls
 
 _TEXTS = T.ArrayType(T.StringType())
 TARGET = T.StructType(
@@ -63,3 +63,34 @@ def repeated_names(targets: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .filter("n > 1 AND name IS NOT NULL")
     )
+
+
+#: Versions of stored snapshots and of the rules that make them; both are part of a target's identity.
+STORAGE_VERSION, RULES_VERSION = 1, "1.0.0"
+
+
+def identity_hash(targets: DataFrame) -> Column:
+    """Hash of what identifies a target: the canonical JSON of its settings, keys in order.
+
+    A null list is an empty one. The columns include_selectors and exclude_selectors may be absent.
+    """
+
+    def texts(name: str) -> Column:
+        if name not in targets.columns:
+            return F.lit("[]")
+        safe = F.transform(F.col(name), lambda x: text.redact_emails(text.redact_secrets(x)))
+        return F.coalesce(F.to_json(safe), F.lit("[]"))
+
+    name = canon.json_string(text.redact(F.col("target_name"), text.MAX_TEXT))
+    pieces = (
+        ("changeTypes", texts("change_types")),
+        ("excludeSelectors", texts("exclude_selectors")),
+        ("ignoreTextPatterns", texts("ignore_text_patterns")),
+        ("includeSelectors", texts("include_selectors")),
+        ("normalizerVersion", F.lit(f'"{RULES_VERSION}"')),
+        ("storageSchemaVersion", F.lit(str(STORAGE_VERSION))),
+        ("targetName", F.coalesce(name, F.lit("null"))),
+        ("targetUrl", F.coalesce(canon.json_string(urls.sorted_url(F.col("url"))), F.lit("null"))),
+    )
+    body = F.concat_ws(",", *[F.concat(F.lit(f'"{key}":'), value) for key, value in pieces])
+    return F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256)

@@ -1,17 +1,19 @@
 """Documents from HTML, JSON, XML and text bodies.
 
-HTML has no parser in Spark, so one Arrow UDF per page returns the whole document. Everything
-else stays in built-in expressions. Texts are cut to stated bounds, as the results show.
+HTML has no parser in Spark, so one Arrow UDF per body returns the whole document, with white
+space collapsed and secrets hidden in every text. Texts are cut to stated bounds, as the results
+show.
 """
 
 from __future__ import annotations
 
-import gzip
 import json
+import math
 import re
 import zlib
-from collections import deque
-from urllib.parse import urljoin
+from collections.abc import Iterator
+from itertools import islice
+from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import canon
 from tidemark.functions import text as tx
 from tidemark.sources import markup
 
@@ -76,25 +79,67 @@ def content_kind(content_type: Column) -> Column:
     )
 
 
-def decode_body(body: bytes | None, encoding: str | None, limit: int) -> bytes | None:
-    """Bytes of a body by its first listed content encoding; null if it is broken or too long."""
+#: Names of content encodings with the form of their header for zlib.
+ENCODINGS = {"gzip": 31, "x-gzip": 31, "deflate": 15}
+
+
+def decode_body(body: bytes | None, encoding: str | None, limit: int) -> tuple[bytes | None, str | None]:
+    """Bytes of a body by its first listed content encoding, or why there are none.
+
+    No more than ``limit`` bytes are ever unpacked, so a small body can't fill an executor.
+    """
     if body is None:
-        return None
-    name = (encoding or "identity").split(",")[0].strip().lower()
+        return None, None
+    name = (encoding or "identity").split(",")[0].strip().lower() or "identity"
+    if name == "identity":
+        return (body, None) if len(body) <= limit else (None, "response_too_large")
+    if name not in ENCODINGS:
+        return None, "unsupported_encoding"
+    unpacker = zlib.decompressobj(ENCODINGS[name])
     try:
-        if name in ("gzip", "x-gzip"):
-            body = gzip.decompress(body)
-        elif name == "deflate":
-            body = zlib.decompress(body)
-        elif name not in ("identity", ""):
-            return None
-    except (OSError, EOFError, zlib.error):
-        return None
-    return body if len(body) <= limit else None
+        out = unpacker.decompress(body, limit + 1)
+    except zlib.error:
+        return None, "broken_encoding"
+    if len(out) > limit:
+        return None, "response_too_large"
+    return (out, None) if unpacker.eof else (None, "broken_encoding")
+
+
+def decoded(body: Column, encoding: Column, limit: int = 2 * 1024 * 1024) -> Column:
+    """Struct (body, problem) of a binary column by its content encoding; the body is text."""
+    schema = T.StructType([T.StructField("body", _S), T.StructField("problem", _S)])
+
+    def batch(bodies: pd.Series, encodings: pd.Series) -> pd.DataFrame:
+        made = [decode_body(b, e, limit) for b, e in zip(bodies, encodings, strict=True)]
+        rows = [(None if b is None else bytes(b).decode("utf-8", "replace"), p) for b, p in made]
+        return pd.DataFrame(rows, columns=["body", "problem"], dtype=object)
+
+    return F.pandas_udf(batch, schema)(body, encoding)
+
+
+_SPACES = re.compile(tx.SPACES)
 
 
 def _clean(value: str | None, limit: int) -> str:
-    return re.sub(r"\s+", " ", value or "").strip()[:limit]
+    return canon.redact_text(_SPACES.sub(" ", value or "").strip(), limit)
+
+
+def _safe_url(value: str | None) -> str | None:
+    """A URL without user, fragment and values of secret keys; other text is cleaned."""
+    if not value:
+        return None
+    try:
+        u = urlsplit(value.strip())
+        host = u.netloc.rpartition("@")[2]
+    except ValueError:
+        return _clean(value, 2_048)
+    if not u.scheme:
+        return _clean(value, 2_048)
+    pairs = [
+        (k, "[REDACTED]" if canon.SECRET_KEY.search(k) else canon.redact_text(v, 256))
+        for k, v in parse_qsl(u.query, keep_blank_values=True)
+    ]
+    return urlunsplit((u.scheme, host, u.path, urlencode(pairs), ""))
 
 
 def _scalar(value) -> str | None:
@@ -124,42 +169,50 @@ def _offer(item: dict) -> dict:
         "availability": both("availability"),
         "url": both("url"),
     }
-    return {k: (_scalar(v) or None) and _scalar(v)[:FIELD] for k, v in found.items()}
+    texts = {k: _scalar(v) or None for k, v in found.items()}
+    return {k: v and (_safe_url(v) if k == "url" else canon.redact_text(v, FIELD)) for k, v in texts.items()}
+
+
+def walked(value) -> Iterator:
+    """All values within a JSON value, level by level, with the bounds of depth and children."""
+    level = [value]
+    for _ in range(DEPTH + 1):
+        yield from level
+        held = (v.values() if isinstance(v, dict) else v for v in level if isinstance(v, (dict, list)))
+        level = [child for children in held for child in islice(children, CHILDREN)]
+
+
+#: Bounds of linked data: blocks of a page, characters of a block, values and records of a block.
+BLOCKS, BLOCK_SIZE, VISITED, RECORDS = 50, 131_072, 500, 20
 
 
 def linked_data(root: markup.Node) -> list[dict]:
-    """Products and offers in JSON-LD blocks, breadth first; bad blocks are skipped."""
+    """Products and offers in JSON-LD blocks, those nearer to the root first; bad blocks are skipped.
+
+    An offer inside of a product belongs to the product and is no record of its own.
+    """
     records: list[dict] = []
-    used: set[int] = set()
-    for block in markup.select(root, 'script[type="application/ld+json"]')[:50]:
+    for block in markup.select(root, 'script[type="application/ld+json"]')[:BLOCKS]:
         raw = block.text()
-        if not raw or len(raw) > 131_072:
+        if not raw or len(raw) > BLOCK_SIZE:
             continue
         try:
-            queue = deque([(json.loads(raw), 0)])
+            value = json.loads(raw)
         except (ValueError, RecursionError):
             continue
-        visited = 0
-        while queue and len(records) < 20 and visited < 500:
-            value, depth = queue.popleft()
-            visited += 1
-            if depth > DEPTH:
-                continue
-            if isinstance(value, list):
-                queue += [(v, depth + 1) for v in value[:CHILDREN]]
-            elif isinstance(value, dict):
-                kinds = value.get("@type")
-                kinds = kinds if isinstance(kinds, list) else [kinds]
-                if "Product" in kinds:
-                    nested = value.get("offers")
-                    nested = nested[0] if isinstance(nested, list) and nested else nested
-                    if isinstance(nested, dict):
-                        used.add(id(nested))
-                    records.append(_offer(value))
-                elif ("Offer" in kinds or "AggregateOffer" in kinds) and id(value) not in used:
-                    records.append(_offer(value))
-                queue += [(v, depth + 1) for v in list(value.values())[:CHILDREN]]
-    return records
+        typed = [v for v in islice(walked(value), VISITED) if isinstance(v, dict) and "@type" in v]
+        kinds = [set(v["@type"]) if isinstance(v["@type"], list) else {v["@type"]} for v in typed]
+        inside = set()
+        for v, kind in zip(typed, kinds, strict=True):
+            if "Product" in kind:
+                offers = v.get("offers")
+                inside.add(id(offers[0] if isinstance(offers, list) and offers else offers))
+        records += [
+            _offer(v)
+            for v, kind in zip(typed, kinds, strict=True)
+            if "Product" in kind or (kind & {"Offer", "AggregateOffer"} and id(v) not in inside)
+        ]
+    return records[:RECORDS]
 
 
 def html_document(html: str | None, base: str | None = None, include=(), exclude=()) -> dict | None:
@@ -215,7 +268,7 @@ def html_document(html: str | None, base: str | None = None, include=(), exclude
     return {
         "title": (_clean(title.text(), FIELD) or None) if title else None,
         "description": (_clean(description.attrs.get("content"), 1_000) or None) if description else None,
-        "canonical_url": urljoin(base or "", href) if href else None,
+        "canonical_url": _safe_url(urljoin(base or "", href)) if href else None,
         "headings": [h for h in headings if h][:HEADINGS],
         "visible_text": _clean(visible, VISIBLE),
         "selected_sections": chosen,
@@ -226,38 +279,78 @@ def html_document(html: str | None, base: str | None = None, include=(), exclude
     }
 
 
-def with_html_document(df: DataFrame, html: str, url: str | None = None, include=(), exclude=()) -> DataFrame:
-    """Adds ``document``, a struct, for an HTML column; redaction is left to built-in expressions."""
+def _checked(include, exclude) -> tuple[tuple, tuple]:
     for selector in (*include, *exclude):
         if problem := markup.selector_problem(selector):
             raise ValueError(f"selector {selector!r}: {problem}")
-    include, exclude = tuple(include), tuple(exclude)
+    return tuple(include), tuple(exclude)
+
+
+def with_html_document(df: DataFrame, html: str, url: str | None = None, include=(), exclude=()) -> DataFrame:
+    """Adds ``document``, a struct with cleaned and redacted texts, for an HTML column."""
+    return with_document(df.withColumn("kind_", F.lit("html")), html, "kind_", url, include, exclude).drop("kind_")
+
+
+def body_document(body: str | None, kind: str | None, base: str | None = None, include=(), exclude=()) -> dict | None:
+    """The document of a body of a kind that :func:`content_kind` gives; null of null or other kinds.
 
-    def batch(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
-        made = [html_document(h, u, include, exclude) for h, u in zip(pages, urls, strict=True)]
+    JSON and XML have the texts of their scalars as visible text; if they can't be read there is
+    no document.
+    """
+    if body is None or kind not in ("html", "json", "xml", "text"):
+        return None
+    if kind == "html":
+        return html_document(body, base, include, exclude)
+    if kind == "text":
+        visible = body
+    else:
+        pairs = flatten_json(body) if kind == "json" else flatten_xml(body)
+        if pairs is None:
+            return None
+        visible = " ".join("null" if v is None else v for _, v in pairs)
+    lists = {n: [] for n in ("headings", "selected_sections", "product_offers", "pricing_plans", "policies", "changelog")}
+    return {"title": None, "description": None, "canonical_url": None, "visible_text": _clean(visible, VISIBLE), **lists}
+
+
+def with_document(df: DataFrame, body: str, kind: str, url: str | None = None, include=(), exclude=()) -> DataFrame:
+    """Adds ``document``, a struct with cleaned and redacted texts, for a body column and its kind."""
+    include, exclude = _checked(include, exclude)
+
+    def batch(bodies: pd.Series, kinds: pd.Series, urls: pd.Series) -> pd.DataFrame:
+        rows = zip(bodies, kinds, urls, strict=True)
+        made = [body_document(b, k, u, include, exclude) for b, k, u in rows]
         empty = dict.fromkeys(DOCUMENT.fieldNames())
         return pd.DataFrame([m or empty for m in made], columns=DOCUMENT.fieldNames(), dtype=object)
 
     udf = F.pandas_udf(batch, DOCUMENT)
-    return df.withColumn("document", udf(F.col(html), F.col(url) if url else F.lit(None).cast("string")))
+    return df.withColumn("document", udf(F.col(body), F.col(kind), F.col(url) if url else F.lit(None).cast("string")))
+
+
+def _entries(path: str, item) -> list[tuple[str, object]]:
+    if isinstance(item, list):
+        return [(f"{path}[{i}]", v) for i, v in enumerate(item[:CHILDREN])]
+    named = [(k, v) for k, v in islice(item.items(), CHILDREN) if k not in canon.DROPPED]
+    return [(f"{path}.{canon.redact_text(k, 128)}", v) for k, v in named]
+
+
+def _shown(item) -> str | None:
+    if isinstance(item, str):
+        return canon.redact_text(item)
+    if item is None or isinstance(item, bool):
+        return None if item is None else json.dumps(item)
+    return canon.number_text(float(item)) if math.isfinite(item) else None
 
 
 def flatten(value, limit: int = PATHS) -> list[tuple[str, str | None]]:
-    """Paths of the scalars of a JSON value, breadth first, with their JSON texts."""
+    """Paths of the scalars of a JSON value, level by level, with their texts; secrets are hidden."""
     out: dict[str, str | None] = {}
-    queue = deque([("$", value, 0)])
-    while queue and len(out) < limit:
-        path, item, depth = queue.popleft()
-        if depth > DEPTH:
-            continue
-        if isinstance(item, list):
-            queue += [(f"{path}[{i}]", v, depth + 1) for i, v in enumerate(item[:CHILDREN])]
-        elif isinstance(item, dict):
-            kept = [(k, v) for k, v in list(item.items())[:CHILDREN] if k not in ("__proto__", "prototype", "constructor")]
-            queue += [(f"{path}.{k[:128]}", v, depth + 1) for k, v in kept]
-        else:
-            out[path[:512]] = None if item is None else item if isinstance(item, str) else json.dumps(item)
-    return list(out.items())
+    level: list[tuple[str, object]] = [("$", value)]
+    for _ in range(DEPTH + 1):
+        scalars = [(p, v) for p, v in level if not isinstance(v, (dict, list))]
+        for path, item in scalars[: limit - len(out)]:
+            out[path[:512]] = _shown(item)
+        level = [entry for path, item in level if isinstance(item, (dict, list)) for entry in _entries(path, item)]
+    return list(out.items())[:limit]
 
 
 def flatten_json(text: str | None) -> list[tuple[str, str | None]] | None:
