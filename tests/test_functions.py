@@ -88,7 +88,6 @@ def test_addresses(spark):
     assert run(spark, net.host_blocked, "localhost", "a.internal", "example.com") == [True, True, False]
     df = spark.createDataFrame([(2130706433,), (134744072,), (None,)], "ip long")
     assert [r.network for r in net.with_network(df, "ip").collect()] == ["127.0.0.0/8", None, None]
-    assert net.v6_blocked("::1") and net.v6_blocked("fe80::1") and not net.v6_blocked("2606:4700::1111")
 
 
 def test_cells_and_escapes(spark):
@@ -100,3 +99,19 @@ def test_cells_and_escapes(spark):
 @pytest.mark.parametrize("value, ok", [("2026-07-19T23:30:00.000Z", True), ("2026-07-19T23:30:00Z", False), ("2026-02-30T00:00:00.000Z", False), (None, False)])
 def test_iso_round_trip(spark, value, ok):
     assert run(spark, dates.is_iso_millis, value) == [ok]
+
+
+def test_inspected_hosts(spark):
+    cases = {
+        "[::1]": ("v6", "::1/128"), "fe80::1": ("v6", "fe80::/10"), "2606:4700::1": ("v6", None), "::ffff:10.0.0.1": ("v6", "::ffff:0:0/96"),
+        "FC00::": ("v6", "fc00::/7"), "0x7f.1": ("v4", "127.0.0.0/8"), "8.8.8.8": ("v4", None), "017700000001": ("v4", "127.0.0.0/8"),
+        "printer.LOCAL.": ("name", "printer.local"), "x.example": ("name", None), "a:b": ("name", None), None: (None, None), "": ("name", None),
+    }
+    df = spark.createDataFrame([(h, "clash") for h in cases], "h string, network string").select("h", F.col("network").alias("other"))
+    assert {r.h: (r.host_kind, r.blocked_by) for r in net.inspected(df, "h").collect()} == cases
+
+
+def test_origins(spark):
+    df = spark.createDataFrame([("https://A.example:443/x?q", ["http://b.example:80", "https://a.example/y", "nonsense", None]), (None, None)], "u string, more array<string>")
+    got = [r.o for r in df.select(urls.allowed_origins(F.col("u"), F.col("more")).alias("o")).collect()]
+    assert got == [["http://b.example", "https://a.example"], []]

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import deliveries, snapshots
 
@@ -115,3 +116,46 @@ def test_kept_copy_is_a_hash_aggregation(spark):
     rows = spark.createDataFrame([("a", 1, 1)], "ident string, instant long, row_no long")
     plan = deliveries.kept_copies(rows)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_manifests_and_promotions(spark):
+    from tidemark.operators import history
+
+    a, b, t = "a" * 64, "b" * 64, "c" * 64
+    day = "2026-01-0{}"
+    schema = (
+        "target_identity string, manifest_kind string, candidate_id string, generation string, snapshot_hash string, "
+        "trusted_parent_snapshot_hash string, byte_length long, created_at string, updated_at string"
+    )
+    rows = [
+        (t, "trusted", None, "g1", a, None, 5, day.format(1), day.format(1)),
+        (t, "candidate", "c1", "g2", b, a, 5, day.format(2), day.format(2)),
+        (t, "other", None, "g", a, None, 5, "x", "x"), ("short", "trusted", None, "g", a, None, 5, "x", "x"),
+        (t, "trusted", None, "g g", a, None, 5, "x", "x"), (t, "trusted", None, None, a, None, 5, "x", "x"), (t, "trusted", None, "g", None, None, 5, "x", "x"),
+        (t, "trusted", None, "g", a, None, 5, None, "x"), (t, "trusted", None, "g", a, None, 1, "x", "x"),
+        (t, "candidate", "bad id", "g", a, None, 5, "x", "x"), (t, "candidate", "c", "g", a, "nohash", 5, "x", "x"), (None, None, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    found = [r.p for r in df.select(history.manifest_problem(df).alias("p")).collect()]
+    assert found == [None, None, "kind", "identity", "hash_or_generation", "hash_or_generation", "hash_or_generation", "timestamps", "byte_length", "lineage", "lineage", "kind"]
+    chunked = df.limit(2).selectExpr("*", "33 AS chunk_count", "3 AS history_length")
+    assert [r.p for r in chunked.select(history.manifest_problem(chunked).alias("p")).collect()] == ["chunks", "chunks"]
+    asked = [(t, "c1", b, a), (t, "c1", a, a), (t, "c1", b, "NO_PARENT"), (t, "nobody", b, a), ("d" * 64, "c1", b, a), (None, None, None, None)]
+    requests = spark.createDataFrame(asked, "target_identity string, candidate_id string, expected_hash string, expected_parent string")
+    got = sorted((r.candidate_id or "", r.expected_hash or "", r.expected_parent or "", r.target_identity or "", r.promotion) for r in history.promotable(df, requests).collect())
+    assert [g[-1] for g in got] == ["no_candidate", "hash", "parent", "match", "no_candidate", "no_candidate"]
+    later = df.unionByName(spark.createDataFrame([(t, "trusted", None, "g9", b, None, 5, day.format(9), day.format(9))], schema))
+    assert history.promotable(later, requests.limit(1)).first().promotion == "trusted"
+    assert history.promotable(df.limit(0), requests.limit(0)).count() == 0
+
+
+def test_hot_snapshots_are_split_and_give_the_same(spark, monkeypatch):
+    from tidemark.operators import skew
+
+    m = spark.createDataFrame([("t", "trusted", f"g{k}", k, f"h{k}") for k in range(4)], "target_identity string, manifest_kind string, generation string, created_at int, snapshot_hash string")
+    m = m.withColumn("created_at", F.timestamp_seconds("created_at"))
+    rows = [("t", f"g{k % 4}", f"f{k % 7}", str(k % 3), k % 5, k) for k in range(400)]
+    f = spark.createDataFrame(rows, "target_identity string, generation string, fact_id string, fact_value string, ord int, fact_row long")
+    split = {tuple(r) for r in snapshots.snapshot_changes(m, f).collect()}
+    monkeypatch.setattr(skew, "hot_keys", lambda *a, **k: [])
+    assert {tuple(r) for r in snapshots.snapshot_changes(m, f).collect()} == split and split

@@ -31,6 +31,15 @@ def test_readable_pages(spark):
     assert got == [("", "/x"), ("h", "/ok"), ("i", "/private")]
 
 
+def test_status_of_a_robots_file_decides_first(spark):
+    pages = spark.createDataFrame([(h, "/private") for h in "abcdefgh"] + [("e", "/ok"), (None, "/x")], "host string, path string")
+    long = "x" * (robots.MAX_BYTES + 1)
+    rows = [("a", 404, FILE), ("b", 204, None), ("c", 403, ""), ("d", 500, ""), ("e", 200, FILE), ("f", None, ""), ("g", 200, long)]
+    files = spark.createDataFrame(rows, "host string, status int, robots string")
+    got = sorted((r.host, r.path) for r in robots.readable(pages, files, "someone").collect())
+    assert got == [("a", "/private"), ("b", "/private"), ("e", "/ok")]
+
+
 def test_targets(spark, tmp_path):
     good = {"name": "Shop", "url": "https://x.example/", "changeTypes": ["price"], "currency": "USD"}
     rows = [

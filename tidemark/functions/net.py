@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import ipaddress
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Networks that are not public.
 BLOCKED_V4 = (
-    "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 "
-    "192.88.99.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4"
-).split()
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+    "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+)
 BLOCKED_V6 = (
-    "::/128 ::1/128 ::ffff:0:0/96 64:ff9b::/96 64:ff9b:1::/48 100::/64 2001::/32 2001:2::/48 2001:10::/28 "
-    "2001:20::/28 2001:db8::/32 2002::/16 fc00::/7 fe80::/10 ff00::/8"
-).split()
+    "::/128", "::1/128", "::ffff:0:0/96", "64:ff9b::/96", "64:ff9b:1::/48", "100::/64", "2001::/32", "2001:2::/48", "2001:10::/28",
+    "2001:20::/28", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10", "ff00::/8",
+)
 #: Names and endings of hosts that are not public.
-BLOCKED_HOSTS = "localhost localhost.localdomain instance-data metadata metadata.google.internal kubernetes.default.svc".split()
-BLOCKED_ENDINGS = ".localhost .local .internal .home .lan .arpa".split()
+BLOCKED_HOSTS = (
+    "localhost", "localhost.localdomain", "instance-data", "metadata", "metadata.google.internal", "kubernetes.default.svc",
+)
+BLOCKED_ENDINGS = (".localhost", ".local", ".internal", ".home", ".lan", ".arpa")
 
 
 def host_name(col: Column) -> Column:
@@ -63,7 +67,7 @@ def dotted(number: Column) -> Column:
 
 
 def host_blocked(col: Column) -> Column:
-    return col.isin(BLOCKED_HOSTS) | col.rlike("(?:" + "|".join(e.replace(".", r"\.") for e in BLOCKED_ENDINGS) + ")$")
+    return col.isin(*BLOCKED_HOSTS) | col.rlike("(?:" + "|".join(e.replace(".", r"\.") for e in BLOCKED_ENDINGS) + ")$")
 
 
 def blocked_networks(spark: SparkSession) -> DataFrame:
@@ -81,7 +85,40 @@ def with_network(df: DataFrame, number: str) -> DataFrame:
     return df.join(F.broadcast(nets), F.col(number).between(F.col("low"), F.col("high")), "left").drop("low", "high")
 
 
-def v6_blocked(address: str) -> bool:
-    """Whether an IPv6 address is in a network that is not public."""
-    ip = ipaddress.IPv6Address(address)
-    return any(ip in ipaddress.ip_network(n) for n in BLOCKED_V6)
+def ipv6_bytes(col: Column) -> Column:
+    """The 16 bytes of an IPv6 address, zone left out; null for other text."""
+
+    def one(text: str | None) -> bytes | None:
+        try:
+            return None if text is None else ipaddress.IPv6Address(text.partition("%")[0]).packed
+        except ValueError:
+            return None
+
+    def batch(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in texts], index=texts.index, dtype=object)
+
+    shaped = col.contains(":")
+    return F.when(shaped, F.pandas_udf(batch, T.BinaryType())(F.when(shaped, col)))
+
+
+def with_network6(df: DataFrame, packed: str) -> DataFrame:
+    """Rows with the smallest blocked network that holds the 16 bytes of ``packed``, null if none does.
+
+    Of the fixed 15 networks none holds another, so a row has one at most; they are broadcast.
+    """
+    rows = [(n, bytearray(ipaddress.ip_network(n)[0].packed), bytearray(ipaddress.ip_network(n)[-1].packed)) for n in BLOCKED_V6]
+    nets = df.sparkSession.createDataFrame(rows, "network6 string, low6 binary, high6 binary")
+    return df.join(F.broadcast(nets), F.col(packed).between(F.col("low6"), F.col("high6")), "left").drop("low6", "high6")
+
+
+def inspected(df: DataFrame, host: str) -> DataFrame:
+    """Adds ``host_kind`` and ``blocked_by`` for a column of host names and addresses in any form.
+
+    host_kind is 'name', 'v4' or 'v6', null for null and broken names; blocked_by is the name or
+    the network that makes it no public host.
+    """
+    rows = df.withColumn("host_", host_name(F.col(host))).withColumn("v4_", ipv4_number(F.col("host_")))
+    rows = with_network6(with_network(rows.withColumn("v6_", ipv6_bytes(F.col("host_"))), "v4_"), "v6_")
+    kind = F.when(F.col("v4_").isNotNull(), "v4").when(F.col("v6_").isNotNull(), "v6").when(F.col("host_").isNotNull(), "name")
+    by = F.coalesce("network", "network6", F.when(F.col("v4_").isNull() & F.col("v6_").isNull() & host_blocked(F.col("host_")), F.col("host_")))
+    return rows.withColumn("host_kind", kind).withColumn("blocked_by", by).drop("host_", "v4_", "v6_", "network", "network6")

@@ -2,15 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import canon
 from tidemark.operators import facts
 
 #: Entries of a history that stay, and bytes of a chunk.
 HISTORY, CHUNK = 30, 512 * 1024
 
 
+#: Forms of a generation and of a candidate's id.
+GENERATION, CANDIDATE = "^[A-Za-z0-9_-]{1,64}$", "^[A-Za-z0-9_-]{1,128}$"
+
+
+def manifest_problem(df: DataFrame) -> Column:
+    """Why a manifest can't be used, the first reason found; null for a fine one.
+
+    ``df`` only tells which columns there are: chunk counts and histories are checked if it has
+    them (chunk_count, history_length).
+    """
+    is_hash = lambda c: F.coalesce(canon.is_hash(F.col(c)), F.lit(False))
+    has = lambda c, test: test if c in df.columns else F.lit(False)
+    candidate = F.col("manifest_kind") == "candidate"
+    parent = F.col("trusted_parent_snapshot_hash")
+    return (
+        F.when(F.col("manifest_kind").isNull() | ~F.col("manifest_kind").isin("trusted", "candidate"), "kind")
+        .when(~is_hash("target_identity"), "identity")
+        .when(~is_hash("snapshot_hash") | ~F.coalesce(F.col("generation").rlike(GENERATION), F.lit(False)), "hash_or_generation")
+        .when(F.col("created_at").isNull() | F.col("updated_at").isNull(), "timestamps")
+        .when(F.col("byte_length").isNull() | (F.col("byte_length") < 2), "byte_length")
+        .when(has("chunk_count", ~F.coalesce(F.col("chunk_count").between(1, 32), F.lit(False)) if "chunk_count" in df.columns else None), "chunks")
+        .when(has("history_length", F.col("history_length") > HISTORY if "history_length" in df.columns else None), "history")
+        .when(
+            candidate
+            & (~F.coalesce(F.col("candidate_id").rlike(CANDIDATE), F.lit(False)) | (parent.isNotNull() & ~canon.is_hash(parent))),
+            "lineage",
+        )
+    )
+
+
+def promotable(manifests: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (target_identity, candidate_id, expected_hash, expected_parent) with ``promotion``.
+
+    'match' where three hashes agree: the candidate's own with the expected one, its parent and
+    the target's latest trusted snapshot with the expected parent ('NO_PARENT' for none).
+    Otherwise 'no_candidate', 'hash', 'parent' or 'trusted', the first that fails. Manifests with
+    a problem don't count; of a candidate that was delivered again the latest row does.
+    """
+    fine = manifests.filter(manifest_problem(manifests).isNull())
+    candidates = (
+        fine.filter("manifest_kind = 'candidate'")
+        .groupBy("target_identity", "candidate_id")
+        .agg(F.max(F.struct("created_at", "snapshot_hash", "trusted_parent_snapshot_hash")).alias("c"))
+    )
+    trusted = latest_trusted(fine).select("target_identity", F.col("snapshot_hash").alias("trusted_hash"))
+    parent = F.nullif(F.col("expected_parent"), F.lit("NO_PARENT"))
+    verdict = (
+        F.when(F.col("c").isNull(), "no_candidate")
+        .when(~F.col("c.snapshot_hash").eqNullSafe(F.col("expected_hash")), "hash")
+        .when(~F.col("c.trusted_parent_snapshot_hash").eqNullSafe(parent), "parent")
+        .when(~F.col("trusted_hash").eqNullSafe(parent), "trusted")
+        .otherwise("match")
+    )
+    return (
+        requests.join(candidates, ["target_identity", "candidate_id"], "left")
+        .join(trusted, "target_identity", "left")
+        .withColumn("promotion", verdict)
+        .drop("c", "trusted_hash")
+    )
+
+
 def latest_trusted(manifests: DataFrame) -> DataFrame:
     """Latest trusted manifest per target; redelivered rows of a generation count once."""
     rows = manifests.filter("manifest_kind = 'trusted'")

@@ -330,11 +330,14 @@ def report_rollup(spark, d):
     return reports.rollup(table(spark, d, "digest_changes"), "payload_row")
 
 
-@query("""
-    SELECT v.severity, count(c.severity) AS n FROM (SELECT unnest(['informational', 'low', 'medium', 'high', 'critical']) AS severity) v
-    LEFT JOIN digest_changes c USING (severity) GROUP BY v.severity""")
+@query(f"""
+    WITH r AS (SELECT coalesce(arg_max(severity, {_RANK}), 'informational') AS highest_severity FROM digest_changes GROUP BY payload_row)
+    SELECT v.highest_severity, count(r.highest_severity) AS n FROM (SELECT unnest(['informational', 'low', 'medium', 'high', 'critical']) AS highest_severity) v
+    LEFT JOIN r USING (highest_severity) GROUP BY v.highest_severity""")
 def severity_zero_fill(spark, d):
-    return reports.zero_filled(table(spark, d, "digest_changes"), "severity", reports.SEVERITIES)
+    """Reports by their highest severity, 0 for those that none has."""
+    of_reports = reports.rollup(table(spark, d, "digest_changes"), "payload_row")
+    return reports.zero_filled(of_reports, "highest_severity", reports.SEVERITIES)
 
 
 @query("SELECT check_status, count(DISTINCT entry_id) AS n FROM evidence_history GROUP BY check_status")
@@ -413,6 +416,34 @@ def trusted_latest(spark, d):
     return latest.select("target_identity", "generation", "snapshot_hash", F.unix_micros("first_created_at").alias("first_created_us"))
 
 
+@query("""
+    SELECT target_identity, generation, manifest_kind, candidate_id, CASE
+        WHEN manifest_kind IS NULL OR manifest_kind NOT IN ('trusted', 'candidate') THEN 'kind'
+        WHEN NOT coalesce(regexp_full_match(target_identity, '[0-9a-f]{64}'), false) THEN 'identity'
+        WHEN NOT coalesce(regexp_full_match(snapshot_hash, '[0-9a-f]{64}'), false) OR NOT coalesce(regexp_full_match(generation, '[A-Za-z0-9_-]{1,64}'), false) THEN 'hash_or_generation'
+        WHEN created_at IS NULL OR updated_at IS NULL THEN 'timestamps' WHEN byte_length IS NULL OR byte_length < 2 THEN 'byte_length'
+        WHEN manifest_kind = 'candidate' AND (NOT coalesce(regexp_full_match(candidate_id, '[A-Za-z0-9_-]{1,128}'), false) OR
+             (trusted_parent_snapshot_hash IS NOT NULL AND NOT regexp_full_match(trusted_parent_snapshot_hash, '[0-9a-f]{64}'))) THEN 'lineage' END AS problem
+    FROM manifests""")
+def manifest_check(spark, d):
+    m = table(spark, d, "manifests")
+    return m.select("target_identity", "generation", "manifest_kind", "candidate_id", history.manifest_problem(m).alias("problem"))
+
+
+@query("""
+    WITH t AS (SELECT target_identity, arg_max(snapshot_hash, (created_at, generation, snapshot_hash)) AS trusted FROM manifests WHERE manifest_kind = 'trusted' GROUP BY 1),
+    c AS (SELECT target_identity, candidate_id, arg_max(snapshot_hash, (created_at, snapshot_hash)) AS h, arg_max(coalesce(trusted_parent_snapshot_hash, 'NO_PARENT'), (created_at, snapshot_hash)) AS p
+          FROM manifests WHERE manifest_kind = 'candidate' GROUP BY 1, 2)
+    SELECT target_identity, candidate_id, CASE WHEN nullif(p, 'NO_PARENT') IS DISTINCT FROM trusted THEN 'trusted' ELSE 'match' END AS promotion FROM c LEFT JOIN t USING (target_identity)""")
+def promotion_check(spark, d):
+    """Every candidate, asked for by its own hashes: only the latest trusted snapshot may disagree."""
+    m = table(spark, d, "manifests")
+    latest = F.max(F.struct("created_at", "snapshot_hash", F.coalesce("trusted_parent_snapshot_hash", F.lit("NO_PARENT")).alias("parent"))).alias("c")
+    asked = m.filter("manifest_kind = 'candidate'").groupBy("target_identity", "candidate_id").agg(latest)
+    requests = asked.select("target_identity", "candidate_id", F.col("c.snapshot_hash").alias("expected_hash"), F.col("c.parent").alias("expected_parent"))
+    return history.promotable(m, requests).select("target_identity", "candidate_id", "promotion")
+
+
 @query("""
     SELECT target_identity, entry_id, place FROM (
         SELECT target_identity, entry_id, row_number() OVER (PARTITION BY target_identity ORDER BY entry_id DESC) AS place
@@ -462,6 +493,47 @@ def weekly_window(spark, d):
     return rows.groupBy("user_id", "window_start").agg(F.count(F.lit(1)).alias("events"), F.min("week_day").alias("first_day"))
 
 
+@query("""
+    SELECT user_id, CAST(date_trunc('week', timezone('America/New_York', timezone('UTC', ts))) AS DATE)::VARCHAR AS window_start, count(*) AS events,
+           CAST(min(isodow(timezone('America/New_York', timezone('UTC', ts)))) AS INT) AS first_day FROM events GROUP BY 1, 2""")
+def weekly_window_zone(spark, d):
+    rows = weekly.windows(table(spark, d, "events"), "ts", "America/New_York")
+    return rows.groupBy("user_id", "window_start").agg(F.count(F.lit(1)).alias("events"), F.min("week_day").alias("first_day"))
+
+
+def _by_destination(spark, d, mode: str | None = None):
+    """Changes with their payload's destination, of one mode or of all."""
+    p = table(spark, d, "webhook_payloads").filter(F.lit(True) if mode is None else F.col("delivery_mode") == mode)
+    c = table(spark, d, "digest_changes").select(
+        "payload_row", "change_id", reports.severity_rank(F.col("severity")).alias("rank"), F.col("confidence_score").alias("confidence"), F.col("change_row").alias("row_no")
+    )
+    return c.join(p.select("payload_row", F.col("destination_hash").alias("destination")), "payload_row").drop("payload_row")
+
+
+_PEND = f"""SELECT p.destination_hash AS destination, c.change_id, {_RANK} AS rank, c.confidence_score AS confidence, c.change_row, p.delivery_mode
+    FROM digest_changes c JOIN webhook_payloads p USING (payload_row) WHERE c.change_id IS NOT NULL"""
+_PEND_ORDER = "rank DESC NULLS LAST, confidence DESC NULLS LAST, change_id"
+
+
+@query(f"""
+    WITH u AS (SELECT *, CASE WHEN delivery_mode = 'weekly_digest' THEN 0 ELSE 1 END AS side FROM ({_PEND}) WHERE delivery_mode IN ('weekly_digest', 'immediate')
+               QUALIFY row_number() OVER (PARTITION BY destination, change_id ORDER BY side, change_row) = 1)
+    SELECT destination, change_id, CAST(side AS INT) AS side, row_number() OVER (PARTITION BY destination ORDER BY {_PEND_ORDER}) AS place FROM u QUALIFY place <= 100""")
+def pending_merge(spark, d):
+    """What the weekly digests hold before what came at once: old before new, each change once."""
+    old, new = _by_destination(spark, d, "weekly_digest"), _by_destination(spark, d, "immediate")
+    return weekly.merged_pending(old, new).select("destination", "change_id", "side", "place")
+
+
+@query(f"""
+    WITH u AS (SELECT * FROM ({_PEND}) WHERE destination IS NOT NULL QUALIFY row_number() OVER (PARTITION BY destination, change_id ORDER BY change_row) = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY destination ORDER BY {_PEND_ORDER}) AS place FROM u)
+    SELECT destination, count(*) AS total, sha256('{{"destination":"' || destination || '","changes":' || CAST(to_json(list(change_id ORDER BY place) FILTER (WHERE place <= 10)) AS VARCHAR) || '}}') AS delivery_id
+    FROM r GROUP BY destination""")
+def immediate_deliveries(spark, d):
+    return weekly.immediate(_by_destination(spark, d)).select("destination", "total", "delivery_id")
+
+
 @query("""
     SELECT user_id AS destination, window_start, change_id, place FROM (
         SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(date_trunc('week', timezone('UTC', ts)) AS DATE)::VARCHAR AS window_start,
@@ -718,12 +790,34 @@ def ip_range_block(spark, d):
     return net.with_network(written.withColumn("ip", net.ipv4_number(F.col("address"))), "ip").select("o_orderkey", "address", "network")
 
 
+_FORMS = """SELECT o_orderkey, (o_orderkey * 2654435761) % 4294967296 AS ip FROM orders"""
+
+
+@query(f"""
+    WITH a AS ({_FORMS}), n AS ({_NETS}),
+    w AS (SELECT o_orderkey, ip, unnest([CAST(ip AS VARCHAR), '0x' || printf('%x', ip), '0' || printf('%o', ip), (ip >> 24) || '.' || (ip & 16777215), (ip >> 24) || '.' || ((ip >> 16) & 255) || '.' || (ip & 65535)]) AS written FROM a)
+    SELECT o_orderkey, written, 'v4' AS host_kind, n.network AS blocked_by FROM w LEFT JOIN n ON ip BETWEEN low AND high""")
+def ip_forms(spark, d):
+    """Every address of :func:`ip_range_block` in five other forms: the network found is the same."""
+    ip = (F.col("o_orderkey") * F.lit(2654435761)) % F.lit(4294967296)
+    forms = F.array(
+        ip.cast("string"),
+        F.concat(F.lit("0x"), F.lower(F.hex(ip))),
+        F.concat(F.lit("0"), F.conv(ip.cast("string"), 10, 8)),
+        F.concat_ws(".", F.shiftright(ip, 24).cast("string"), ip.bitwiseAND(16777215).cast("string")),
+        F.concat_ws(".", F.shiftright(ip, 24).cast("string"), F.shiftright(ip, 16).bitwiseAND(255).cast("string"), ip.bitwiseAND(65535).cast("string")),
+    )
+    written = table(spark, d, "orders").select("o_orderkey", F.explode(forms).alias("written"))
+    return net.inspected(written, "written").select("o_orderkey", "written", "host_kind", "blocked_by")
+
+
 @query("""
-    SELECT host, host IN ('localhost') OR regexp_matches(host, '(?:\\.localhost|\\.local|\\.internal|\\.home|\\.lan|\\.arpa)$') AS blocked, count(*) AS pages
+    SELECT host, count(*) AS pages, CASE WHEN host IS NOT NULL THEN 'name' END AS host_kind,
+           CASE WHEN host = 'localhost' OR regexp_matches(host, '(?:\\.localhost|\\.local|\\.internal|\\.home|\\.lan|\\.arpa)$') THEN host END AS blocked_by
     FROM extracted_pages GROUP BY host""")
 def host_suffix_block(spark, d):
-    h = net.host_name(F.col("host"))
-    return table(spark, d, "extracted_pages").groupBy("host").agg(F.count(F.lit(1)).alias("pages")).select("host", net.host_blocked(h).alias("blocked"), "pages")
+    hosts = table(spark, d, "extracted_pages").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    return net.inspected(hosts, "host").select("host", "pages", "host_kind", "blocked_by")
 
 
 @query("""

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of a robots file that are read, as the standard has it.
-MAX_BYTES = 512_000
+#: Bytes of a robots file that is read; a longer one can't be judged, so nothing is allowed.
+MAX_BYTES = 262_144
+#: Statuses of a host without rules, and of one that refuses to show them.
+NO_RULES, REFUSED = (204, 404, 410), (401, 403)
 
 
 @lru_cache(maxsize=10_000)
@@ -20,7 +22,7 @@ def parse(body: str) -> tuple[tuple[frozenset[str], tuple[tuple[bool, str], ...]
     """Groups of agents with their rules (allowed, path pattern) in order."""
     groups: list[tuple[set[str], list[tuple[bool, str]]]] = []
     open_ = False
-    for line in body[:MAX_BYTES].splitlines():
+    for line in body.splitlines():
         field, colon, value = line.split("#", 1)[0].partition(":")
         field, value = field.strip().lower(), value.strip()
         if not colon:
@@ -47,10 +49,12 @@ def _pattern(rule: str) -> re.Pattern:
 def allowed(body: str | None, agent: str, path: str | None) -> bool:
     """Whether an agent may read a path: the longest rule decides, an allowing one on ties.
 
-    Without a file, a group or a rule everything is allowed.
+    Without a file, a group or a rule everything is allowed; with too long a file nothing is.
     """
     if not body:
         return True
+    if len(body.encode()) > MAX_BYTES:
+        return False
     groups = parse(body)
     mine = [r for a, rules in groups if agent.lower() in a for r in rules]
     if not any(agent.lower() in a for a, _ in groups):
@@ -68,7 +72,27 @@ def may_read(body: Column, agent: str, path: Column) -> Column:
     return F.pandas_udf(batch, T.BooleanType())(body, path)
 
 
+def by_status(status: Column) -> Column:
+    """Whether a robots file's status alone decides: true or false; null if the file has to be read.
+
+    Only a missing or empty file allows everything. A refusal, an error or an unknown status doesn't.
+    """
+    return (
+        F.when(status.isin(*NO_RULES), True)
+        .when(status.isNull() | ~status.between(200, 299), False)
+    )
+
+
 def readable(pages: DataFrame, files: DataFrame, agent: str) -> DataFrame:
-    """Pages (host, path, …) that their host's file (host, robots) lets the agent read."""
-    joined = pages.join(files.select("host", F.col("robots").alias("robots_")), "host", "left")
-    return joined.filter(may_read(F.col("robots_"), agent, F.col("path"))).drop("robots_")
+    """Pages (host, path, …) that their host's file (host, robots) lets the agent read.
+
+    If ``files`` has a column ``status``, it decides first, and hosts without a row can't be read.
+    Without it a host that has no row has no rules.
+    """
+    has_status = "status" in files.columns
+    status = F.col("status") if has_status else F.lit(200)
+    known = files.select("host", F.col("robots").alias("robots_"), status.alias("robots_status_"))
+    joined = pages.join(known, "host", "left")
+    rules = may_read(F.col("robots_"), agent, F.col("path"))
+    fine = F.coalesce(by_status(F.col("robots_status_")), rules) if has_status else rules
+    return joined.filter(fine).drop("robots_", "robots_status_")
