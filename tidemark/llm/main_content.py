@@ -154,8 +154,6 @@ def is_sentence(text: str) -> bool:
 
 def menu_entries(text: str) -> int:
     """Number of short entries that separators join; 0 for less than three, or for other text."""
-    if not _SEPARATOR.search(text):
-        return 0
     parts = [p for p in _SEPARATOR.split(text) if p]
     return len(parts) if len(parts) >= 3 and all(len(p) <= _ENTRY and not p.endswith(".") for p in parts) else 0
 
@@ -178,7 +176,7 @@ def _line(text: str, host: str) -> Line:
     words = plain.count(" ") + 1 + wide // 3
     ended = bool(_END.search(plain[-8:]))
     sentence = ended and is_sentence(plain)
-    parted = bool(_SEPARATOR.search(plain))
+    parted = not sentence and bool(_SEPARATOR.search(plain))
     dated = not sentence and bool(figures) and bool(_DATE.search(plain) or _PRICE.search(plain))
     return Line(
         text,
@@ -234,24 +232,23 @@ def _item(x: Line) -> bool:
     return not x.ended and not x.valued and not x.entries and len(x.text) <= _SHORT
 
 
-def smooth(values: list[float], sigma: float = SIGMA, places: list[float] | None = None) -> list[float]:
-    """Gaussian smoothing with the kernel renormalised; ``places`` of the values if not 0, 1, 2, ..."""
+@lru_cache(maxsize=8)
+def _kernel(sigma: float) -> tuple[float, ...]:
+    """Weights of the neighbours on one side, up to three widths away."""
+    return tuple(math.exp(-k * k / (2 * sigma * sigma)) for k in range(1, int(3 * sigma) + 1))
+
+
+def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
+    """Gaussian smoothing with the kernel renormalised at both ends."""
     n = len(values)
-    at = places or list(range(n))
-    reach = 3 * sigma + 1e-9
-    scale = 2 * sigma * sigma
-    out = []
-    for i in range(n):
-        total, weight = values[i], 1.0
-        for step in (-1, 1):
-            j = i + step
-            while 0 <= j < n and abs(at[j] - at[i]) <= reach:
-                w = math.exp(-((at[j] - at[i]) ** 2) / scale)
-                total += w * values[j]
-                weight += w
-                j += step
-        out.append(total / weight)
-    return out
+    total, weight = list(values), [1.0] * n
+    for k, w in enumerate(_kernel(sigma), 1):
+        for i in range(n - k):
+            total[i] += w * values[i + k]
+            total[i + k] += w * values[i]
+            weight[i] += w
+            weight[i + k] += w
+    return [t / w for t, w in zip(total, weight, strict=True)]
 
 
 def log_ratio(weight: float, tags: float) -> float:
@@ -274,7 +271,7 @@ def line_scores(lines: list[Line], lookup) -> tuple[list[float], list[bool]]:
     """Smoothed log ratios of a page's lines, and which lines were unsure by themselves.
 
     ``lookup`` gives what is known of a line. Lines that the site repeats, before the body begins,
-    take no place: a notice between a heading and its body doesn't part them.
+    are left out of the smoothing: a notice between a heading and its body doesn't part them.
     """
     menu = top_menu(lines)
     ratios, cut, unsure = [], [], []
@@ -282,7 +279,7 @@ def line_scores(lines: list[Line], lookup) -> tuple[list[float], list[bool]]:
     in_list = False
     for i, x in enumerate(lines):
         known = lookup(x)
-        f = repeated(x, known)
+        f = 0.0 if known is _NOTHING else repeated(x, known)
         heading = False  # an entry of the menu that stands elsewhere
         if x.label and known.menu:
             f, heading = (1.0, False) if i < menu else (0.0, True)
@@ -290,11 +287,11 @@ def line_scores(lines: list[Line], lookup) -> tuple[list[float], list[bool]]:
             f, heading = 0.0, True
         if known.opener:
             f = 1.0
-        tags = x.tags + f * (TAGS + TAGS_WORD * x.words)
+        tags = x.tags + f * (TAGS + TAGS_WORD * x.words) if f else x.tags
         joined = x.entries
         if joined:
             entries.update(_SEPARATOR.split(x.text))
-        elif x.parted and not x.sentence:
+        elif x.parted:
             parts = _SEPARATOR.split(x.text)
             joined = len(parts) if len(parts) > 2 or lookup(line_of(parts[0] or " ", "")).share > 0.2 else 0
         if joined:
@@ -313,15 +310,13 @@ def line_scores(lines: list[Line], lookup) -> tuple[list[float], list[bool]]:
         unsure.append(open_)
         cut.append((f >= 0.9 or joined > 0) and not known.opener)
     out = list(ratios)
-    places, kept, at, begun = [], [], 0, False
+    kept, begun = [], False
     for i, ratio in enumerate(ratios):
         if cut[i] and not begun:
             continue
         kept.append(i)
-        places.append(at)
-        at += 1
         begun = begun or ratio > BODY
-    for i, v in zip(kept, smooth([ratios[i] for i in kept], SIGMA, places), strict=True):
+    for i, v in zip(kept, smooth([ratios[i] for i in kept]), strict=True):
         if not cut[i]:
             out[i] = v
     return out, unsure
