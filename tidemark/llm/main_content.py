@@ -384,8 +384,8 @@ class Page(NamedTuple):
     sections: list[int]
 
 
-def read_page(visible: str | None, sections: list[str | None] | None, host: str, lookup) -> Page:
-    """Content lines and sections of a page.
+def read_page(visible: str | None, sections: list[str | None] | None, host: str, lookup, only_lines: bool = False) -> Page:
+    """Content lines and sections of a page; with ``only_lines`` sections are only asked about unsure lines.
 
     A section is one block and of one kind: its lines above the threshold against those below,
     by their characters. Lines that were unsure don't vote where others do, and follow the others.
@@ -394,7 +394,7 @@ def read_page(visible: str | None, sections: list[str | None] | None, host: str,
     scores, unsure = line_scores(lines, lookup)
     verdict = [s > 0 for s in scores]
     found: list[tuple[int, list[int], str]] = []
-    if sections is not None and len(sections):
+    if sections is not None and len(sections) and (not only_lines or any(unsure)):
         texts = [" ".join(x.text.split()) for x in lines]
         for k, section in enumerate(sections):
             joined = " ".join((section or "").split())
@@ -412,7 +412,7 @@ def read_page(visible: str | None, sections: list[str | None] | None, host: str,
                     if unsure[i]:
                         verdict[i] = weight > 0
     kept = []
-    for k, used, joined in found:
+    for k, used, joined in [] if only_lines else found:
         if used:
             keep = sum((1 + len(texts[i])) * (1 if verdict[i] else -1) for i in used) > 0
         else:

@@ -103,7 +103,9 @@ def open_slot(text: str) -> bool:
 def is_raw(text: str) -> bool:
     """Whether a line is a raw key, or has a raw or empty value where a text or number belongs."""
     text = text.strip()
-    return bool(RAW_START.match(text)) or any(w in text for w in RAW_WORDS) and bool(RAW_WITHIN.search(text))
+    if RAW_START.match(text):
+        return True
+    return ("null" in text or "NaN" in text or "undefined" in text or any(w in text for w in RAW_WORDS)) and bool(RAW_WITHIN.search(text))
 
 
 def is_filler(text: str) -> bool:
@@ -144,14 +146,15 @@ def leaf(masked: str) -> int:
 
 #: One row a page: what its title and lines hold, and its content area if it may stand alone or holds messages.
 _SCHEMA = (
-    "page_id long, host_id long, reason string, short boolean, few boolean, leaves array<long>, real array<boolean>, cues array<boolean>"
+    "page_id long, host_id long, reason string, short boolean, few boolean, lines int, reals int, leaves array<long>, "
+    "real array<boolean>, cues array<boolean>"
 )
 _ORDER = ("slot", "raw", "filler")
 
 
 def _page(page, lookup) -> list[tuple]:
     sections = None if page.sections is None else list(page.sections)
-    read = main_content.read_page(page.visible_text, sections, page.host or "", lookup)
+    read = main_content.read_page(page.visible_text, sections, page.host or "", lookup, only_lines=True)
     area = [x for x, keep in zip(read.lines, read.content, strict=True) if keep]
     # What a template left is no link, so lines that were unsure by themselves are read as well.
     kinds = {residue(x.text) for x, keep, open_ in zip(read.lines, read.content, read.unsure, strict=True) if keep or open_}
@@ -160,13 +163,16 @@ def _page(page, lookup) -> list[tuple]:
         kinds.add(residue(title))
     reason = next((k for k in _ORDER if k in kinds), None)
     value = [x.valued and not _STATUS.match(x.text) for x in area]
+    reals = sum(x.sentence or v for x, v in zip(area, value, strict=True))
     short = len(area) <= ALONE_LINES and not any(v or x.words > ALONE_WORDS for x, v in zip(area, value, strict=True))
     few = sum(len(x.text) for x in area) <= ALONE_CHARACTERS
     told = short and few and title.count(" ") < DEPTH and bool(CUES.search(title))
-    leaves = [leaf(x.masked) for x in area]
-    real = [x.sentence or v for x, v in zip(area, value, strict=True)]
-    cues = [short and few and (told or bool(CUES.search(x.text))) for x in area]
-    return [(page.page_id, page.host_id, reason, short, few, leaves, real, cues)]
+    # Longer lines are no messages, so they need no template.
+    held = [(x, v) for x, v in zip(area, value, strict=True) if x.words <= ALONE_WORDS]
+    leaves = [leaf(x.masked) for x, _ in held]
+    real = [x.sentence or v for x, v in held]
+    cues = [short and few and (told or bool(CUES.search(x.text))) for x, _ in held]
+    return [(page.page_id, page.host_id, reason, short, few, len(area), reals, leaves, real, cues)]
 
 
 def message_templates(pages: DataFrame) -> DataFrame:
@@ -206,27 +212,29 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     made = cut_lineage(main_content.over_sites(pages, _page, _SCHEMA))
     made = made.withColumn("page", F.xxhash64("page_id", "leaves"))
     lines = made.filter("reason IS NULL").select(
-        "page", "page_id", "short", "few", F.posexplode("leaves").alias("at", "leaf"), "real", "cues"
+        "page", "page_id", "short", "few", F.col("lines").alias("lines_"), "reals", F.posexplode("leaves").alias("at", "leaf"), "real", "cues"
     )
     judged = lines.join(message_templates(made), "leaf", "left").select(
         "page",
         "page_id",
         "short",
         "few",
+        F.col("lines_").alias("lines"),
+        "reals",
         F.coalesce("message", F.lit(False)).alias("message"),
         F.coalesce(~F.col("message"), F.lit(False)).alias("ordinary"),
         F.get("real", F.col("at")).alias("real"),
         (F.col("message").isNull() & F.get("cues", F.col("at"))).alias("cue"),
     )
     told = (
-        judged.groupBy("page", "page_id", "short", "few")
+        judged.groupBy("page", "page_id", "short", "few", "lines", "reals")
         .agg(
             F.count_if("message").alias("messages"),
-            F.count_if(F.col("real") & ~F.col("message")).alias("reals"),
-            (2 * F.count_if(F.col("message") | F.col("cue")) >= F.count(F.lit(1))).alias("mostly"),
+            F.count_if(F.col("real") & F.col("message")).alias("real_messages"),
+            (2 * F.count_if(F.col("message") | F.col("cue")) >= F.col("lines")).alias("mostly"),
             F.count_if("ordinary").alias("ordinary"),
         )
-        .filter(((F.col("messages") > 0) & (F.col("reals") <= F.col("messages"))) | (F.col("short") & F.col("few") & F.col("mostly") & (F.col("ordinary") == 0)))
+        .filter(((F.col("messages") > 0) & (F.col("reals") - F.col("real_messages") <= F.col("messages"))) | (F.col("short") & F.col("few") & F.col("mostly") & (F.col("ordinary") == 0)))
         .select("page_id", F.lit("message").alias("reason"))
     )
     return made.filter("reason IS NOT NULL").select("page_id", "reason").unionByName(told).groupBy("page_id").agg(
