@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, net, numbers, text, urls
+from tidemark.operators import history, reports
 
 
 def run(spark, fn, *values):
@@ -115,3 +116,28 @@ def test_origins(spark):
     df = spark.createDataFrame([("https://A.example:443/x?q", ["http://b.example:80", "https://a.example/y", "nonsense", None]), (None, None)], "u string, more array<string>")
     got = [r.o for r in df.select(urls.allowed_origins(F.col("u"), F.col("more")).alias("o")).collect()]
     assert got == [["http://b.example", "https://a.example"], []]
+
+
+def test_small_rules(spark):
+    assert run(spark, lambda c: text.clean_id(c, 4, F.lit("none")), "a b!c-d", "%%", None) == ["abc-", "none", "none"]
+    df = spark.createDataFrame([(408,), (429,), (500,), (404,), (None,)], "s int")
+    assert [r.t for r in df.select(numbers.transient_status(F.col("s")).alias("t")).collect()] == [True, True, True, False, None]
+    assert [history.chunk_size(n) for n in (None, 1, 100_000, 10**9)] == [524_288, 65_536, 100_000, 524_288]
+    assert run(spark, lambda c: history.too_many_chunks(c, 2), "x" * 64, "x" * 65, None) == [False, True, None]
+
+
+def test_last_entries_by_instant(spark):
+    rows = [("t", 1, "h", "s", 50), ("t", 2, "h", "s", None), ("t", 3, "h", "s", 10), ("t", 3, "h", "s", 10)]
+    df = spark.createDataFrame(rows, "target_identity string, entry_id long, snapshot_hash string, check_status string, at long")
+    assert [r.entry_id for r in history.last_entries(df, 2, "at").orderBy("place").collect()] == [1, 3]
+    assert [r.entry_id for r in history.last_entries(df, 2).orderBy("place").collect()] == [3, 2]
+
+
+def test_markdown_document(spark):
+    schema = "change_row long, change_id string, target_name string, target_url string, field_path string, severity string, confidence_score int"
+    rows = [(1, "a", "Shop *1*", "https://x.example/", "f", "high", 9), (2, "a", "Shop", "u", "f", "low", 1), (3, None, "n", "u", "f", "low", 1)]
+    df = spark.createDataFrame(rows, schema)
+    got = reports.markdown_document(df, "Digest", "2026-01-01T00:00:00.000Z", "https://runs.example/r?token=x").first().document
+    assert got.startswith("# Digest\n\nGenerated: 2026-01-01T00:00:00.000Z\nChanged targets: 1\nMaterial changes: 1\n\n## 1. Shop \\*1\\* - high")
+    assert got.endswith("Run: https://runs.example/r") and "token" not in got
+    assert "No material changes" in reports.markdown_document(df.limit(0), "D", "x").first().document

@@ -235,13 +235,29 @@ def is_hash(col: Column) -> Column:
     return col.rlike(HEX_HASH)
 
 
-def state_key(prefix: str, *parts: Column, length: int = 64) -> Column:
-    """Key of a stored state: a prefix and the hash of its parts as a JSON array; a null part is JSON null."""
-    text = F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(json_string(p), F.lit("null")) for p in parts]), F.lit("]"))
-    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(text, 256), 1, length))
-
-
 def json_string(col: Column) -> Column:
     """JSON text of a string, with all control characters escaped; null of null."""
     made = F.to_json(F.struct(col.alias("v")))
     return F.when(col.isNotNull(), F.substring(made, 6, 2_000_000_000).substr(F.lit(1), F.length(made) - 6))
+
+
+def manifest_key(identity: Column, candidate: Column | None = None) -> Column:
+    """Key under which a target's trusted manifest is stored, or one of its candidates."""
+    if candidate is None:
+        return F.concat(F.lit("trusted-baseline-v1-manifest-"), identity)
+    return F.concat(F.lit("candidate-baseline-v1-manifest-"), identity, F.lit("-"), F.substring(F.sha2(candidate, 256), 1, 24))
+
+
+def weekly_key(destination: Column, zone: Column, day: Column) -> Column:
+    """Key of a destination's weekly state in a zone and for a weekday."""
+    body = F.concat(
+        F.lit('{"destinationHash":'), json_string(destination), F.lit(',"timezone":'), json_string(zone), F.lit(',"deliveryDay":'), day.cast("string"), F.lit("}")
+    )
+    return F.concat(F.lit("weekly-digest-v1-"), F.substring(F.sha2(body, 256), 1, 40))
+
+
+def candidate_name(made_at: Column, ident: Column) -> Column:
+    """Id of a candidate from the time it was made and a random id."""
+    stamp = F.substring(F.regexp_replace(made_at, "[^0-9]", ""), 1, 14)
+    safe = F.substring(F.regexp_replace(ident, "[^A-Za-z0-9_-]", ""), 1, 24)
+    return F.concat(F.lit("candidate-"), stamp, F.lit("-"), safe)

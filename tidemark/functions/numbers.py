@@ -61,3 +61,8 @@ def backoff_ms(attempt: Column, first: int = 250, most: int = 2_000) -> Column:
 
 def clamp(col: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), col))
+
+
+def transient_status(col: Column) -> Column:
+    """Whether an HTTP status may be gone at the next try: 408, 429 and 500 or more; null of null."""
+    return col.isin(408, 429) | (col >= 500)

@@ -254,6 +254,7 @@ def csv_cell(col: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def clean_id(col: Column, length: int = 64) -> Column:
-    """Only letters, digits, - and _ kept; null if none is left."""
-    return F.nullif(F.substring(F.regexp_replace(col, "[^A-Za-z0-9_-]", ""), 1, length), F.lit(""))
+def clean_id(col: Column, length: int = 64, fallback: Column | None = None) -> Column:
+    """Only letters, digits, - and _ kept; the fallback, or null, if none is left."""
+    made = F.nullif(F.substring(F.regexp_replace(col, "[^A-Za-z0-9_-]", ""), 1, length), F.lit(""))
+    return made if fallback is None else F.coalesce(made, fallback)

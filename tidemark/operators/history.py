@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import canon
 from tidemark.operators import facts
 
-#: Entries of a history that stay, and bytes of a chunk.
-HISTORY, CHUNK = 30, 512 * 1024
+#: Entries of a history that stay, bytes of a chunk, fewest bytes of one, and most chunks of a text.
+HISTORY, CHUNK, LEAST_CHUNK, CHUNKS = 30, 512 * 1024, 64 * 1024, 32
+
+
+def chunk_size(wanted: int | None = None) -> int:
+    """Bytes of a stored chunk: what is wanted within its bounds."""
+    return min(max(CHUNK if wanted is None else wanted, LEAST_CHUNK), CHUNK)
 
 
 #: Forms of a generation and of a candidate's id.
@@ -84,12 +89,17 @@ def latest_trusted(manifests: DataFrame) -> DataFrame:
     )
 
 
-def last_entries(history: DataFrame, limit: int = HISTORY) -> DataFrame:
-    """Last entries per target by entry id, repeated rows once."""
+def last_entries(history: DataFrame, limit: int = HISTORY, at: str | None = None) -> DataFrame:
+    """Last entries per target, repeated rows once: by the instant ``at`` if it is given, then by entry id.
+
+    Entries without an instant are the oldest.
+    """
+    times = [] if at is None else [F.max(at).alias("at_")]
     once = history.groupBy("target_identity", "entry_id").agg(
-        F.min("snapshot_hash").alias("snapshot_hash"), F.min("check_status").alias("check_status")
+        F.min("snapshot_hash").alias("snapshot_hash"), F.min("check_status").alias("check_status"), *times
     )
-    return facts.top_per_group(once, ["target_identity"], [F.col("entry_id").desc()], limit)
+    order = [*([] if at is None else [F.col("at_").desc_nulls_last()]), F.col("entry_id").desc()]
+    return facts.top_per_group(once, ["target_identity"], order, limit)
 
 
 def lineage(manifests: DataFrame) -> DataFrame:
@@ -118,7 +128,11 @@ def spacing(events: DataFrame, key: str, at: str, tie: str) -> DataFrame:
 
 
 def chunks(df: DataFrame, key: str, payload: str, size: int = CHUNK) -> DataFrame:
-    """UTF-8 bytes of a text in chunks: (key, idx, byte_length, sha256, chunk)."""
+    """UTF-8 bytes of a text in chunks: (key, idx, byte_length, sha256, chunk).
+
+    For a store, ``size`` is that of :func:`chunk_size`; :func:`too_many_chunks` tells which texts
+    it refuses.
+    """
     data = F.encode(F.col(payload), "UTF-8")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length(data) - 1) / size)).cast("int"))
     parts = F.transform(starts, lambda i: F.substring(data, i * size + 1, F.lit(size)))
@@ -129,6 +143,11 @@ def chunks(df: DataFrame, key: str, payload: str, size: int = CHUNK) -> DataFram
     )
 
 
+def too_many_chunks(payload: Column, size: int = CHUNK) -> Column:
+    """Whether a text needs more chunks than a store takes; null of null."""
+    return F.ceil(F.octet_length(F.encode(payload, "UTF-8")) / size) > CHUNKS
+
+
 def reassemble(parts: DataFrame, key: str) -> DataFrame:
     """Texts of :func:`chunks` in order, with whether every chunk has its hash and none is missing.
 

@@ -78,6 +78,34 @@ def review_rows(changes: DataFrame, columns: list[str]) -> DataFrame:
     return changes.select("change_row", line.alias("line"))
 
 
+#: Columns of a review file, of the report and of its change.
+REVIEW_REPORT = ("target_name", "target_url", "status", "checked_at")
+REVIEW_CHANGE = ("category", "field_path", "previous", "current", "delta_percent", "severity", "confidence_score")
+
+
+def review_lines(reports: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Lines of a review file as (part, report, line_no, line): the header, then one line per change.
+
+    ``reports`` has ``key`` and REVIEW_REPORT, ``changes`` has ``key``, ``change_row`` and
+    REVIEW_CHANGE. A report without changes has one line with the change's cells empty. The file
+    is the lines in the order of part, report and line_no.
+    """
+    held = changes.select(F.col(key).alias("key_"), F.col("change_row").alias("line_no"), *REVIEW_CHANGE)
+    own = reports.select(F.col(key).alias("report"), *REVIEW_REPORT)
+    rows = own.join(held, F.col("report") == F.col("key_"), "left").drop("key_")
+    cells = [text.csv_cell(F.col(c)) for c in (*REVIEW_REPORT, *REVIEW_CHANGE)]
+    lines = rows.select(F.lit(1).alias("part"), F.col("report"), "line_no", F.concat_ws(",", *cells).alias("line"))
+    header = ",".join(f'"{c}"' for c in (*REVIEW_REPORT, *REVIEW_CHANGE))
+    kinds = dict(lines.dtypes)
+    top = reports.sparkSession.range(1).select(
+        F.lit(0).alias("part"),
+        F.lit(None).cast(kinds["report"]).alias("report"),
+        F.lit(None).cast(kinds["line_no"]).alias("line_no"),
+        F.lit(header).alias("line"),
+    )
+    return top.unionByName(lines)
+
+
 def markdown_sections(changes: DataFrame, limit: int = SECTIONS) -> DataFrame:
     """One Markdown section per change of a digest with its place."""
     esc = text.escape_markdown
@@ -102,6 +130,27 @@ def markdown_sections(changes: DataFrame, limit: int = SECTIONS) -> DataFrame:
     return placed.select("place", body.alias("section"))
 
 
+def markdown_document(changes: DataFrame, title: str, generated_at: str, run: str | None = None) -> DataFrame:
+    """The digest as one Markdown text: title, counts, sections, the run's link; redacted, 50,000 characters at most.
+
+    The text is made of the first SECTIONS sections only, so it is bounded whatever the changes.
+    """
+    sections = markdown_sections(changes).groupBy().agg(
+        F.array_sort(F.collect_list(F.struct("place", "section"))).alias("s")
+    )
+    unique = unique_changes(changes).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target_url").alias("t"))
+    head = F.concat(
+        F.lit(f"# {title}\n\nGenerated: {generated_at}\nChanged targets: "), F.col("t"), F.lit("\nMaterial changes: "), F.col("n"), F.lit("\n\n")
+    )
+    body = F.when(F.col("n") == 0, "No material changes met the selected threshold.\n").otherwise(
+        F.array_join(F.transform("s", lambda x: x["section"]), "\n")
+    )
+    link = urls.run_url(F.lit(run))
+    end = F.when(link.isNotNull(), F.concat(F.lit("\nRun: "), link, F.lit("\n"))).otherwise(F.lit(""))
+    made = F.substring(F.concat(head, body, end), 1, text.MAX_TEXT)
+    return unique.withColumn("one_", F.lit(0)).join(sections.withColumn("one_", F.lit(0)), "one_").select(text.redact(made, text.MAX_TEXT).alias("document"))
+
+
 def write_outputs(changes: DataFrame, folder: str, columns: list[str]) -> None:
     """Digest as JSON, sections as text and review lines as text, below a folder."""
     digest(changes).coalesce(1).write.mode("overwrite").json(f"{folder}/digest")

@@ -265,6 +265,18 @@ def target_identity_hash(spark, d):
     return t.select("target_identity", config.identity_hash(t).alias("identity_hash"))
 
 
+@query("""
+    SELECT target_identity, generation, fact_id, row_number() OVER (PARTITION BY target_identity, generation ORDER BY fact_id COLLATE en, fact_id) AS place
+    FROM (SELECT DISTINCT target_identity, generation, fact_id FROM facts)""")
+def fact_order(spark, d):
+    """Facts of a snapshot in dictionary order, as they are stored."""
+    from pyspark.sql import Window
+
+    over = Window.partitionBy("target_identity", "generation").orderBy(facts.in_order("fact_id"), "fact_id")
+    keys = table(spark, d, "facts").select("target_identity", "generation", "fact_id").distinct()
+    return keys.withColumn("place", F.row_number().over(over))
+
+
 @query("""
     SELECT target_identity, generation, count(*) AS facts, count(DISTINCT fact_id) AS ids, count(DISTINCT category) AS categories,
            count(*) FILTER (WHERE fact_value IS NULL) AS null_values, max(ord) AS last_ord
@@ -340,25 +352,57 @@ def severity_zero_fill(spark, d):
     return reports.zero_filled(of_reports, "highest_severity", reports.SEVERITIES)
 
 
-@query("SELECT check_status, count(DISTINCT entry_id) AS n FROM evidence_history GROUP BY check_status")
+@query("""
+    SELECT check_status, n, row_number() OVER (ORDER BY check_status COLLATE en NULLS LAST) AS place
+    FROM (SELECT check_status, count(DISTINCT entry_id) AS n FROM evidence_history GROUP BY check_status)""")
 def status_counts(spark, d):
-    return table(spark, d, "evidence_history").groupBy("check_status").agg(F.countDistinct("entry_id").alias("n"))
+    """Counts of the statuses in dictionary order; the few counts are ordered after the aggregation."""
+    counts = table(spark, d, "evidence_history").groupBy("check_status").agg(F.countDistinct("entry_id").alias("n"))
+    order = [facts.in_order("check_status").asc_nulls_last()]
+    return facts.top_per_group(counts.withColumn("all_", F.lit(0)), ["all_"], order, 1_000).select("check_status", "n", "place")
 
 
-_CELL = """'"' || replace(CASE WHEN regexp_matches(coalesce({0}, ''), '^\\s*[=+@-]') THEN '''' || {0} ELSE coalesce({0}, '') END, '"', '""') || '"'"""
+@query("""
+    SELECT 'trusted-baseline-v1-manifest-' || target_identity AS trusted_key,
+           'candidate-baseline-v1-manifest-' || target_identity || '-' || left(sha256(candidate_id), 24) AS candidate_key,
+           'candidate-' || left(regexp_replace(strftime(timezone('UTC', created_at), '%Y-%m-%d %H:%M:%S'), '[^0-9]', '', 'g'), 14) || '-' || left(regexp_replace(generation, '[^A-Za-z0-9_-]', '', 'g'), 24) AS candidate_name
+    FROM manifests WHERE manifest_kind = 'candidate'""")
+def stored_keys(spark, d):
+    m = table(spark, d, "manifests").filter("manifest_kind = 'candidate'")
+    at = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")
+    return m.select(
+        canon.manifest_key(F.col("target_identity")).alias("trusted_key"),
+        canon.manifest_key(F.col("target_identity"), F.col("candidate_id")).alias("candidate_key"),
+        canon.candidate_name(at, F.col("generation")).alias("candidate_name"),
+    )
 
 
-@query(
-    "SELECT change_row, "
-    + " || ',' || ".join(
-        _CELL.format(f"CAST({c} AS VARCHAR)")
-        for c in ("target_name", "target_url", "category", "field_path", "severity", "confidence_score", "current_excerpt")
-    )
-    + " AS line FROM digest_changes"
-)
+@query("""
+    SELECT DISTINCT destination_hash, 'weekly-digest-v1-' || left(sha256('{"destinationHash":' || CAST(to_json(destination_hash) AS VARCHAR) || ',"timezone":"UTC","deliveryDay":1}'), 40) AS state_key
+    FROM webhook_payloads WHERE destination_hash IS NOT NULL""")
+def weekly_keys(spark, d):
+    p = table(spark, d, "webhook_payloads").filter("destination_hash IS NOT NULL").select("destination_hash").distinct()
+    return p.select("destination_hash", canon.weekly_key(F.col("destination_hash"), F.lit("UTC"), F.lit(1)).alias("state_key"))
+
+
+_CELL = """'"' || replace(CASE WHEN regexp_matches(coalesce({0}, ''), '^\\s*[=+@-]') THEN '\'\'' || {0} ELSE coalesce({0}, '') END, '"', '""') || '"'"""
+_REVIEW = ("destination_hash", "run_url", "delivery_mode", "generated_at", "category", "field_path", "previous_excerpt", "current_excerpt", "NULL", "severity", "confidence_score")
+
+
+@query(f"""
+    SELECT 0 AS part, NULL::BIGINT AS report, NULL::BIGINT AS line_no, '{",".join(f'"{c}"' for c in (*reports.REVIEW_REPORT, *reports.REVIEW_CHANGE))}' AS line
+    UNION ALL SELECT 1, p.payload_row, c.change_row, {" || ',' || ".join(_CELL.format(f"CAST({c} AS VARCHAR)") for c in _REVIEW)}
+    FROM webhook_payloads p LEFT JOIN digest_changes c USING (payload_row)""")
 def review_rows(spark, d):
-    columns = ["target_name", "target_url", "category", "field_path", "severity", "confidence_score", "current_excerpt"]
-    return reports.review_rows(table(spark, d, "digest_changes"), columns)
+    """A review file of all payloads: header, a line per change, and one for payloads without changes."""
+    p = table(spark, d, "webhook_payloads").select(
+        "payload_row", F.col("destination_hash").alias("target_name"), F.col("run_url").alias("target_url"), F.col("delivery_mode").alias("status"), F.col("generated_at").alias("checked_at")
+    )
+    c = table(spark, d, "digest_changes").select(
+        "payload_row", "change_row", "category", "field_path", F.col("previous_excerpt").alias("previous"), F.col("current_excerpt").alias("current"),
+        F.lit(None).cast("double").alias("delta_percent"), "severity", "confidence_score",
+    )
+    return reports.review_lines(p, c, "payload_row")
 
 
 def _md(column: str) -> str:
