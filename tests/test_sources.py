@@ -46,7 +46,7 @@ def test_targets(spark, tmp_path):
         good,
         {**good, "extra": 1},
         {**good, "name": " ", "url": "http://x.example/"},
-        {**good, "changeTypes": ["price", "price"], "currency": "usd"},
+        {**good, "changeTypes": ["price", "price"], "currency": "us$"},
         {**good, "changeTypes": ["none"], "ignoreTextPatterns": ["a(b"]},
         {**good, "name": "SHOP", "includeSelectors": ["a"] * 11},
     ]
@@ -58,6 +58,36 @@ def test_targets(spark, tmp_path):
     assert [tuple(r) for r in config.repeated_names(made).collect()] == [("shop", 5)]
 
 
+def test_more_of_targets(spark):
+    good = {"name": "A", "url": "https://x.example/", "changeTypes": ["price"]}
+    cases = [
+        ({"currency": " usd "}, []), ({"excludeSelectors": ["a", "a"]}, ["excludeSelectors"]), ({"includeSelectors": [""]}, ["includeSelectors"]),
+        ({"ignoreTextPatterns": ["x" * 129]}, ["ignoreTextPatterns"]), ({"authorizedRedirectOrigins": ["https://y.example", "https://z.example/"]}, []),
+        ({"authorizedRedirectOrigins": ["https://y.example/p"]}, ["authorizedRedirectOrigins: no origin"]),
+        ({"productIdentifiers": {"sku": "1", "gtin": "12345678"}}, []), ({"productIdentifiers": {"gtin": "1234567x"}}, ["productIdentifiers"]),
+        ({"productIdentifiers": {"other": "1"}}, ["productIdentifiers"]), ({"productIdentifiers": {"sku": None}}, ["productIdentifiers"]),
+    ]
+    df = spark.createDataFrame([(json.dumps({**good, **more}),) for more, _ in cases], "json string")
+    rows = config.check_targets(df).collect()
+    assert [r.problems for r in rows] == [p for _, p in cases] and rows[0].target.currency == "USD"
+
+
+def test_runs(spark):
+    cases = [
+        ({}, []), ({"weeklyDigestDay": 7, "maxRetries": 2.0, "timezone": None, "dryRun": True}, []), ({"weeklyDigestDay": "7"}, ["weeklyDigestDay"]),
+        ({"maxRetries": 3, "requestTimeoutSeconds": 3.5}, ["requestTimeoutSeconds", "maxRetries"]), ({"timezone": "Mars/Base"}, ["timezone"]),
+        ({"timezone": "Europe/Berlin", "notificationMode": "immediate", "alertWebhookUrl": "https://x.example/h"}, []), ({"dryRun": None}, ["dryRun"]),
+        ({"alertWebhookUrl": "http://x.example"}, ["alertWebhookUrl"]), ({"minimumAlertSeverity": "informational", "other": 1}, ["unknown fields: other", "minimumAlertSeverity"]),
+        ({"targets": []}, ["targets"]), ({"targets": [{}] * 26}, ["targets"]), ({"candidateId": "", "expectedCandidateHash": "a" * 64}, ["candidateId"]),
+    ]
+    texts = [json.dumps({"targets": [{}], **more}) for more, _ in cases]
+    rows = config.check_runs(spark.createDataFrame([(t,) for t in [*texts, "[1]", "x", None]], "json string")).collect()
+    assert [r.problems for r in rows[: len(cases)]] == [p for _, p in cases]
+    assert rows[0].run.requestTimeoutSeconds == 15 and rows[0].run.timezone == "UTC" and rows[0].run.alertWebhookUrl is None
+    assert rows[1].run.maxRetries == 2 and rows[1].run.dryRun and rows[2].run.weeklyDigestDay is None
+    assert all("no object" in r.problems for r in rows[len(cases) :])
+
+
 def test_outputs(spark, tmp_path):
     rows = [(1, "c1", "A", "https://x.example/?token=1", "f", "high", 90), (2, "c1", "A", "u", "f", "low", 10), (3, "c2", "=B", "u", "g", "low", 10), (4, None, "C", "u", "h", "low", 10)]
     df = spark.createDataFrame(rows, "change_row long, change_id string, target_name string, target_url string, field_path string, severity string, confidence_score int")

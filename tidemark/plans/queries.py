@@ -452,6 +452,33 @@ def payload_totals(spark, d):
 # ---------------------------------------------------------------- history and state
 
 
+_KINDS = "['price', 'availability', 'product_feature', 'pricing_plan', 'terms_policy', 'launch_changelog', 'general_content']"
+_IDS = "[{'k': 'sku', 'a': 1, 'b': 128}, {'k': 'gtin', 'a': 8, 'b': 14}, {'k': 'mpn', 'a': 1, 'b': 128}, {'k': 'brand', 'a': 1, 'b': 128}, {'k': 'model', 'a': 1, 'b': 128}, {'k': 'variant', 'a': 1, 'b': 128}, {'k': 'packQuantity', 'a': 1, 'b': 64}]"
+
+
+@query(f"""
+    SELECT target_identity, array_to_string(list_filter([
+        CASE WHEN NOT coalesce(length(trim(target_name)) BETWEEN 1 AND 100, false) THEN 'name' END,
+        CASE WHEN url IS NULL OR NOT regexp_matches(url, '^(?i)https://[^/?#@:]+(?::443)?(?:[/?][^#]*)?$') THEN 'url' END,
+        CASE WHEN coalesce(len(change_types), 0) = 0 OR len(list_filter(change_types, lambda c: NOT list_contains({_KINDS}, c))) > 0 THEN 'changeTypes' END,
+        CASE WHEN len(change_types) <> len(list_distinct(change_types)) THEN 'changeTypes repeat' END,
+        CASE WHEN currency IS NOT NULL AND NOT regexp_full_match(trim(currency), '[A-Za-z]{{3}}') THEN 'currency' END,
+        CASE WHEN len(ignore_text_patterns) > 10 OR len(list_distinct(ignore_text_patterns)) < len(ignore_text_patterns) OR
+                  len(list_filter(ignore_text_patterns, lambda p: NOT length(trim(p)) BETWEEN 1 AND 128)) > 0 THEN 'ignoreTextPatterns' END,
+        CASE WHEN len(list_filter(map_entries(product_identifiers), lambda e: len(list_filter({_IDS}, lambda i: i.k = e.key AND length(trim(e.value)) BETWEEN i.a AND i.b)) = 0)) > 0 THEN 'productIdentifiers' END
+    ], lambda x: x IS NOT NULL), ';') AS problems FROM targets""")
+def target_check(spark, d):
+    """All targets, written as JSON and read as a target list is."""
+    t = table(spark, d, "targets")
+    made = F.struct(
+        F.col("target_name").alias("name"), "url", F.col("change_types").alias("changeTypes"), F.col("ignore_text_patterns").alias("ignoreTextPatterns"),
+        "currency", F.col("product_identifiers").alias("productIdentifiers"),
+    )
+    checked = config.check_targets(t.select("target_identity", F.to_json(made).alias("json")))
+    short = F.transform("problems", lambda p: F.when(p.startswith("url:"), "url").otherwise(p))
+    return checked.select("target_identity", F.array_join(short, ";").alias("problems"))
+
+
 @query("""
     SELECT target_identity, arg_max(generation, (created_at, generation)) AS generation, arg_max(snapshot_hash, (created_at, generation)) AS snapshot_hash,
            epoch_us(min(created_at)) AS first_created_us FROM manifests WHERE manifest_kind = 'trusted' GROUP BY target_identity""")
