@@ -46,6 +46,13 @@ def test_main_blocks(spark):
     assert mc.main_blocks(df.limit(0)).count() == 0
 
 
+def test_split_hosts_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(site(), SCHEMA)
+    whole = sorted(map(tuple, mc.main_blocks(df).select("page_id", "block_field", "block_no").collect()))
+    monkeypatch.setattr(mc, "PAGES", 7)
+    assert sorted(map(tuple, mc.main_blocks(df).select("page_id", "block_field", "block_no").collect())) == whole
+
+
 def test_html_in_pieces():
     html = (
         "<html><head><style>p{}</style></head><body><ul>" + "<li><a href='/'>Home</a></li>" * 8 + "</ul><p>"

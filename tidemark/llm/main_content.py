@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import hot_keys
+from tidemark.operators.skew import each_part, hot_parts, part_of, with_parts
 from tidemark.session import cut_lineage
 
 #: Shares of a host's pages from which a sentence, or another line, counts as fully tagged.
@@ -49,8 +49,8 @@ SIGMA, BOUND = 0.5, 3.0
 UNSURE = 0.02
 #: Log ratio from which a line surely begins the body.
 BODY = 0.5
-#: Parts into which the pages of a host are split that holds a fiftieth of all pages.
-PARTS = 8
+#: Pages of a host from which it is split, and of a part.
+PAGES = 5_000
 
 _DIGITS = re.compile(r"\d+")
 _END = re.compile(r"[.!?。！？…:;]['”\")]*$")
@@ -551,7 +551,7 @@ def over_sites(pages: DataFrame, decide, schema: str) -> DataFrame:
 
     One shuffle brings pages to the lines that their site repeats (at most the lines of a page
     divided by the smallest share, for a host, and those that other sites repeat). Pages of hosts
-    that hold a fiftieth of all are split by a hash of the id, with the host's lines for each part.
+    with more than PAGES are split by a hash of the id, with the host's lines for each part.
     """
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -576,19 +576,16 @@ def over_sites(pages: DataFrame, decide, schema: str) -> DataFrame:
         "visible_text",
         F.col("selected_sections.text").alias("sections"),
     )
-    hot = hot_keys(pages, "host_id")
-    is_hot = F.col("host_id").isin(hot) if hot else F.lit(False)
-    part = F.when(is_hot, F.pmod(F.xxhash64("page_id"), F.lit(PARTS)).cast("int")).otherwise(0)
-    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    parts = hot_parts(pages, "host_id", PAGES)
     lines = (
         line_statistics(pages)
         .groupBy("host_id", F.pmod("key", F.lit(16)).alias("some"))
         .agg(F.collect_list(F.struct("key", "share", "most", "menu", "opener")).alias("lines"))
-        .select("host_id", F.explode(parts).alias("part"), "lines")
     )
+    lines = with_parts(lines, F.col("host_id"), parts).select("host_id", each_part().alias("part"), "lines")
+    placed = with_parts(pages, F.col("host_id"), parts).withColumn("part", part_of("page_id")).drop("parts_")
     return (
-        pages.withColumn("part", part)
-        .unionByName(lines, allowMissingColumns=True)
+        placed.unionByName(lines, allowMissingColumns=True)
         .repartition("host_id", "part")
         .sortWithinPartitions("host_id", "part", F.col("lines").isNull())
         .mapInPandas(batches, schema)
