@@ -141,3 +141,12 @@ def test_markdown_document(spark):
     assert got.startswith("# Digest\n\nGenerated: 2026-01-01T00:00:00.000Z\nChanged targets: 1\nMaterial changes: 1\n\n## 1. Shop \\*1\\* - high")
     assert got.endswith("Run: https://runs.example/r") and "token" not in got
     assert "No material changes" in reports.markdown_document(df.limit(0), "D", "x").first().document
+
+
+def test_spacing(spark):
+    day = 86_400
+    rows = [("a", 1, 5), ("a", 2, 7), ("a", 3, day + 1), ("a", 4, 9 * day), (None, 5, 3), (None, 6, 9 * day), ("b", 7, None), ("b", 8, 4), ("a", 9, 7)]
+    df = spark.createDataFrame(rows, "u string, e long, s long").selectExpr("u", "e", "timestamp_seconds(s) AS at", "1 AS k", "2 AS us")
+    got = {r.e: r.gap_us and r.gap_us // 1_000_000 for r in history.spacing(df, "u", "at", "e").collect()}
+    assert got == {1: None, 2: 2, 9: 0, 3: day - 6, 4: 8 * day - 1, 5: None, 6: 9 * day - 3, 7: None, 8: None}
+    assert history.spacing(df.limit(0), "u", "at", "e").count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import canon
-from tidemark.operators import facts
+from tidemark.operators import facts, snapshots
 
 #: Entries of a history that stay, bytes of a chunk, fewest bytes of one, and most chunks of a text.
 HISTORY, CHUNK, LEAST_CHUNK, CHUNKS = 30, 512 * 1024, 64 * 1024, 32
@@ -121,10 +121,19 @@ def lineage(manifests: DataFrame) -> DataFrame:
 
 
 def spacing(events: DataFrame, key: str, at: str, tie: str) -> DataFrame:
-    """Microseconds since the key's event before."""
-    over = Window.partitionBy(key).orderBy(at, tie)
+    """Microseconds since the key's event before.
+
+    Events are ordered by a key's days first, so a hot key is spread over its days. An event without
+    a time comes before all others and has no gap, nor has the one after it.
+    """
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    return events.select(key, tie, (micros - F.lag(micros).over(over)).alias("gap_us"))
+    # The key as text has no null, which would match nothing in a join.
+    rows = events.select(
+        F.to_json(F.struct(F.col(key).alias("k"))).alias("k"), F.col(key).alias("name"), F.col(tie).alias("tie"), micros.alias("us")
+    )
+    day = F.coalesce(F.floor(F.col("us") / 86_400_000_000), F.lit(-(10**9)))
+    placed = snapshots.positioned(rows, ["k"], ["us", "tie"], day, [])
+    return placed.select(F.col("name").alias(key), F.col("tie").alias(tie), (F.col("us") - F.col("prev.us")).alias("gap_us"))
 
 
 def chunks(df: DataFrame, key: str, payload: str, size: int = CHUNK) -> DataFrame:

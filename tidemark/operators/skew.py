@@ -59,11 +59,24 @@ def left_join_spread(big: DataFrame, small: DataFrame, key: str, by: str, rows:
     parts = hot_parts(big, key, rows)
     spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(by), F.lit(32)).cast("int")).otherwise(part_of(by))
     left = with_parts(big, F.col(key), parts).withColumn("part_", spread).drop("parts_").withColumn("key_", F.col(key))
-    right = with_parts(small.filter(F.col(key).isNotNull()), F.col(key), parts)
-    right = right.withColumn("part_", each_part()).drop("parts_").withColumnRenamed(key, "key_")
+    right = repeated(small.filter(F.col(key).isNotNull()), F.col(key), parts).withColumnRenamed(key, "key_")
     return left.join(right, ["key_", "part_"], "left").drop("key_", "part_")
 
 
+def placed(df: DataFrame, key: Column, parts: dict, by: str) -> DataFrame:
+    """Adds ``part_``, the part of its key that a row goes to; a constant if no key is hot."""
+    if not parts:
+        return df.withColumn("part_", F.lit(0))
+    return with_parts(df, key, parts).withColumn("part_", part_of(by)).drop("parts_")
+
+
+def repeated(df: DataFrame, key: Column, parts: dict) -> DataFrame:
+    """Repeats rows for each part of their key, named ``part_``."""
+    if not parts:
+        return df.withColumn("part_", F.lit(0))
+    return with_parts(df, key, parts).withColumn("part_", each_part()).drop("parts_")
+
+
 def hot_split(big: DataFrame, small: DataFrame, keys: list[str], by: str, rows: int | None = None) -> DataFrame:
     """Inner join of ``big`` with ``small`` (unique per ``keys``) with hot keys split by a hash of ``by``.
 
@@ -72,6 +85,4 @@ def hot_split(big: DataFrame, small: DataFrame, keys: list[str], by: str, rows:
     """
     key = F.xxhash64(*keys)
     parts = hot_parts(big.select(key.alias("key_")), "key_", rows)
-    left = with_parts(big, key, parts).withColumn("part_", part_of(by)).drop("parts_")
-    right = with_parts(small, key, parts).withColumn("part_", each_part()).drop("parts_")
-    return left.join(right, [*keys, "part_"])
+    return placed(big, key, parts, by).join(repeated(small, key, parts), [*keys, "part_"])

@@ -1032,9 +1032,10 @@ def section_explode(spark, d):
 @query("""
     SELECT p.page_id, count(s.section_id) AS sections, count(s.text) AS with_text FROM extracted_pages p LEFT JOIN text_sections s ON s.page_id = p.page_id GROUP BY p.page_id""")
 def page_sections(spark, d):
-    s = table(spark, d, "text_sections").select("page_id", "section_id", F.col("text").alias("section_text"))
-    joined = table(spark, d, "extracted_pages").select("page_id").join(s, "page_id", "left")
-    return joined.groupBy("page_id").agg(F.count("section_id").alias("sections"), F.count("section_text").alias("with_text"))
+    # Sections are counted before the join, so a page with many of them loads no task.
+    s = table(spark, d, "text_sections").groupBy("page_id").agg(F.count("section_id").alias("sections"), F.count("text").alias("with_text"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return table(spark, d, "extracted_pages").select("page_id").join(s, "page_id", "left").select("page_id", none("sections"), none("with_text"))
 
 
 # ---------------------------------------------------------------- more of facts and reports
@@ -1105,12 +1106,15 @@ def _versions(spark, d, chosen):
     SELECT t.host, count(DISTINCT t.target_identity) AS targets, count(DISTINCT (m.target_identity, m.generation)) AS snapshots,
            CAST(coalesce(sum(m.byte_length), 0) AS BIGINT) AS bytes FROM targets t LEFT JOIN manifests m ON m.target_identity = t.target_identity GROUP BY t.host""")
 def host_storage(spark, d):
-    m = table(spark, d, "manifests").select("target_identity", "generation", "byte_length")
+    # Targets are unique, so snapshots and bytes are counted per target before the join.
+    m = table(spark, d, "manifests").groupBy("target_identity").agg(
+        F.countDistinct("generation").alias("snapshots"), F.sum("byte_length").alias("bytes")
+    )
     joined = table(spark, d, "targets").select("host", "target_identity").join(m, "target_identity", "left")
     return joined.groupBy("host").agg(
         F.countDistinct("target_identity").alias("targets"),
-        F.count_distinct(F.when(F.col("generation").isNotNull(), F.struct("target_identity", "generation"))).alias("snapshots"),
-        F.coalesce(F.sum("byte_length"), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum("snapshots"), F.lit(0)).alias("snapshots"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
     )
 
 
