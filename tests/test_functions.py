@@ -89,6 +89,15 @@ def test_noise_is_one_step_of_a_plan(spark):
     assert plan.count("batch(") == 1 and len(plan) < 2_000
 
 
+def test_noise_of_lines_is_one_step_of_a_plan(spark):
+    rows = [(0, "a  visitors online\nsession id: abcdef9\n\n b", ["*visitors online*"]), (1, None, None), (2, "a\nb", [None])]
+    df = spark.createDataFrame(rows, "k int, v string, p array<string>")
+    got = df.select("k", text.suppress_lines(F.col("v"), F.col("p")).alias("t"))
+    assert {r.k: r.t for r in got.collect()} == {0: "\n[volatile-id]\n\nb", 1: None, 2: None}
+    plan = got.filter("t != ''")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("batch(") == 1 and len(plan) < 2_000
+
+
 def test_dates(spark):
     cases = {"2026-09-01": "2026-09-01", "September 1, 2026": "2026-09-01", "1 september 2026": "2026-09-01", "30 February 2026": "30 February 2026", "03/04/2026": "03/04/2026"}
     assert run(spark, dates.normalise, *cases) == list(cases.values())
