@@ -151,3 +151,27 @@ def test_glob_ignore_reads_whole_texts(spark, tmp_path):
         (1, None, "title", "A"), (1, None, "visible_text", "Text B"), (1, 7, "section", "C"),
         (2, None, "title", None), (2, None, "visible_text", "build 3333"), (2, 8, "section", None),
     }
+
+
+def test_all_sections_of_a_page_make_facts(spark, tmp_path):
+    """More than 50 of a kind too, as the SQL has it; a row doesn't grow with their number."""
+    import duckdb
+
+    from tidemark.plans import queries
+
+    spark.createDataFrame([("t", ["ad ?"], "usd")], "target_identity string, ignore_text_patterns array<string>, currency string").write.parquet(str(tmp_path / "targets.parquet"))
+    pages = [(1, "t", None, "Text ad 1"), (2, "gone", None, None), (3, None, None, "")]
+    spark.createDataFrame(pages, "page_id long, target_identity string, title string, visible_text string").write.parquet(str(tmp_path / "extracted_pages.parquet"))
+    rows = [(k, 1, "policy" if k % 2 else "changelog", None if k % 4 < 2 else f"Head {k}", f"Body {k} ad 7", k // 6) for k in range(400)]
+    rows += [(400, 1, "policy", "Last", "No place", None), (401, 1, "policy", "Head 3", "Second of its name", 900), (402, 1, "policy", None, None, 901)]
+    rows += [(403, 1, "policy", None, "After a null text", 902), (404, 2, "changelog", None, "ad 1", 1), (405, None, "policy", "X", "No page", 1), (406, 9, "policy", "X", "Lost page", 1)]
+    spark.createDataFrame(rows, "section_id long, page_id long, section_kind string, heading string, text string, ord int").write.parquet(str(tmp_path / "text_sections.parquet"))
+    got = {tuple(r) for r in queries.document_texts(spark, str(tmp_path)).collect()}
+    values = {(page, fact): value for page, fact, value in got}
+    assert len(values) == len(got) == 404 and ("1", "policy:last:text") in values
+    assert values["1", "policy:section-199:text"] == '"Body 397"' and values["1", "changelog:head-398:text"] == '"Body 398"'
+    assert values["1", "policy:head-3:text"] == '"Body 3"' and values["1", "policy:section-203:text"] == '"After a null text"'
+    duck = duckdb.connect()
+    for name in ("targets", "extracted_pages", "text_sections"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path / name}.parquet/*.parquet'")
+    assert {tuple(r) for r in duck.execute(queries.ORACLE["document_texts"]).fetchall()} == got
